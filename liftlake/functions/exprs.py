@@ -48,10 +48,17 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters with the Unicode White_Space property (Unicode standard, PropList).
+UNICODE_WHITE_SPACE = "".join(chr(c) for c in (
+    list(range(0x09, 0x0E)) + [0x20, 0x85, 0xA0, 0x1680] + list(range(0x2000, 0x200B))
+    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trim_ws(c) -> Column:
     """TRIM that strips every Unicode white-space character at both ends
-    (Spark's ``trim`` only strips U+0020, so U+3000 padding would survive)."""
-    return F.regexp_replace(col_of(c), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    (Spark's one-argument ``trim`` only strips U+0020, so U+3000 padding would
+    survive). A character-set trim, much cheaper than a regular expression."""
+    return F.trim(col_of(c), F.lit(UNICODE_WHITE_SPACE))
 
 
 def normalise_name(c) -> Column:
@@ -193,7 +200,8 @@ def percent_difference(now, previous):
 def format_volume(c, digits: int = 0, signed: bool = False) -> Column:
     """Thousands separator, optional sign: ``1,234`` / ``+1,234``."""
     spec = "%" + ("+" if signed else "") + f",.{digits}f"
-    return F.format_string(spec, col_of(c).cast("double"))
+    # round half to even first, as Python's float formatting does
+    return F.format_string(spec, F.bround(col_of(c).cast("double"), digits))
 
 
 def format_period(d, pattern: str = "yyyy年MM月") -> Column:

@@ -106,3 +106,382 @@ def q_records(spark, sf):
 @register("I13_m_calendar")
 def q_calendar(spark, sf):
     return M.m_calendar(fct(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# scans, generic operators on the driver's tables
+# ---------------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from liftlake.functions import exprs as H  # noqa: E402
+from liftlake.operators import changes as K  # noqa: E402
+from liftlake.operators import documents as DOC  # noqa: E402
+from liftlake.operators import quality as QL  # noqa: E402
+from liftlake.operators.latest import latest_by_key, training_log_order  # noqa: E402
+from liftlake.operators.lists import concat_distinct, concat_list  # noqa: E402
+from liftlake.operators.rank import global_rank, rank_in_partition  # noqa: E402
+from liftlake.operators.records import records_with_previous  # noqa: E402
+from liftlake.operators.trend import change_vs_lag, moving_average_rows  # noqa: E402
+from liftlake.operators.upsert import merge_upsert, watermark_filter  # noqa: E402
+
+LOG14 = ["log_id", "user_id", "exercise_name", "body_part", "training_date", "set_number", "weight_kg",
+         "reps", "rpe", "memo", "input_source", "created_at", "updated_at", "is_deleted"]
+CHANGE_NOW = _dt.datetime(2001, 11, 5, 9, 0, 0)
+
+
+@register("A1_scan_training_log")
+def q_scan_log(spark, sf):
+    return raw_log(spark, sf).select(*LOG14)
+
+
+@register("A2_scan_masters")
+def q_scan_masters(spark, sf):
+    return FX.exercise_master(spark, sf)
+
+
+@register("A3_scan_requests_notifications")
+def q_scan_notifications(spark, sf):
+    return FX.notification_log(spark, sf)
+
+
+@register("B5_date_range_filter")
+def q_date_range(spark, sf):
+    f = fct(spark, sf)
+    return f.where(F.col("training_date").between(F.date_sub(F.lit(FX.AS_OF), 30), F.lit(FX.AS_OF))) \
+        .select("log_id", "user_id", "training_date", "volume")
+
+
+@register("E1_dedup_latest")
+def q_dedup_latest(spark, sf):
+    return latest_by_key(raw_log(spark, sf), ["log_id"], training_log_order()).select(*LOG14)
+
+
+@register("E2_dedup_latest_active")
+def q_dedup_latest_active(spark, sf):
+    latest = latest_by_key(raw_log(spark, sf), ["log_id"], training_log_order())
+    return latest.where(~F.col("is_deleted")).select(*LOG14)
+
+
+def _orders_monthly(spark, sf):
+    o = FX.read_table(spark, sf, "orders")
+    return o.groupBy("o_custkey", F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("total_cents"),
+        F.count(F.lit(1)).alias("n_orders"))
+
+
+@register("E5_rank_in_period")
+def q_rank_period(spark, sf):
+    return rank_in_partition(_orders_monthly(spark, sf), ["month"], "total_cents")
+
+
+@register("E6_rank_global")
+def q_rank_global(spark, sf):
+    o = FX.read_table(spark, sf, "orders")
+    per = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    return global_rank(per, "n_orders")
+
+
+def _events_daily(spark, sf):
+    e = FX.read_table(spark, sf, "events")
+    return e.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("value_cents"))
+
+
+@register("E9_moving_average_7")
+def q_moving_avg(spark, sf):
+    d = _events_daily(spark, sf)
+    out = moving_average_rows(d, ["user_id"], "day", "value_cents", "avg_7", rows=7)
+    return out.withColumn("avg_7", F.round("avg_7", 6))
+
+
+@register("E10_change_vs_lag7")
+def q_change_lag(spark, sf):
+    d = _events_daily(spark, sf).withColumn("value_cents", F.col("value_cents").cast("double"))
+    return change_vs_lag(d, ["user_id"], "day", "value_cents", "change_pct", offset=7)
+
+
+@register("D4_max_with_arg")
+def q_max_with_arg(spark, sf):
+    li = FX.read_table(spark, sf, "lineitem").select(
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("ship_day"), "l_quantity", "l_extendedprice")
+    return records_with_previous(li, ["l_suppkey"], "ship_day",
+                                 {"max_quantity": "l_quantity", "max_price": "l_extendedprice"})
+
+
+@register("D6_concat_list")
+def q_concat_list(spark, sf):
+    n = FX.read_table(spark, sf, "nation")
+    return n.groupBy("n_regionkey").agg(concat_list("n_name", " / ").alias("nations"),
+                                        concat_distinct(F.substring("n_name", 1, 1), ", ").alias("initials"))
+
+
+@register("D12_status_breakdown")
+def q_status_breakdown(spark, sf):
+    return FX.notification_log(spark, sf).groupBy("notification_type", "status").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("H_scalar_functions")
+def q_scalars(spark, sf):
+    f = fct(spark, sf)
+    diff, pct = H.percent_difference(F.col("volume"), F.col("weight_kg"))
+    return f.select(
+        "log_id",
+        H.concat_label("exercise_name", "weight_kg").alias("label"),
+        H.week_start("training_date").alias("week_start"), H.week_end("training_date").alias("week_end"),
+        H.month_start("training_date").alias("month_start"), H.month_end("training_date").alias("month_end"),
+        H.days_between(F.lit(FX.AS_OF), "training_date").alias("age_days"),
+        H.reps_rule("rpe", "reps").alias("next_reps"),
+        H.document_key("user_id", "training_date", "exercise_id").alias("doc_key"),
+        H.slug("exercise_name").alias("slug"),
+        H.valid_identifier(H.slug("exercise_name")).alias("slug_valid"),
+        H.format_volume("volume").alias("volume_text"),
+        H.format_period("training_date").alias("period_text"),
+        H.recency_flag(FX.AS_OF, "training_date", 7).alias("recent"),
+        F.round(diff, 6).alias("diff"), F.round(pct, 6).alias("pct"),
+        H.safe_divide(F.col("volume"), F.col("rpe") - F.col("rpe")).alias("safe_div"),
+        H.null_strict_greatest("rpe", "weight_kg").alias("greatest_strict"))
+
+
+# ---------------------------------------------------------------------------
+# incremental loading
+# ---------------------------------------------------------------------------
+def _split(df, col="updated_at"):
+    return F.col(col) < F.lit(FX.INCREMENTAL_SPLIT).cast("timestamp_ntz")
+
+
+@register("J4_incremental_staging")
+def q_incr_staging(spark, sf):
+    raw = raw_log(spark, sf)
+    first = M.stg_training_log(raw.where(_split(raw)))
+    delta_src = watermark_filter(raw.where(~F.col("is_deleted")), "updated_at", first, "updated_at")
+    delta = M.stg_training_log(delta_src)
+    return merge_upsert(first, delta, ["log_id"])
+
+
+@register("J5_incremental_fact")
+def q_incr_fact(spark, sf):
+    ex, _, bp = dims(spark, sf)
+    s = stg(spark, sf)
+    first = M.fct_training_set(s.where(_split(s)), ex, bp)
+    src = watermark_filter(s, "updated_at", first, "created_at")
+    delta = M.fct_training_set(src, ex, bp)
+    return merge_upsert(first, delta, ["log_id"])
+
+
+@register("A11_merge_upsert")
+def q_merge_upsert(spark, sf):
+    li = FX.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+                                                      "l_quantity", "l_shipdate")
+    early = li.where(F.col("l_shipdate") < F.lit(FX.INCREMENTAL_SPLIT).cast("timestamp_ntz"))
+    target = latest_by_key(early, ["l_orderkey", "l_linenumber"],
+                           [F.col("l_shipdate"), F.col("l_suppkey"), F.col("l_partkey")])
+    late = li.where(F.col("l_shipdate") >= F.lit(FX.INCREMENTAL_SPLIT).cast("timestamp_ntz"))
+    source = latest_by_key(late, ["l_orderkey", "l_linenumber"],
+                           [F.col("l_shipdate"), F.col("l_suppkey"), F.col("l_partkey")])
+    return merge_upsert(target, source, ["l_orderkey", "l_linenumber"])
+
+
+# ---------------------------------------------------------------------------
+# documents
+# ---------------------------------------------------------------------------
+def docs(spark, sf):
+    return FX.documents(spark, sf)
+
+
+@register("J1_explode_documents")
+def q_explode(spark, sf):
+    return DOC.explode_documents(DOC.scan_pending(docs(spark, sf)))
+
+
+@register("D15_array_fold_totals")
+def q_fold(spark, sf):
+    d = docs(spark, sf)
+    cnt, tot = DOC.array_fold_totals(F.col("sets"))
+    return d.select("doc_id", cnt.alias("set_count"), tot.alias("total_volume"))
+
+
+@register("J3_sync_report")
+def q_sync_report(spark, sf):
+    return DOC.sync_report(docs(spark, sf))
+
+
+@register("N22_document_audit")
+def q_doc_audit(spark, sf):
+    from liftlake.plans import reports as R
+    return R.document_audit(docs(spark, sf), pending_only=True)
+
+
+@register("F2_top_n")
+def q_top_n(spark, sf):
+    d = docs(spark, sf).select("doc_id", "user_id", "training_date", F.size("sets").cast("bigint").alias("n_sets"))
+    return d.orderBy(F.col("training_date").desc(), F.col("doc_id").asc()).limit(10)
+
+
+def _doc_header(d):
+    cnt, tot = DOC.array_fold_totals(F.col("sets"))
+    return d.select("doc_id", "status", "is_deleted", "sync_status", "synced_at", "sync_version",
+                    "updated_at", cnt.alias("live_sets"), tot.alias("live_volume"))
+
+
+@register("J2_mark_synced")
+def q_mark_synced(spark, sf):
+    d = docs(spark, sf)
+    written = DOC.explode_documents(DOC.scan_pending(d).where(F.size("sets") > 0))
+    keys = d.where((F.col("sync_status") == "pending") & (F.size("sets") > 0)).select("doc_id")
+    del written
+    return _doc_header(DOC.mark_synced(d, keys, CHANGE_NOW))
+
+
+@register("K3_soft_delete_documents")
+def q_soft_delete_docs(spark, sf):
+    d = docs(spark, sf)
+    keys = d.where(F.col("set_count") % 5 == 0).select("doc_id")
+    return _doc_header(DOC.soft_delete_documents(d, keys, CHANGE_NOW))
+
+
+@register("K2_soft_delete_sets")
+def q_soft_delete_sets(spark, sf):
+    d = docs(spark, sf)
+    req = d.where(F.col("set_count") % 2 == 0).select("doc_id", F.col("sets")[0]["set_id"].alias("set_id"))
+    out = DOC.soft_delete_sets(d, req, CHANGE_NOW)
+    return _doc_header(out)
+
+
+@register("K1_save_documents")
+def q_save_docs(spark, sf):
+    d = docs(spark, sf)
+    # edits: every 4th document re-saved with its sets plus one new set; new
+    # documents: the same exercise one day later for every 7th document
+    base = d.where(F.col("set_count") % 4 == 0)
+    extra = F.struct(F.lit(None).cast("string").alias("set_id"), F.lit(99).cast("bigint").alias("set_number"),
+                     F.lit(20.0).alias("weight_kg"), F.lit(10).cast("bigint").alias("reps"),
+                     F.lit(None).cast("double").alias("rpe"), F.lit("").alias("memo"),
+                     F.lit(False).alias("is_deleted"), F.lit(None).cast("string").alias("created_at"),
+                     F.lit(None).cast("string").alias("updated_at"))
+    edits = base.select("user_id", "user_name", "training_date", "body_part_id", "body_part_name", "exercise_id",
+                        "exercise_name", F.concat("sets", F.array(extra)).alias("sets"))
+    fresh = d.where(F.col("set_count") % 7 == 0).select(
+        "user_id", "user_name", F.date_add(F.to_date("training_date"), 1).cast("string").alias("training_date"),
+        "body_part_id", "body_part_name", "exercise_id", "exercise_name", "sets")
+    fresh = (fresh.withColumn("_k", H.document_key("user_id", "training_date", "exercise_id"))
+                  .join(d.select(F.col("doc_id").alias("_k")), "_k", "left_anti").drop("_k"))
+    saves = edits.unionByName(fresh)
+    return _doc_header(DOC.save_documents(d, saves, CHANGE_NOW))
+
+
+# ---------------------------------------------------------------------------
+# state changes on log and masters
+# ---------------------------------------------------------------------------
+@register("K4_soft_delete_log_rows")
+def q_soft_delete_log(spark, sf):
+    return K.soft_delete_log_rows(raw_log(spark, sf).select(*LOG14), prefix="1").select("log_id", "is_deleted")
+
+
+def _new_requests(spark, sf):
+    c = FX.read_table(spark, sf, "customer").where(F.col("c_custkey") % 7 == 0)
+    a = c.select(F.concat(F.lit("new_"), F.col("c_custkey").cast("string")).alias("request_id"),
+                 F.concat(F.lit("user_"), (F.lit(1) + F.col("c_custkey") % 10).cast("string")).alias("user_id"),
+                 F.concat(F.lower("c_mktsegment"), F.lit(" "), (F.col("c_nationkey") % 7).cast("string")).alias("exercise_name"),
+                 F.lit("chest").alias("body_part_id"), F.lit("").alias("reason"))
+    p = FX.read_table(spark, sf, "part").where(F.col("p_partkey") % 50 == 0)
+    b = p.select(F.concat(F.lit("newp_"), F.col("p_partkey").cast("string")).alias("request_id"),
+                 F.lit("user_2").alias("user_id"),
+                 F.when(F.col("p_partkey") % 100 == 0, F.upper("p_name")).otherwise(F.substring("p_name", 1, 1)).alias("exercise_name"),
+                 F.lit("leg").alias("body_part_id"), F.col("p_type").alias("reason"))
+    return a.unionByName(b)
+
+
+@register("K5_submit_requests")
+def q_submit(spark, sf):
+    dec, _ = K.submit_requests(FX.exercise_request(spark, sf), FX.exercise_master(spark, sf),
+                               _new_requests(spark, sf), CHANGE_NOW)
+    return dec
+
+
+@register("K6_approve_requests")
+def q_approve(spark, sf):
+    req = FX.exercise_request(spark, sf)
+    appr = req.where(F.col("request_id").endswith("2")).select("request_id", F.lit("user_1").alias("reviewer"))
+    _, master = K.approve_requests(req, FX.exercise_master(spark, sf), appr, CHANGE_NOW)
+    return master
+
+
+@register("K7_reject_requests")
+def q_reject(spark, sf):
+    req = FX.exercise_request(spark, sf)
+    rej = req.where(F.col("request_id").endswith("5")).select("request_id", F.lit("user_3").alias("reviewer"))
+    return K.reject_requests(req, rej, CHANGE_NOW)
+
+
+@register("K8_deactivate_exercises")
+def q_deactivate(spark, sf):
+    m = FX.exercise_master(spark, sf)
+    return K.deactivate_exercises(m, m.where(F.col("display_order") % 7 == 0).select("exercise_id"), CHANGE_NOW)
+
+
+@register("K9_add_exercises")
+def q_add_ex(spark, sf):
+    n = FX.read_table(spark, sf, "nation")
+    new = n.select(F.regexp_replace(F.lower("n_name"), " ", "_").alias("exercise_id"),
+                   F.concat(F.lower("n_name"), F.lit(" press")).alias("exercise_name"),
+                   F.lit("arm").alias("body_part_id"), (F.col("n_nationkey") % 2 == 0).alias("is_compound"),
+                   (F.col("n_nationkey") + 1).alias("display_order"))
+    p = FX.read_table(spark, sf, "part").where(F.col("p_partkey") % 97 == 0).select(
+        F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("exercise_id"), F.col("p_name").alias("exercise_name"),
+        F.lit("arm").alias("body_part_id"), F.lit(False).alias("is_compound"), F.lit(5).alias("display_order"))
+    dec, _ = K.add_exercises(FX.exercise_master(spark, sf), new.unionByName(p).distinct(), CHANGE_NOW)
+    return dec
+
+
+@register("K11_validate_input_rows")
+def q_validate(spark, sf):
+    out, _, _ = K.validate_input_rows(raw_log(spark, sf).select(*LOG14), FX.AS_OF)
+    return out.select("log_id", "updated_at", "is_valid", F.array_join("errors", ",").alias("errors"))
+
+
+@register("K12_autosave_gate")
+def q_autosave(spark, sf):
+    return K.autosave_gate(raw_log(spark, sf)).select("log_id", "updated_at", "weight_kg", "reps")
+
+
+# ---------------------------------------------------------------------------
+# data quality
+# ---------------------------------------------------------------------------
+def _quality_tables(spark, sf):
+    f = fct(spark, sf)
+    u = users(spark, sf)
+    return {
+        "stg_training_log": stg(spark, sf), "d_body_part": M.d_body_part(spark),
+        "d_exercise": M.d_exercise(FX.exercise_master(spark, sf)), "d_user": u,
+        "fct_training_set": f, "m_progress_curve": M.m_progress_curve(f),
+        "m_last_training": M.m_last_training(f, FX.AS_OF), "m_ranking_weekly": M.m_ranking_weekly(f, u),
+        "m_ranking_monthly": M.m_ranking_monthly(f, u), "m_ranking_alltime": M.m_ranking_alltime(f, u),
+        "m_ranking_bodypart": M.m_ranking_bodypart(f, u),
+        "m_personal_record": M.m_personal_record(f, u, FX.AS_OF), "m_calendar": M.m_calendar(f),
+    }
+
+
+@register("L7_documented_suite")
+def q_suite(spark, sf):
+    return QL.run_suite(_quality_tables(spark, sf), QL.DOCUMENTED_SUITE)
+
+
+@register("L6_planned_checks")
+def q_planned(spark, sf):
+    f = fct(spark, sf)
+    u = users(spark, sf)
+    return QL.planned_checks(M.m_progress_curve(f), u, M.m_ranking_alltime(f, u), f)
+
+
+@register("L8_referential")
+def q_referential(spark, sf):
+    return QL.referential(fct(spark, sf), "user_id", users(spark, sf), "user_id").select("log_id", "user_id")
+
+
+@register("L2_unique_exercise_name")
+def q_unique_names(spark, sf):
+    return QL.exercise_name_unique(FX.exercise_master(spark, sf))

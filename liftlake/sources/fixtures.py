@@ -13,6 +13,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftlake.functions.exprs import trim_ws
+
 # Constant "today" of all fixture-based queries (day after the last ship date).
 AS_OF = _dt.date(2001, 11, 5)
 # Constant load time of the master tables.
@@ -163,7 +165,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     every physical log row (set ids may repeat across versions)."""
     log = training_log(spark, sf_dir)
     key_num = F.datediff(F.col("training_date"), F.lit(_dt.date(1995, 1, 1))) + F.col("l_suppkey")
-    ex_id = F.replace(F.lower(F.regexp_replace(F.col("exercise_name"), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")), F.lit(" "), F.lit("_"))
+    ex_id = F.replace(F.lower(trim_ws("exercise_name")), F.lit(" "), F.lit("_"))
     rows = log.select(
         "user_id", "training_date", ex_id.alias("exercise_id"),
         F.lower(F.col("body_part")).alias("body_part_id"),
