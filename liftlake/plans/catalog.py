@@ -485,3 +485,274 @@ def q_referential(spark, sf):
 @register("L2_unique_exercise_name")
 def q_unique_names(spark, sf):
     return QL.exercise_name_unique(FX.exercise_master(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# notifications
+# ---------------------------------------------------------------------------
+from liftlake.plans import ml as ML  # noqa: E402
+from liftlake.plans import notify as NT  # noqa: E402
+from liftlake.plans import reports as R  # noqa: E402
+
+
+def _last_training(spark, sf):
+    return M.m_last_training(fct(spark, sf), FX.AS_OF)
+
+
+def _base_count(spark, sf):
+    return NT.sent_count_value(FX.notification_log(spark, sf), FX.NOTIFY_NOW)
+
+
+@register("M1_monthly_sent_count")
+def q_sent_count(spark, sf):
+    from liftlake.operators.quota import monthly_sent_count
+    return monthly_sent_count(FX.notification_log(spark, sf), FX.COUNT_NOW)
+
+
+@register("M3_three_day_candidates")
+def q_three(spark, sf):
+    return NT.three_day_candidates(_last_training(spark, sf), users(spark, sf))
+
+
+@register("M4_seven_day_candidates")
+def q_seven(spark, sf):
+    return NT.seven_day_candidates(_last_training(spark, sf), users(spark, sf))
+
+
+@register("M5_daily_plan")
+def q_daily_plan(spark, sf):
+    lt, u = _last_training(spark, sf), users(spark, sf)
+    return NT.daily_plan(NT.three_day_candidates(lt, u), NT.seven_day_candidates(lt, u), _base_count(spark, sf))
+
+
+@register("M6_weekly_digest")
+def q_weekly_digest(spark, sf):
+    u = users(spark, sf)
+    return NT.digest_lines(M.m_ranking_weekly(fct(spark, sf), u), u, "weekly")
+
+
+@register("M6_monthly_digest")
+def q_monthly_digest(spark, sf):
+    u = users(spark, sf)
+    return NT.digest_lines(M.m_ranking_monthly(fct(spark, sf), u), u, "monthly")
+
+
+@register("M7_digest_plan")
+def q_digest_plan(spark, sf):
+    u = users(spark, sf)
+    has = M.m_ranking_weekly(fct(spark, sf), u).limit(1).count() > 0
+    return NT.digest_plan(has, u, _base_count(spark, sf), "weekly_ranking")
+
+
+@register("M8_start_plan")
+def q_start_plan(spark, sf):
+    _, plan = NT.start_plan(FX.notification_log(spark, sf), users(spark, sf), "user_2", "chest", FX.NOTIFY_NOW)
+    return plan
+
+
+@register("M9_log_attempts")
+def q_log_attempts(spark, sf):
+    lt, u = _last_training(spark, sf), users(spark, sf)
+    plan = NT.daily_plan(NT.three_day_candidates(lt, u), NT.seven_day_candidates(lt, u), _base_count(spark, sf))
+    return NT.log_attempts(plan, FX.NOTIFY_NOW).drop("notification_id")
+
+
+# ---------------------------------------------------------------------------
+# reports (all users at once)
+# ---------------------------------------------------------------------------
+DAY = FX.REPORT_DAY
+
+
+def _week(spark, sf):
+    return R.current_week(raw_log(spark, sf), M.d_body_part(spark), DAY)
+
+
+@register("N1_current_week")
+def q_n1(spark, sf):
+    return _week(spark, sf)
+
+
+@register("N2_week_grid")
+def q_n2(spark, sf):
+    return R.week_grid(_week(spark, sf), users(spark, sf), DAY)
+
+
+@register("N3_week_summary")
+def q_n3(spark, sf):
+    return R.week_summary(_week(spark, sf))
+
+
+@register("N4_last_week_summary")
+def q_n4(spark, sf):
+    return R.last_week_summary(raw_log(spark, sf), DAY)
+
+
+@register("N5_week_over_week")
+def q_n5(spark, sf):
+    return R.week_over_week(R.week_summary(_week(spark, sf)), R.last_week_summary(raw_log(spark, sf), DAY))
+
+
+@register("N6_latest_weekly_ranking")
+def q_n6(spark, sf):
+    return R.latest_weekly_ranking(M.m_ranking_weekly(fct(spark, sf), users(spark, sf)))
+
+
+@register("N7_latest_monthly_ranking")
+def q_n7(spark, sf):
+    return R.latest_monthly_ranking(M.m_ranking_monthly(fct(spark, sf), users(spark, sf)))
+
+
+@register("N8_alltime_ranking")
+def q_n8(spark, sf):
+    return R.alltime_ranking(M.m_ranking_alltime(fct(spark, sf), users(spark, sf)))
+
+
+@register("N9_body_part_ranking")
+def q_n9(spark, sf):
+    return R.body_part_ranking(M.m_ranking_bodypart(fct(spark, sf), users(spark, sf)))
+
+
+def _curve(spark, sf):
+    return M.m_progress_curve(fct(spark, sf))
+
+
+@register("N10_kpi_cards")
+def q_n10(spark, sf):
+    return R.kpi_cards(_curve(spark, sf))
+
+
+@register("N11_progress_series")
+def q_n11(spark, sf):
+    return R.progress_series(_curve(spark, sf), FX.AS_OF, 90)
+
+
+@register("N12_exercise_list")
+def q_n12a(spark, sf):
+    return R.exercise_list(_curve(spark, sf))
+
+
+@register("N12_exercise_series")
+def q_n12b(spark, sf):
+    return R.exercise_series(_curve(spark, sf), FX.AS_OF, 180)
+
+
+def _calendar(spark, sf):
+    return M.m_calendar(fct(spark, sf))
+
+
+@register("N13_calendar_month")
+def q_n13a(spark, sf):
+    return R.calendar_month(_calendar(spark, sf), 2001, 10)
+
+
+@register("N13_month_grid")
+def q_n13b(spark, sf):
+    return R.month_grid(R.calendar_month(_calendar(spark, sf), 2001, 10), users(spark, sf), 2001, 10)
+
+
+@register("N14_day_detail")
+def q_n14(spark, sf):
+    return R.day_detail(fct(spark, sf), DAY)
+
+
+@register("N15_day_editable")
+def q_n15(spark, sf):
+    return R.day_editable(raw_log(spark, sf), DAY, CHANGE_NOW)
+
+
+@register("N16_exercise_history")
+def q_n16(spark, sf):
+    return R.exercise_history(fct(spark, sf), 3)
+
+
+@register("N17_session_restore")
+def q_n17(spark, sf):
+    return R.session_restore(raw_log(spark, sf), DAY, CHANGE_NOW)
+
+
+@register("N18_session_volume_vs_previous")
+def q_n18(spark, sf):
+    f = fct(spark, sf)
+    cur = f.where(F.col("training_date") == F.lit(DAY))
+    hist = R.exercise_history(f.where(F.col("training_date") < F.lit(DAY)), 1)
+    return R.session_volume_vs_previous(cur, hist)
+
+
+@register("N19_record_feed")
+def q_n19(spark, sf):
+    return R.record_feed(M.m_personal_record(fct(spark, sf), users(spark, sf), FX.AS_OF))
+
+
+@register("N20_request_history")
+def q_n20a(spark, sf):
+    return R.request_history(FX.exercise_request(spark, sf))
+
+
+@register("N20_pending_requests")
+def q_n20b(spark, sf):
+    return R.pending_requests(FX.exercise_request(spark, sf), users(spark, sf))
+
+
+@register("N21_exercise_picker")
+def q_n21(spark, sf):
+    return R.exercise_picker(M.d_exercise(FX.exercise_master(spark, sf)))
+
+
+@register("N23_suggestion_lookup")
+def q_n23(spark, sf):
+    return R.suggestion_lookup(ML.fallback_suggest(fct(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# machine learning
+# ---------------------------------------------------------------------------
+_MODELS: dict = {}
+
+
+def trained_model(spark, sf):
+    """The predictor for ``sf`` (trained once per session and scale)."""
+    key = (id(spark), sf)
+    if key not in _MODELS:
+        _MODELS[key] = ML.train_predictor(ML.training_pairs(fct(spark, sf)))
+    return _MODELS[key]
+
+
+@register("O1_training_pairs")
+def q_o1(spark, sf):
+    return ML.training_pairs(fct(spark, sf), keep_keys=True)
+
+
+@register("O2_pair_counts")
+def q_o2(spark, sf):
+    return ML.pair_counts(fct(spark, sf))
+
+
+@register("E3_latest_per_set")
+def q_e3(spark, sf):
+    return ML.latest_per_set(fct(spark, sf), FX.AS_OF)
+
+
+@register("O7_fallback_suggest")
+def q_o7(spark, sf):
+    return ML.fallback_suggest(fct(spark, sf))
+
+
+@register("O7_fallback_flat")
+def q_o7_flat(spark, sf):
+    return ML.fallback_suggest(fct(spark, sf), flat=True)
+
+
+@register("O4_evaluate_predictor")
+def q_o4(spark, sf):
+    return ML.evaluate_predictor(trained_model(spark, sf), ML.training_pairs(fct(spark, sf)))
+
+
+@register("I14_m_ml_suggestion")
+def q_i14(spark, sf):
+    return ML.m_ml_suggestion(fct(spark, sf), trained_model(spark, sf), FX.AS_OF)
+
+
+@register("O8_suggest_with_fallback")
+def q_o8(spark, sf):
+    f = fct(spark, sf)
+    return ML.suggest_with_fallback(ML.m_ml_suggestion(f, trained_model(spark, sf), FX.AS_OF), ML.fallback_suggest(f))

@@ -26,6 +26,8 @@ INCREMENTAL_SPLIT = _dt.datetime(1999, 1, 1, 0, 0, 0)
 NOTIFY_NOW = _dt.datetime(2024, 2, 1, 3, 0, 0)
 # "now" for the monthly count: inside the month covered by the event log.
 COUNT_NOW = _dt.datetime(2024, 1, 20, 12, 0, 0)
+# Day shown by the weekly screens (the last day with data; AS_OF is a Monday).
+REPORT_DAY = _dt.date(2001, 11, 4)
 
 _BODY_PART_OF_TYPE = {
     "STANDARD": "chest", "PROMO": "back", "SMALL": "shoulder",
