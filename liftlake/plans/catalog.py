@@ -265,7 +265,7 @@ def q_incr_staging(spark, sf):
 @register("J5_incremental_fact")
 def q_incr_fact(spark, sf):
     ex, _, bp = dims(spark, sf)
-    s = stg(spark, sf)
+    s = stg(spark, sf).checkpoint()
     first = M.fct_training_set(s.where(_split(s)), ex, bp)
     src = watermark_filter(s, "updated_at", first, "created_at")
     delta = M.fct_training_set(src, ex, bp)
@@ -452,10 +452,14 @@ def q_autosave(spark, sf):
 # data quality
 # ---------------------------------------------------------------------------
 def _quality_tables(spark, sf):
-    f = fct(spark, sf)
+    # stg and the fact feed thirteen checked tables: materialise them once in
+    # the shared checkpoint folder instead of recomputing them per table
+    s = stg(spark, sf).checkpoint()
+    ex, _, bp = dims(spark, sf)
+    f = M.fct_training_set(s, ex, bp).checkpoint()
     u = users(spark, sf)
     return {
-        "stg_training_log": stg(spark, sf), "d_body_part": M.d_body_part(spark),
+        "stg_training_log": s, "d_body_part": M.d_body_part(spark),
         "d_exercise": M.d_exercise(FX.exercise_master(spark, sf)), "d_user": u,
         "fct_training_set": f, "m_progress_curve": M.m_progress_curve(f),
         "m_last_training": M.m_last_training(f, FX.AS_OF), "m_ranking_weekly": M.m_ranking_weekly(f, u),
@@ -472,7 +476,7 @@ def q_suite(spark, sf):
 
 @register("L6_planned_checks")
 def q_planned(spark, sf):
-    f = fct(spark, sf)
+    f = fct(spark, sf).checkpoint()
     u = users(spark, sf)
     return QL.planned_checks(M.m_progress_curve(f), u, M.m_ranking_alltime(f, u), f)
 
@@ -496,7 +500,8 @@ from liftlake.plans import reports as R  # noqa: E402
 
 
 def _last_training(spark, sf):
-    return M.m_last_training(fct(spark, sf), FX.AS_OF)
+    # read by two candidate queries and a count: materialise once
+    return M.m_last_training(fct(spark, sf), FX.AS_OF).checkpoint()
 
 
 def _base_count(spark, sf):
@@ -756,3 +761,15 @@ def q_i14(spark, sf):
 def q_o8(spark, sf):
     f = fct(spark, sf)
     return ML.suggest_with_fallback(ML.m_ml_suggestion(f, trained_model(spark, sf), FX.AS_OF), ML.fallback_suggest(f))
+
+
+# ---------------------------------------------------------------------------
+# streaming
+# ---------------------------------------------------------------------------
+@register("J6_microbatch_sync")
+def q_j6(spark, sf):
+    from liftlake.operators.upsert import scratch_path
+    from liftlake.streaming.microbatch import run_to_completion
+    base = scratch_path(spark, "j6")
+    docs(spark, sf).write.mode("overwrite").json(f"{base}/incoming")
+    return run_to_completion(spark, f"{base}/incoming", f"{base}/raw_training_log", f"{base}/checkpoint")

@@ -35,7 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         master = "local[*]"
     if master:
         builder = builder.master(master)
-        builder = builder.config("spark.driver.memory", os.environ.get("LIFTLAKE_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("LIFTLAKE_DRIVER_MEMORY", "6g"))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions is not None:

@@ -36,7 +36,8 @@ _BODY_PART_OF_TYPE = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from liftlake.sources.scan import read_parquet
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _body_part_of(p_type: Column) -> Column:
