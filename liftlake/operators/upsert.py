@@ -113,10 +113,10 @@ def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequen
     src = with_month(source, date_col, month_col)
     if not path_exists(spark, path):
         src_ins = src if delete_when is None else src.where(~F.coalesce(col_of(delete_when), F.lit(False)))
-        src_ins.drop(*([] if delete_when is None or not isinstance(delete_when, str) else [])) \
-            .write.mode("overwrite").partitionBy(month_col).parquet(path)
+        src_ins.write.mode("overwrite").partitionBy(month_col).parquet(path)
         return {"inserted_or_updated": None, "months": None, "created": True}
-    target = spark.read.parquet(path)
+    # read with the source's schema: a table created from an empty batch has no files
+    target = spark.read.schema(src.schema).parquet(path)
     src_keys = src.select(*keys)
     moved = (target.select(*keys, month_col)
                    .join(broadcast_if_bounded(src_keys), keys, "left_semi")
@@ -125,10 +125,10 @@ def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequen
     if not months:
         return {"months": [], "created": False}
     touched = target.where(F.col(month_col).isin(months))
-    merged = merge_upsert(touched, src.select(*target.columns), keys, delete_when)
+    merged = merge_upsert(touched, src, keys, delete_when)
     stage = scratch_path(spark, "upsert-stage")
     merged.write.mode("overwrite").partitionBy(month_col).parquet(stage)
-    staged = spark.read.parquet(stage)
+    staged = spark.read.schema(merged.schema).parquet(stage)
     present = {r[0] for r in staged.select(month_col).distinct().collect()}
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(month_col).parquet(path))

@@ -47,6 +47,8 @@ def microbatch_sync(spark: SparkSession, source_dir: str, target_path: str, chec
     rows = explode_documents(scan_pending(document_stream(spark, source_dir, max_files)))
 
     def upsert_batch(batch: DataFrame, epoch_id: int) -> None:
+        if batch.isEmpty():
+            return
         write_upsert(batch.sparkSession, dedup_versions(batch, key), target_path, list(key), "training_date")
 
     writer = (rows.writeStream.foreachBatch(upsert_batch)
@@ -61,4 +63,8 @@ def run_to_completion(spark: SparkSession, source_dir: str, target_path: str, ch
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    from liftlake.operators.upsert import path_exists
+    from liftlake.schemas import TRAINING_LOG
+    if not path_exists(spark, target_path):
+        return spark.createDataFrame([], TRAINING_LOG)
     return spark.read.parquet(target_path).drop("training_month")
