@@ -143,8 +143,11 @@ def fallback_suggest(fct: DataFrame, flat: bool = False) -> DataFrame:
     of the latest date only."""
     order = [F.col("training_date").desc(), F.col("created_at").desc(), F.col("log_id").desc()]
     if flat:
-        last_day = F.max("training_date").over(Window.partitionBy("user_id", "exercise_id"))
-        rows = fct.withColumn("_ld", last_day).where(F.col("training_date") == F.col("_ld"))
+        # latest date per series from an aggregate, joined back (no window over set rows)
+        ld = fct.groupBy("user_id", "exercise_id").agg(F.max("training_date").alias("_ld")) \
+            .withColumnRenamed("user_id", "_u").withColumnRenamed("exercise_id", "_e")
+        rows = fct.join(ld, fct.user_id.eqNullSafe(ld._u) & fct.exercise_id.eqNullSafe(ld._e)
+                        & (fct.training_date == ld._ld))
         w = F.col("weight_kg") * 1.025
         sw = F.bround(w, 1)
         return rows.select("user_id", "exercise_id", "set_number", sw.alias("suggested_weight_kg"),

@@ -122,9 +122,12 @@ def body_part_ranking(bodypart: DataFrame, body_part_id: str | None = None,
         df = df.where(F.col("body_part_id") == body_part_id)
     if period_type is not None:
         df = df.where(F.col("period_type") == period_type)
-    mx = F.max("period_start").over(Window.partitionBy("body_part_id", "period_type"))
-    return (df.withColumn("_mx", mx)
-              .where((F.col("period_start") == F.col("_mx")) | F.col("period_start").isNull())
+    # newest period per (part, type): a tiny aggregate (parts x types rows)
+    # joined back, instead of a window whose partitions hold every user
+    mx = df.groupBy("body_part_id", "period_type").agg(F.max("period_start").alias("_mx")) \
+        .withColumnRenamed("body_part_id", "_bp").withColumnRenamed("period_type", "_pt")
+    j = df.join(F.broadcast(mx), df.body_part_id.eqNullSafe(mx._bp) & (df.period_type == mx._pt), "left")
+    return (j.where((F.col("period_start") == F.col("_mx")) | F.col("period_start").isNull())
               .select("body_part_id", "period_type", "period_start", "user_name", "total_volume", "rank"))
 
 
@@ -200,7 +203,11 @@ def exercise_history(fct: DataFrame, sessions: int = 3, user_id=None, exercise_i
                      row_cap: int | None = None) -> DataFrame:
     """Set rows of each (user, exercise)'s latest ``sessions``
     distinct dates, with the per-date total. ``row_cap`` reproduces the
-    screen's cap on the newest rows before grouping."""
+    screen's cap on the newest rows before grouping.
+
+    The date ranking runs on the per-day aggregate (one row per series and
+    day), not on the set rows, so a very active user does not put all of its
+    sets into one sorted window partition; the chosen days are joined back."""
     f = _user(fct, user_id)
     if exercise_id is not None:
         f = f.where(F.col("exercise_id") == exercise_id)
@@ -209,11 +216,14 @@ def exercise_history(fct: DataFrame, sessions: int = 3, user_id=None, exercise_i
         w = Window.partitionBy(*part).orderBy(F.col("training_date").desc(), F.col("set_number").asc(),
                                               F.col("log_id").asc())
         f = f.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= row_cap).drop("_rn")
+    days = f.groupBy(*part, "training_date").agg(F.sum("volume").alias("session_volume"))
     dr = F.dense_rank().over(Window.partitionBy(*part).orderBy(F.col("training_date").desc()))
-    f = f.withColumn("session_rank", dr.cast("bigint")).where(F.col("session_rank") <= sessions)
-    tot = F.sum("volume").over(Window.partitionBy("user_id", "exercise_id", "training_date"))
-    return f.select("user_id", "exercise_id", "training_date", "session_rank", "set_number", "weight_kg",
-                    "reps", "rpe", "volume", tot.alias("session_volume"))
+    days = days.withColumn("session_rank", dr.cast("bigint")).where(F.col("session_rank") <= sessions)
+    d = days.select(F.col("user_id").alias("_u"), F.col("exercise_id").alias("_e"),
+                    F.col("training_date").alias("_d"), "session_rank", "session_volume")
+    j = f.join(d, f.user_id.eqNullSafe(d._u) & f.exercise_id.eqNullSafe(d._e) & (f.training_date == d._d))
+    return j.select("user_id", "exercise_id", "training_date", "session_rank", "set_number", "weight_kg",
+                    "reps", "rpe", "volume", "session_volume")
 
 
 def session_restore(raw: DataFrame, training_date, now: _dt.datetime, user_id=None,
@@ -234,7 +244,10 @@ def session_volume_vs_previous(current: DataFrame, history: DataFrame) -> DataFr
         F.sum(F.col("weight_kg") * F.col("reps")).alias("current_volume"))
     last = history.where(F.col("session_rank") == 1).groupBy("user_id", "exercise_id").agg(
         F.max("session_volume").alias("previous_volume"))
-    j = cur.join(last, ["user_id", "exercise_id"], "left")
+    # null-safe keys: an unknown exercise (NULL id) is one series, as in the
+    # grouping that built the history
+    last = last.withColumnRenamed("user_id", "_u").withColumnRenamed("exercise_id", "_e")
+    j = cur.join(last, cur.user_id.eqNullSafe(last._u) & cur.exercise_id.eqNullSafe(last._e), "left")
     diff, pct = percent_difference(F.col("current_volume"), F.coalesce("previous_volume", F.lit(0.0)))
     return j.select("user_id", "exercise_id", "current_volume", "previous_volume",
                     diff.alias("diff"), pct.alias("pct"))
