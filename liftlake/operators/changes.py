@@ -185,3 +185,15 @@ def maintain_users(users: DataFrame, changes: DataFrame) -> DataFrame:
         if c not in fresh.columns:
             fresh = fresh.withColumn(c, F.lit(None).cast(users.schema[c].dataType))
     return known.unionByName(fresh.select(*users.columns))
+
+
+def optional_filter(df: DataFrame, column: str, value, all_value: str = "all") -> DataFrame:
+    """Add the predicate only when a concrete choice was made."""
+    if value is None or value == all_value:
+        return df
+    return df.where(F.col(column) == value)
+
+
+def case_insensitive_match(df: DataFrame, column: str, name: str) -> DataFrame:
+    """LOWER(column) = LOWER(name)."""
+    return df.where(F.lower(F.col(column)) == F.lower(F.lit(name)))

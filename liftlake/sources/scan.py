@@ -26,8 +26,10 @@ def _scan_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None,
+                 schema: str | None = None) -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.parquet(path)
     target = min_partitions or spark.sparkContext.defaultParallelism
     try:
         if _scan_bytes(spark, path) < MIN_BYTES_TO_SPREAD:

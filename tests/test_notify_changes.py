@@ -162,3 +162,21 @@ def test_users_and_validation(spark):
     assert errs["c"] == ["date_too_old"]
     assert good.count() == 0 and bad.count() == 3
     assert K.autosave_gate(rows.fillna({"weight_kg": 0.0})).count() == 1
+
+
+def test_seed_inline_and_parameters(spark):
+    from liftlake.sources import seed
+    from liftlake.plans import models as M
+    assert seed.seed_exercises(spark).count() == 19
+    assert seed.seed_users(spark).where("is_admin").count() == 1
+    a = sorted(map(tuple, seed.inline_dimension(spark).collect()))
+    b = sorted(map(tuple, M.d_body_part(spark).collect()))
+    assert a == b
+    ex = seed.seed_exercises(spark)
+    ex.createOrReplaceTempView("seed_ex")
+    got = seed.parameterised_query(spark, "SELECT exercise_id FROM seed_ex WHERE body_part_id = :bp "
+                                          "AND display_order <= :n", bp="leg", n=2).collect()
+    assert sorted(r.exercise_id for r in got) == ["leg_press", "squat"]
+    assert K.optional_filter(ex, "body_part_id", "all").count() == 19
+    assert K.optional_filter(ex, "body_part_id", "arm").count() == 3
+    assert K.case_insensitive_match(ex, "exercise_id", "SQUAT").count() == 1
