@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from liftlake.functions.exprs import rank_change_label, rank_diff
 
@@ -34,62 +32,56 @@ def with_rank_movement(df: DataFrame, rank: str = "rank", prev: str = "prev_rank
               .withColumn("rank_diff", rank_diff(rank, prev)))
 
 
-def _local_rank_fn(value: str, descending: bool):
-    def fn(batches):
-        # rows arrive sorted inside one range partition; carry the running
-        # position and the last (value, rank) across Arrow batches
-        seen = 0
-        last_val, last_rank = None, None
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_local_rank=pd.Series([], dtype="int64"))
-                continue
-            vals = pdf[value]
-            pos = pd.RangeIndex(seen + 1, seen + 1 + len(pdf)).to_numpy()
-            prev = vals.shift()
-            same = (vals == prev) | (vals.isna() & prev.isna())
-            new_group = (~same).to_numpy().copy()
-            new_group[0] = True
-            if last_rank is not None:
-                first = vals.iloc[0]
-                if (pd.isna(first) and pd.isna(last_val)) or (not pd.isna(first) and first == last_val):
-                    new_group[0] = False
-            first_pos = pd.Series(pos).where(new_group)
-            if not new_group[0]:
-                first_pos.iloc[0] = last_rank
-            ranks = first_pos.ffill().astype("int64").to_numpy()
-            seen += len(pdf)
-            last_val, last_rank = vals.iloc[-1], int(ranks[-1])
-            yield pdf.assign(_local_rank=ranks)
-    return fn
-
-
 def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool = True,
                 num_partitions: int | None = None) -> DataFrame:
     """RANK() OVER (ORDER BY value) without funnelling every row into one task.
 
-    1. ``repartitionByRange`` on the value: equal values land in the same
-       partition and partition i holds only values ranked before partition i+1.
-    2. Sort inside partitions and number rows with an Arrow-batched pandas
-       function (local rank, ties share the first position).
-    3. The result is checkpointed to the shared checkpoint folder so both
-       remaining passes see the same partitioning.
-    4. Offsets = cumulative row counts of the preceding partitions (one row
-       per partition, so the broadcast is bounded by the partition count).
-    NULL values sort last for descending and first for ascending order, as
-    in the window function.
+    rank(v) = 1 + number of rows ranked strictly before v. It is computed on
+    the *distinct values*:
+      1. per-value row counts (a combinable aggregate: a value held by a
+         third of all rows collapses map-side to one row per task);
+      2. the distinct values are cut into ``num_partitions`` value ranges at
+         approximate quantiles (only the cut points reach the driver);
+      3. inside each range a running sum of the counts gives the rows ranked
+         before each value in that range;
+      4. range offsets = rows in all earlier ranges (one row per range, a
+         broadcast bounded by the range count);
+      5. the (value, rank) table is joined back to the rows.
+    Every step is a pure function of the data, so a lost task recomputes
+    the same result (no dependence on partition ids). NULLs sort last for
+    descending and first for ascending order, as in the window function.
     """
+    from pyspark.ml.feature import Bucketizer
+
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    o = (F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first())
-    ranged = (df.repartitionByRange(n, o).sortWithinPartitions(o)
-                .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_local_rank", T.LongType(), False)])
-    local = ranged.mapInPandas(_local_rank_fn(value, descending), schema)
-    local = local.checkpoint(eager=True)
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-    res = local.join(F.broadcast(offsets), "_pid")
-    res = res.withColumn(out, (F.col("_local_rank") + F.col("_offset")).cast("bigint"))
-    return res.drop("_pid", "_local_rank", "_offset")
+    nb = max(1, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    v = F.col(value)
+    vc = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    vc = vc.withColumn("_vd", v.cast("double"))
+    cuts = vc.approxQuantile("_vd", [i / nb for i in range(1, nb)], 0.001) if nb > 1 else []
+    inner = sorted({c for c in cuts if c == c and c not in (float("inf"), float("-inf"))})
+    splits = [float("-inf")] + (inner or [0.0]) + [float("inf")]
+    vb = Bucketizer(splits=splits, inputCol="_vd", outputCol="_b", handleInvalid="keep").transform(vc)
+    vb = vb.withColumn("_b", F.col("_b").cast("int"))
+    o = v.desc() if descending else v.asc()
+    before = F.sum("_n").over(Window.partitionBy("_b").orderBy(o)
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    within = vb.withColumn("_before", F.coalesce(before, F.lit(0)))
+    per_range = vb.groupBy("_b").agg(F.sum("_n").alias("_t"))
+    ob = F.col("_b").desc() if descending else F.col("_b").asc()
+    offsets = per_range.select("_b", F.coalesce(F.sum("_t").over(
+        Window.orderBy(ob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    nulls_before = 0
+    if not descending:
+        nulls_before = df.where(v.isNull()).count()
+    ranks = within.join(F.broadcast(offsets), "_b").select(
+        F.col(value).alias("_rv"),
+        (F.col("_off") + F.col("_before") + F.lit(1 + nulls_before)).cast("bigint").alias("_rank"))
+    res = df.join(ranks, v == F.col("_rv"), "left")
+    if descending:
+        total = vc.agg(F.sum("_n")).first()[0] or 0
+        null_rank = F.lit(total + 1)
+    else:
+        null_rank = F.lit(1)
+    res = res.withColumn(out, F.when(v.isNull(), null_rank).otherwise(F.col("_rank")).cast("bigint"))
+    return res.drop("_rv", "_rank")
