@@ -48,13 +48,18 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool =
          broadcast bounded by the range count);
       5. the (value, rank) table is joined back to the rows.
     Every step is a pure function of the data, so a lost task recomputes
-    the same result (no dependence on partition ids). NULLs sort last for
+    the same result (no dependence on partition ids); the input is
+    checkpointed once because four passes read it. NULLs sort last for
     descending and first for ascending order, as in the window function.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = df.sparkSession
     nb = max(1, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the input (one row per ranked entity, e.g. per user) is read by the
+    # quantile pass, the count pass and the final join: materialise it once in
+    # the shared checkpoint folder instead of recomputing its whole lineage
+    df = df.checkpoint(eager=True)
     v = F.col(value)
     vc = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     vc = vc.withColumn("_vd", v.cast("double"))
