@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Largest dimension (rows) that is shipped to every executor. Beyond it the
 # join falls back to a shuffle join and AQE decides at run time.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

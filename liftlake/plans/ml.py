@@ -97,6 +97,14 @@ def latest_per_set(fct: DataFrame, as_of=None) -> DataFrame:
                          days_between(as_of_date(as_of), "training_date").alias("days_since_last"))
 
 
+def latest_per_set_number(fct: DataFrame, user_id: str, exercise_id: str) -> DataFrame:
+    """The latest row of every set number of one user and exercise."""
+    one = fct.where((F.col("user_id") == user_id) & (F.col("exercise_id") == exercise_id))
+    order = [F.col("training_date").desc(), F.col("created_at").desc(), F.col("log_id").desc()]
+    return latest_by_window(one, ["set_number"], order, n=1).select(
+        "set_number", "weight_kg", "reps", "rpe", "training_date")
+
+
 def predict_next(model, latest: DataFrame) -> DataFrame:
     """Model output for each latest set (inputs renamed to prev_*); the
     original joins predictions back on the series key, so a NULL key gets no

@@ -82,3 +82,14 @@ def test_last_training(spark):
     u1 = lt[("user_001", "chest")]
     assert (u1["days_since_last_bodypart"], u1["days_since_last_any"]) == (8, 8)
     assert u1["needs_3day_reminder"] is True and u1["needs_7day_reminder"] is True
+
+
+def test_latest_per_set_number(spark):
+    from liftlake.plans import ml as ML
+    got = {r.set_number: (r.weight_kg, r.training_date) for r in
+           ML.latest_per_set_number(fact(spark), "user_001", "bench_press").collect()}
+    assert got == {1: (80.0, D20), 2: (85.0, D20), 3: (90.0, D20)}
+    fb = {r.set_number: (r.suggested_weight_kg, r.suggested_reps) for r in
+          ML.fallback_suggest(fact(spark)).where("user_id = 'user_001' AND exercise_id = 'bench_press'").collect()}
+    # RPE 8.0 -> x1.025, 9.0 -> x1.025, 9.5 -> same weight and one more rep
+    assert fb == {1: (82.0, 5), 2: (87.1, 3), 3: (90.0, 2)}
