@@ -47,7 +47,6 @@ def submit_requests(requests: DataFrame, master: DataFrame, new: DataFrame,
                                 .withColumn("_pending", F.lit(True)))
     n = (new.withColumn("_n", F.lower("exercise_name"))
             .join(names, "_n", "left").join(pend, "_n", "left"))
-    first = F.row_number().over(Window.partitionBy("_n").orderBy("request_id")) == 1
     length = F.length("exercise_name")
     decision = (F.when(F.col("exercise_name").isNull() | (length < min_len) | (length > max_len), "invalid_length")
                  .when(F.coalesce(F.col("_in_master"), F.lit(False)), "exists_in_master")
@@ -63,7 +62,6 @@ def submit_requests(requests: DataFrame, master: DataFrame, new: DataFrame,
         F.when(F.col("reason") == "", None).otherwise(F.col("reason")).alias("reason"),
         F.lit("pending").alias("status"), F.lit(None).cast("string").alias("reviewed_by"),
         _now(now).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("reviewed_at"))
-    del first
     return decisions, requests.unionByName(accepted)
 
 

@@ -113,7 +113,7 @@ def q_calendar(spark, sf):
 # ---------------------------------------------------------------------------
 import datetime as _dt  # noqa: E402
 
-from pyspark.sql import Window  # noqa: E402
+
 from pyspark.sql import functions as F  # noqa: E402
 
 from liftlake.functions import exprs as H  # noqa: E402
@@ -330,9 +330,8 @@ def _doc_header(d):
 @register("J2_mark_synced")
 def q_mark_synced(spark, sf):
     d = docs(spark, sf)
-    written = DOC.explode_documents(DOC.scan_pending(d).where(F.size("sets") > 0))
+    # documents whose rows were written: every pending document with sets
     keys = d.where((F.col("sync_status") == "pending") & (F.size("sets") > 0)).select("doc_id")
-    del written
     return _doc_header(DOC.mark_synced(d, keys, CHANGE_NOW))
 
 

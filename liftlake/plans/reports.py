@@ -14,8 +14,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftlake.functions.exprs import (as_of_date, format_volume, month_end, month_start,
-                                      percent_difference, week_end, week_start)
+from liftlake.functions.exprs import (as_of_date, format_volume, month_end, percent_difference,
+                                      week_end, week_start)
 from liftlake.operators.joins import fixed_broadcast
 from liftlake.operators.latest import latest_by_key
 from liftlake.operators.lists import concat_distinct
