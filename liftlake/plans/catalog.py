@@ -772,3 +772,19 @@ def q_j6(spark, sf):
     base = scratch_path(spark, "j6")
     docs(spark, sf).write.mode("overwrite").json(f"{base}/incoming")
     return run_to_completion(spark, f"{base}/incoming", f"{base}/raw_training_log", f"{base}/checkpoint")
+
+
+@register("H11_zone_truncated_timestamp")
+def q_zone_trunc(spark, sf):
+    log = FX.notification_log(spark, sf)
+    ts = F.col("sent_at").cast("timestamp")
+    return log.select("notification_id", "sent_at",
+                      H.zone_truncated_timestamp(ts, "month").cast("timestamp_ntz").alias("month_start_utc"),
+                      H.zone_truncated_timestamp(ts, "day").cast("timestamp_ntz").alias("day_start_utc"))
+
+
+@register("M10_merge_same_day")
+def q_merge_same_day(spark, sf):
+    lt, u = _last_training(spark, sf), users(spark, sf)
+    plan = NT.daily_plan(NT.three_day_candidates(lt, u), NT.seven_day_candidates(lt, u), _base_count(spark, sf))
+    return NT.merge_same_day(plan)
