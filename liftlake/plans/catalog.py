@@ -114,6 +114,7 @@ def q_calendar(spark, sf):
 import datetime as _dt  # noqa: E402
 
 
+from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from liftlake.functions import exprs as H  # noqa: E402
@@ -338,14 +339,17 @@ def q_mark_synced(spark, sf):
 @register("K3_soft_delete_documents")
 def q_soft_delete_docs(spark, sf):
     d = docs(spark, sf)
-    keys = d.where(F.col("set_count") % 5 == 0).select("doc_id")
+    # delete every document that has no live set left
+    live = F.size(F.filter("sets", lambda x: ~F.coalesce(x["is_deleted"], F.lit(False))))
+    keys = d.where(live == 0).select("doc_id")
     return _doc_header(DOC.soft_delete_documents(d, keys, CHANGE_NOW))
 
 
 @register("K2_soft_delete_sets")
 def q_soft_delete_sets(spark, sf):
     d = docs(spark, sf)
-    req = d.where(F.col("set_count") % 2 == 0).select("doc_id", F.col("sets")[0]["set_id"].alias("set_id"))
+    # remove the first set of every document that has more than one
+    req = d.where(F.size("sets") > 1).select("doc_id", F.col("sets")[0]["set_id"].alias("set_id"))
     out = DOC.soft_delete_sets(d, req, CHANGE_NOW)
     return _doc_header(out)
 
@@ -353,9 +357,9 @@ def q_soft_delete_sets(spark, sf):
 @register("K1_save_documents")
 def q_save_docs(spark, sf):
     d = docs(spark, sf)
-    # edits: every 4th document re-saved with its sets plus one new set; new
-    # documents: the same exercise one day later for every 7th document
-    base = d.where(F.col("set_count") % 4 == 0)
+    # edits: every pending document re-saved with its sets plus one new set;
+    # new documents: each deleted document re-entered on the following day
+    base = d.where(F.col("sync_status") == "pending")
     extra = F.struct(F.lit(None).cast("string").alias("set_id"), F.lit(99).cast("bigint").alias("set_number"),
                      F.lit(20.0).alias("weight_kg"), F.lit(10).cast("bigint").alias("reps"),
                      F.lit(None).cast("double").alias("rpe"), F.lit("").alias("memo"),
@@ -363,7 +367,7 @@ def q_save_docs(spark, sf):
                      F.lit(None).cast("string").alias("updated_at"))
     edits = base.select("user_id", "user_name", "training_date", "body_part_id", "body_part_name", "exercise_id",
                         "exercise_name", F.concat("sets", F.array(extra)).alias("sets"))
-    fresh = d.where(F.col("set_count") % 7 == 0).select(
+    fresh = d.where(F.col("status") == "deleted").select(
         "user_id", "user_name", F.date_add(F.to_date("training_date"), 1).cast("string").alias("training_date"),
         "body_part_id", "body_part_name", "exercise_id", "exercise_name", "sets")
     fresh = (fresh.withColumn("_k", H.document_key("user_id", "training_date", "exercise_id"))
@@ -377,19 +381,26 @@ def q_save_docs(spark, sf):
 # ---------------------------------------------------------------------------
 @register("K4_soft_delete_log_rows")
 def q_soft_delete_log(spark, sf):
-    return K.soft_delete_log_rows(raw_log(spark, sf).select(*LOG14), prefix="1").select("log_id", "is_deleted")
+    # withdraw every set of an order still in process (status 'P'), plus the
+    # prefix rule used to purge test rows
+    li = FX.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    od = FX.read_table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select("o_orderkey")
+    ids = li.join(od, li.l_orderkey == od.o_orderkey, "left_semi").select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("log_id"))
+    return K.soft_delete_log_rows(raw_log(spark, sf).select(*LOG14), ids=ids, prefix="test-") \
+        .select("log_id", "is_deleted")
 
 
 def _new_requests(spark, sf):
-    c = FX.read_table(spark, sf, "customer").where(F.col("c_custkey") % 7 == 0)
+    c = FX.read_table(spark, sf, "customer")
     a = c.select(F.concat(F.lit("new_"), F.col("c_custkey").cast("string")).alias("request_id"),
                  F.concat(F.lit("user_"), (F.lit(1) + F.col("c_custkey") % 10).cast("string")).alias("user_id"),
                  F.concat(F.lower("c_mktsegment"), F.lit(" "), (F.col("c_nationkey") % 7).cast("string")).alias("exercise_name"),
                  F.lit("chest").alias("body_part_id"), F.lit("").alias("reason"))
-    p = FX.read_table(spark, sf, "part").where(F.col("p_partkey") % 50 == 0)
+    p = FX.read_table(spark, sf, "part")
     b = p.select(F.concat(F.lit("newp_"), F.col("p_partkey").cast("string")).alias("request_id"),
                  F.lit("user_2").alias("user_id"),
-                 F.when(F.col("p_partkey") % 100 == 0, F.upper("p_name")).otherwise(F.substring("p_name", 1, 1)).alias("exercise_name"),
+                 F.when(F.col("p_size") > 25, F.upper("p_name")).otherwise(F.substring("p_name", 1, 1)).alias("exercise_name"),
                  F.lit("leg").alias("body_part_id"), F.col("p_type").alias("reason"))
     return a.unionByName(b)
 
@@ -401,10 +412,18 @@ def q_submit(spark, sf):
     return dec
 
 
+def _first_pending_per_name(req, first: bool):
+    """Review batch: the oldest pending request of each (case-insensitive)
+    name is approved, later duplicates of it are rejected."""
+    w = Window.partitionBy(F.lower("exercise_name")).orderBy("created_at", "request_id")
+    p = req.where(F.col("status") == "pending").withColumn("_rn", F.row_number().over(w))
+    return p.where(F.col("_rn") == 1) if first else p.where(F.col("_rn") > 1)
+
+
 @register("K6_approve_requests")
 def q_approve(spark, sf):
     req = FX.exercise_request(spark, sf)
-    appr = req.where(F.col("request_id").endswith("2")).select("request_id", F.lit("user_1").alias("reviewer"))
+    appr = _first_pending_per_name(req, True).select("request_id", F.lit("user_1").alias("reviewer"))
     _, master = K.approve_requests(req, FX.exercise_master(spark, sf), appr, CHANGE_NOW)
     return master
 
@@ -412,14 +431,17 @@ def q_approve(spark, sf):
 @register("K7_reject_requests")
 def q_reject(spark, sf):
     req = FX.exercise_request(spark, sf)
-    rej = req.where(F.col("request_id").endswith("5")).select("request_id", F.lit("user_3").alias("reviewer"))
+    rej = _first_pending_per_name(req, False).select("request_id", F.lit("user_3").alias("reviewer"))
     return K.reject_requests(req, rej, CHANGE_NOW)
 
 
 @register("K8_deactivate_exercises")
 def q_deactivate(spark, sf):
+    # deactivate every exercise nobody trained in the year before as_of
     m = FX.exercise_master(spark, sf)
-    return K.deactivate_exercises(m, m.where(F.col("display_order") % 7 == 0).select("exercise_id"), CHANGE_NOW)
+    recent = fct(spark, sf).where(F.col("training_date") > F.date_sub(F.lit(FX.AS_OF), 365)) \
+        .select("exercise_id").distinct()
+    return K.deactivate_exercises(m, m.select("exercise_id").join(recent, "exercise_id", "left_anti"), CHANGE_NOW)
 
 
 @register("K9_add_exercises")
@@ -427,9 +449,9 @@ def q_add_ex(spark, sf):
     n = FX.read_table(spark, sf, "nation")
     new = n.select(F.regexp_replace(F.lower("n_name"), " ", "_").alias("exercise_id"),
                    F.concat(F.lower("n_name"), F.lit(" press")).alias("exercise_name"),
-                   F.lit("arm").alias("body_part_id"), (F.col("n_nationkey") % 2 == 0).alias("is_compound"),
+                   F.lit("arm").alias("body_part_id"), (F.col("n_regionkey") == 0).alias("is_compound"),
                    (F.col("n_nationkey") + 1).alias("display_order"))
-    p = FX.read_table(spark, sf, "part").where(F.col("p_partkey") % 97 == 0).select(
+    p = FX.read_table(spark, sf, "part").select(
         F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("exercise_id"), F.col("p_name").alias("exercise_name"),
         F.lit("arm").alias("body_part_id"), F.lit(False).alias("is_compound"), F.lit(5).alias("display_order"))
     dec, _ = K.add_exercises(FX.exercise_master(spark, sf), new.unionByName(p).distinct(), CHANGE_NOW)
