@@ -32,8 +32,13 @@ def with_rank_movement(df: DataFrame, rank: str = "rank", prev: str = "prev_rank
               .withColumn("rank_diff", rank_diff(rank, prev)))
 
 
+# Inputs up to this many rows are ranked by one sorted window task; larger
+# ones take the distributed value-range method below.
+SINGLE_TASK_RANK_ROWS = 200_000
+
+
 def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool = True,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, single_task_rows: int = SINGLE_TASK_RANK_ROWS) -> DataFrame:
     """RANK() OVER (ORDER BY value) without funnelling every row into one task.
 
     rank(v) = 1 + number of rows ranked strictly before v. It is computed on
@@ -49,7 +54,9 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool =
       5. the (value, rank) table is joined back to the rows.
     Every step is a pure function of the data, so a lost task recomputes
     the same result (no dependence on partition ids); the input is
-    checkpointed once because four passes read it. NULLs sort last for
+    checkpointed once because four passes read it. An input of at most
+    ``single_task_rows`` rows (checked on the checkpoint) is ranked by a
+    single sorted window instead. NULLs sort last for
     descending and first for ascending order, as in the window function.
     """
     from pyspark.ml.feature import Bucketizer
@@ -61,6 +68,10 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool =
     # the shared checkpoint folder instead of recomputing its whole lineage
     df = df.checkpoint(eager=True)
     v = F.col(value)
+    o = v.desc_nulls_last() if descending else v.asc_nulls_first()
+    if df.limit(single_task_rows + 1).count() <= single_task_rows:
+        # provably small: one sorted partition is cheaper than the range passes
+        return df.withColumn(out, F.rank().over(Window.orderBy(o)).cast("bigint"))
     vc = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     vc = vc.withColumn("_vd", v.cast("double"))
     cuts = vc.approxQuantile("_vd", [i / nb for i in range(1, nb)], 0.001) if nb > 1 else []
@@ -68,7 +79,6 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool =
     splits = [float("-inf")] + (inner or [0.0]) + [float("inf")]
     vb = Bucketizer(splits=splits, inputCol="_vd", outputCol="_b", handleInvalid="keep").transform(vc)
     vb = vb.withColumn("_b", F.col("_b").cast("int"))
-    o = v.desc() if descending else v.asc()
     before = F.sum("_n").over(Window.partitionBy("_b").orderBy(o)
                               .rowsBetween(Window.unboundedPreceding, -1))
     within = vb.withColumn("_before", F.coalesce(before, F.lit(0)))
