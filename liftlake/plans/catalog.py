@@ -257,7 +257,8 @@ def _split(df, col="updated_at"):
 @register("J4_incremental_staging")
 def q_incr_staging(spark, sf):
     raw = raw_log(spark, sf)
-    first = M.stg_training_log(raw.where(_split(raw)))
+    # the first load plays the stored target: materialise it like a table
+    first = M.stg_training_log(raw.where(_split(raw))).checkpoint()
     delta_src = watermark_filter(raw.where(~F.col("is_deleted")), "updated_at", first, "updated_at")
     delta = M.stg_training_log(delta_src)
     return merge_upsert(first, delta, ["log_id"])
@@ -267,7 +268,7 @@ def q_incr_staging(spark, sf):
 def q_incr_fact(spark, sf):
     ex, _, bp = dims(spark, sf)
     s = stg(spark, sf).checkpoint()
-    first = M.fct_training_set(s.where(_split(s)), ex, bp)
+    first = M.fct_training_set(s.where(_split(s)), ex, bp).checkpoint()
     src = watermark_filter(s, "updated_at", first, "created_at")
     delta = M.fct_training_set(src, ex, bp)
     return merge_upsert(first, delta, ["log_id"])
