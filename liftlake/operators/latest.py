@@ -61,8 +61,18 @@ def latest_by_window(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
     return out.drop("_rn")
 
 
+# Business columns of a log version after (updated_at, is_deleted); used to
+# make the version order total when no source tie-break keys are present.
+LOG_BUSINESS_COLUMNS = ("user_id", "exercise_name", "body_part", "training_date", "set_number",
+                        "weight_kg", "reps", "rpe", "memo", "input_source", "created_at")
+
+
 # Version order of the training log: newest update first; on equal update
-# times a deletion wins over the live row; the remaining business columns
-# (here the source's tie-break keys) make the order total.
-def training_log_order(extra: Sequence[str] = ("l_suppkey", "l_partkey")) -> list:
-    return [F.col("updated_at"), F.col("is_deleted").cast("int")] + [F.col(c) for c in extra]
+# times a deletion wins over the live row; then the given tie-break keys and
+# finally the remaining business columns make the order total.
+def training_log_order(extra: Sequence[str] = ("l_suppkey", "l_partkey"),
+                       columns: Sequence[str] | None = None) -> list:
+    order = [F.col("updated_at"), F.col("is_deleted").cast("int")] + [F.col(c) for c in extra]
+    if columns is not None:
+        order += [F.col(c) for c in LOG_BUSINESS_COLUMNS if c in columns and c not in extra]
+    return order

@@ -54,7 +54,8 @@ def stg_training_log(raw: DataFrame, tiebreak=("l_suppkey", "l_partkey"),
     ``tombstones=True`` de-duplicates first and then drops deleted keys.
     """
     tiebreak = [c for c in tiebreak if c in raw.columns]
-    order = training_log_order(tiebreak)
+    # without source tie-break keys the business columns decide equal versions
+    order = training_log_order(tiebreak, None if tiebreak else raw.columns)
     if tombstones:
         latest = latest_by_key(raw, ["log_id"], order)
         latest = latest.where(~F.col("is_deleted"))

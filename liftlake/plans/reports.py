@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from liftlake.functions.exprs import (as_of_date, format_volume, month_end, percent_difference,
                                       week_end, week_start)
 from liftlake.operators.joins import fixed_broadcast
-from liftlake.operators.latest import latest_by_key
+from liftlake.operators.latest import latest_by_key, training_log_order
 from liftlake.operators.lists import concat_distinct
 
 
@@ -29,8 +29,8 @@ def _live_latest(raw: DataFrame, start, end, user_id=None, tiebreak=("l_suppkey"
     """Filter user and date range *before* de-duplication (screen semantics),
     keep each (user, log_id)'s latest version, then drop deleted ones."""
     r = _user(raw, user_id).where(F.col("training_date").between(start, end))
-    order = [F.col("updated_at"), F.col("is_deleted").cast("int")] + [F.col(c) for c in tiebreak if c in raw.columns]
-    latest = latest_by_key(r, ["user_id", "log_id"], order)
+    keys = [c for c in tiebreak if c in raw.columns]
+    latest = latest_by_key(r, ["user_id", "log_id"], training_log_order(keys, None if keys else raw.columns))
     return latest.where(~F.col("is_deleted"))
 
 
