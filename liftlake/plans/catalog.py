@@ -811,3 +811,19 @@ def q_merge_same_day(spark, sf):
     lt, u = _last_training(spark, sf), users(spark, sf)
     plan = NT.daily_plan(NT.three_day_candidates(lt, u), NT.seven_day_candidates(lt, u), _base_count(spark, sf))
     return NT.merge_same_day(plan)
+
+
+@register("J7_daily_refresh")
+def q_daily(spark, sf):
+    """The whole daily job on a fresh lake in the shared scratch folder:
+    pending documents are synced, staged, joined into the fact, metrics,
+    checks and notifications are written; the result is the fact table."""
+    from liftlake.operators.upsert import scratch_path
+    from liftlake.plans.daily import Layout, daily_refresh
+    lay = Layout(scratch_path(spark, "lake"))
+    FX.exercise_master(spark, sf).write.parquet(lay.raw("exercise_master"))
+    FX.user_master(spark, sf).write.parquet(lay.raw("user_master"))
+    docs_path = f"{lay.root}/documents"
+    docs(spark, sf).write.parquet(docs_path)
+    daily_refresh(spark, lay, docs_path, _dt.date(2001, 11, 6), _dt.datetime(2001, 11, 6, 21, 0, 0))
+    return spark.read.parquet(lay.mart("fct_training_set")).drop("training_month")
