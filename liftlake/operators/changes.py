@@ -195,3 +195,8 @@ def optional_filter(df: DataFrame, column: str, value, all_value: str = "all") -
 def case_insensitive_match(df: DataFrame, column: str, name: str) -> DataFrame:
     """LOWER(column) = LOWER(name)."""
     return df.where(F.lower(F.col(column)) == F.lower(F.lit(name)))
+
+
+def not_deleted(df: DataFrame, column: str = "is_deleted") -> DataFrame:
+    """The soft-delete filter (a missing flag counts as live)."""
+    return df.where(~F.coalesce(F.col(column), F.lit(False)))

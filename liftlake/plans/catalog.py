@@ -827,3 +827,16 @@ def q_daily(spark, sf):
     docs(spark, sf).write.parquet(docs_path)
     daily_refresh(spark, lay, docs_path, _dt.date(2001, 11, 6), _dt.datetime(2001, 11, 6, 21, 0, 0))
     return spark.read.parquet(lay.mart("fct_training_set")).drop("training_month")
+
+
+@register("A14_parameterised_query")
+def q_params(spark, sf):
+    """SQL text with named parameter markers, values bound by Spark (and
+    GROUP BY ordinals, D16), over a temporary view of the fact."""
+    from liftlake.sources.seed import parameterised_query
+    view = f"fct_{abs(hash(sf)) % 10**8}"
+    fct(spark, sf).createOrReplaceTempView(view)
+    return parameterised_query(
+        spark, f"SELECT user_id, training_date, COUNT(*) AS n_sets, SUM(volume) AS day_volume "
+               f"FROM {view} WHERE training_date >= :since AND body_part_id = :part GROUP BY 1, 2",
+        since=_dt.date(2001, 1, 1), part="chest")
