@@ -59,6 +59,9 @@ def train_predictor(pairs: DataFrame, trials: int = 5, max_iter: int = 50, seed:
 
     data = pairs.select(*[F.col(c).cast("double").alias(c) for c in FEATURES + [LABEL]])
     data = data.withColumn("is_validation", _validation_flag(data))
+    # tuning and boosting pass over the pairs many times: materialise them once
+    # in the shared checkpoint folder instead of re-deriving them from the log
+    data = data.checkpoint(eager=True)
     imputer = Imputer(inputCols=["prev_rpe"], outputCols=["prev_rpe_filled"], strategy="median")
     feats = [c if c != "prev_rpe" else "prev_rpe_filled" for c in FEATURES]
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
