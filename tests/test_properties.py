@@ -42,6 +42,10 @@ def test_global_rank_equals_window_rank(spark, vals, parts):
     small = {r.id: r.rank for r in global_rank(df, "v").collect()}
     ref = {r.id: r.rank for r in df.withColumn("rank", F.rank().over(Window.orderBy(F.col("v").desc()))).collect()}
     assert mine == ref == small
+    asc = {r.id: r.rank for r in global_rank(df, "v", descending=False, num_partitions=parts,
+                                             single_task_rows=0).collect()}
+    ref_asc = {r.id: r.rank for r in df.withColumn("rank", F.rank().over(Window.orderBy(F.col("v").asc()))).collect()}
+    assert asc == ref_asc
 
 
 def _loop_plan(base, n3, n7):
@@ -113,3 +117,17 @@ def test_records_equal_naive_correlated_subquery(spark, rows):
         prev = [r[2] for r in mine if r[1] < ach]
         expect[(k, "best")] = (best, ach, max(prev) if prev else None)
     assert got == expect
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.one_of(st.none(), st.integers(0, 5))),
+                     min_size=1, max_size=40),
+       parts=st.integers(1, 5), desc=st.booleans())
+def test_partitioned_range_rank_equals_window(spark, rows, parts, desc):
+    from liftlake.operators.rank import rank_in_partition
+    df = spark.createDataFrame([(i, p, v) for i, (p, v) in enumerate(rows)], "id int, p int, v int")
+    mine = {r.id: r.rank for r in rank_in_partition(df, ["p"], "v", descending=desc, num_partitions=parts,
+                                                     single_task_rows=0).collect()}
+    o = F.col("v").desc() if desc else F.col("v").asc()
+    ref = {r.id: r.rank for r in df.withColumn("rank", F.rank().over(Window.partitionBy("p").orderBy(o))).collect()}
+    assert mine == ref
