@@ -43,9 +43,10 @@ def with_rank_movement(df: DataFrame, rank: str = "rank", prev: str = "prev_rank
               .withColumn("rank_diff", rank_diff(rank, prev)))
 
 
-# Inputs up to this many rows are ranked by one sorted window task; larger
-# ones take the distributed value-range method below.
-SINGLE_TASK_RANK_ROWS = 200_000
+# A window partition of up to this many rows is sorted by one task; when the
+# largest partition (or the whole input, without partition keys) is bigger,
+# the distributed value-range method below is used instead.
+SINGLE_TASK_RANK_ROWS = 1_000_000
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -81,9 +82,9 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool =
       5. the (partition, value, rank) table is joined back to the rows.
     Every step is a pure function of the data, so a lost task recomputes
     the same result (no dependence on partition ids); the input is
-    checkpointed once because four passes read it. An input of at most
-    ``single_task_rows`` rows (checked on the checkpoint) is ranked by a
-    plain window instead. NULL values sort last for descending and first
+    checkpointed once because four passes read it. When the largest window
+    partition has at most ``single_task_rows`` rows (checked on the
+    checkpoint) a plain window ranks it instead. NULL values sort last for descending and first
     for ascending order, and NULL partition keys form one partition, as in
     the window function.
     """
@@ -100,8 +101,12 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool =
     df = df.checkpoint(eager=True)
     v = F.col(value)
     o = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    if df.limit(single_task_rows + 1).count() <= single_task_rows:
-        # provably small: sorted window partitions are cheaper than the range passes
+    if P:
+        largest = df.groupBy(*P).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    else:
+        largest = df.limit(single_task_rows + 1).count()
+    if largest <= single_task_rows:
+        # every window partition is provably small: sorted windows are cheaper
         w = Window.partitionBy(*P).orderBy(o) if P else Window.orderBy(o)
         return df.withColumn(out, F.rank().over(w).cast("bigint"))
     vc = df.where(v.isNotNull()).groupBy(*P, value).agg(F.count(F.lit(1)).alias("_n"))
