@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlake.llm import decontaminate as _decontaminate
+from liftlake.llm import language as _language
+from liftlake.llm import quality as _quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _language.predict(docs, _language.train(docs))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("items", "starts", "ends")
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 
