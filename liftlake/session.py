@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +65,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="liftlake-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once for a Spark context), for the
+    operators that run Python functions in tasks."""
+    sc = spark.sparkContext
+    if getattr(sc, "_liftlake_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="liftlake-package-")
+    path = os.path.join(folder, "liftlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for base, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._liftlake_shipped = True
