@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlake.llm import decontaminate as _decontaminate
+from liftlake.llm import exact as _exact
 from liftlake.llm import language as _language
 from liftlake.llm import quality as _quality
+from liftlake.llm import secrets as _secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _language.predict(docs, _language.train(docs))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -29,7 +39,9 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
