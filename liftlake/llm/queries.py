@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from liftlake.llm import decontaminate as _decontaminate
 from liftlake.llm import exact as _exact
 from liftlake.llm import language as _language
+from liftlake.llm import personal as _personal
+from liftlake.llm import pieces as _pieces
 from liftlake.llm import quality as _quality
 from liftlake.llm import secrets as _secrets
 
@@ -38,12 +40,23 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items", "starts", "ends")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _personal.personal_data(docs, _personal.train(docs))
+
+
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_personal_data": op9_personal_data,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 
 ORACLE: dict[str, str] = {}

@@ -32,15 +32,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 _BYTE_HASH = _table()
 _BASE = 0x5851F42D4C957F2D          # odd, so it has an inverse modulo 2**64
+_POWERS: dict[int, np.ndarray] = {}
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=_U)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """1, base, base ** 2, ... modulo 2 ** 64 (kept for the longest asked for)."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(n, base, dtype=_U)
+        have[:1] = 1
+        np.multiply.accumulate(have, out=have)
+        _POWERS[base] = have
+    return have[:n]
 
 
 #: Word characters of the near-duplicate contract: all but space and \x09-\x0D.
@@ -68,7 +72,23 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(values: np.ndarray, s: np.ndarray, e: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Hash of every span [s, e) of an array of 64-bit values, from prefix sums
+    of value * base ** (position within a block of fixed length).  A span that
+    crosses the edge of a block (rare) is summed by itself."""
+    if len(s) == 0:
+        return np.zeros(0, _U)
+    power = _powers(_BASE, min(block, len(values)))
+    total = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * (np.tile(power, -(-len(values) // block))[:len(values)] if len(values) > block else power), out=total[1:])
+    h = (total[e] - total[s]) * _powers(_INVERSE, min(block, len(values)))[s % block]
+    for i in np.flatnonzero((s // block) != ((e - 1) // block)):
+        own = values[s[i]:e[i]]
+        h[i] = (own * _powers(_BASE, len(own))).sum(dtype=_U)
+    return h + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)
+
+
+def words(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words and, for each document, the index of its
     first word (n + 1 entries).  Words never cross documents."""
     if len(raw) == 0:
@@ -82,20 +102,7 @@ def words(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray, block: int = 1
     starts[first] = inside[first]
     ends[last] = inside[last]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    low = _BYTE_HASH[_LOWER[raw]]
-    power = np.tile(_powers(_BASE, block), -(-len(raw) // block))[:len(raw)] if len(raw) > block else _powers(_BASE, len(raw))
-    # prefix sums of byte value * base ** (position in its block of a fixed
-    # length); a word that crosses a block edge is summed in two parts
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(low * power, out=total[1:])
-    inverse = _powers(_INVERSE, block)
-    edge = (s // block) != ((e - 1) // block)
-    h = (total[e] - total[s]) * inverse[s % block]
-    for i in np.flatnonzero(edge):
-        own = low[s[i]:e[i]]
-        h[i] = (own * _powers(_BASE, len(own))).sum(dtype=_U)
-    h = mix64(h + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return h, np.searchsorted(s, off)
+    return mix64(span_hashes(_BYTE_HASH[_LOWER[raw]], s, e)), np.searchsorted(s, off)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
