@@ -11,6 +11,7 @@ from liftlake.llm import personal as _personal
 from liftlake.llm import pieces as _pieces
 from liftlake.llm import quality as _quality
 from liftlake.llm import secrets as _secrets
+from liftlake.llm import toxicity as _toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _toxicity.score(docs, _toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("items", "starts", "ends")
@@ -54,6 +60,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_personal_data": op9_personal_data,
     "op10_piece_sampling": op10_piece_sampling,
