@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from liftlake.llm import decontaminate as _decontaminate
 from liftlake.llm import exact as _exact
+from liftlake.llm import jaccard as _jaccard
 from liftlake.llm import language as _language
 from liftlake.llm import personal as _personal
 from liftlake.llm import pieces as _pieces
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.jaccard_classes(_table(spark, sf_dir, "documents")).drop("set_key")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
