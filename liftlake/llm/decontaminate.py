@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from liftlake.llm.runtime import column, lists, map_slices
 from liftlake.llm.words import ALNUM_SPLIT, byte_view, mix64, words
@@ -30,7 +30,6 @@ WINDOW_WORDS = 13
 K = 5
 BLOCK_WORDS = 2_000_000
 _SPAN = WINDOW_WORDS - K + 1
-_FOUND = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>"
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -128,7 +127,7 @@ class Block:
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
     """The items in blocks, read partition by partition."""
     ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
     for row in rows.toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
@@ -140,80 +139,96 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
         yield Block(np.array(ids, object), pa.array(texts, pa.large_string()))
 
 
-def _scan(docs: DataFrame, block: Block | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block) if block is not None else None
+def _merged(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document, overlapping and touching ones as one."""
+    order = np.lexsort((starts, doc))
+    s, e, d = starts[order], ends[order], doc[order]
+    if not len(s):
+        return s, e, d
+    # a document's spans lie beyond all spans of the documents before it
+    width = int(e.max()) + 1
+    reach = np.maximum.accumulate(e + d * width)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] + d[1:] * width > reach[:-1]
+    begin = np.flatnonzero(new)
+    last = reach[np.append(begin[1:], len(s)) - 1]
+    return s[begin], last - d[begin] * width, d[begin]
+
+
+def _flat(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column end to end, and the row of each."""
+    col = column(part, name)
+    count = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.asarray(col.flatten(), np.int64), np.repeat(np.arange(len(count)), count)
+
+
+def _scan(rows: DataFrame, block: Block | None) -> DataFrame:
+    """The rows with the hits of one block put to those found before."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = part.num_rows
         h, first = words(*byte_view(column(part, "text")), ALNUM_SPLIT)
-        n_docs = part.num_rows
-        starts = ends = item = np.zeros(0, np.int64)
-        if shared is not None:
-            starts, ends, item = shared.value.hits(h, first)
-        own = _owner(first)
-        doc = own[starts] if len(starts) else starts
-        # merge the spans of each document
-        order = np.lexsort((starts, doc))
-        s, e, d = starts[order], ends[order], doc[order]
-        reach = np.maximum.accumulate(e) if len(e) else e
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] > reach[:-1]) | (d[1:] != d[:-1])
-        begin = np.flatnonzero(new)
-        last = reach[np.append(begin[1:], len(s)) - 1] if len(s) else s
-        s, d = s[begin], d[begin]
-        pair = np.unique(np.stack([doc, item], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-        ids = shared.value.ids[pair[:, 1]] if shared is not None else np.zeros(0, object)
-        yield pa.RecordBatch.from_arrays([
-            column(part, "doc_id"), pa.array(np.diff(first), pa.int64()),
-            lists((s - first[d]).astype(np.int32), np.bincount(d, minlength=n_docs), pa.int32()),
-            lists((last - first[d]).astype(np.int32), np.bincount(d, minlength=n_docs), pa.int32()),
-            lists(ids, np.bincount(pair[:, 0], minlength=n_docs), pa.int64()),
-        ], names=["doc_id", "n_words", "starts", "ends", "items"])
-    return map_slices(docs, run, _FOUND)
+        starts, doc = _flat(part, "_starts")
+        ends, _ = _flat(part, "_ends")
+        items, item_doc = _flat(part, "_items")
+        if shared.value is not None:
+            s, e, item = shared.value.hits(h, first)
+            d = _owner(first)[s] if len(s) else s
+            pair = np.unique(np.stack([d, item], 1), axis=0) if len(d) else np.zeros((0, 2), np.int64)
+            starts, ends, doc = (np.concatenate(x) for x in ((starts, s - first[d]), (ends, e - first[d]), (doc, d)))
+            items = np.concatenate([items, shared.value.ids[pair[:, 1]].astype(np.int64)])
+            item_doc = np.concatenate([item_doc, pair[:, 0]])
+            order = np.lexsort((items, item_doc))
+            items, item_doc = items[order], item_doc[order]
+        starts, ends, doc = _merged(starts, ends, doc)
+        new = {"_n_words": pa.array(np.diff(first), pa.int64()),
+               "_starts": lists(starts, np.bincount(doc, minlength=n), pa.int64()),
+               "_ends": lists(ends, np.bincount(doc, minlength=n), pa.int64()),
+               "_items": lists(items, np.bincount(item_doc, minlength=n), pa.int64())}
+        yield pa.RecordBatch.from_arrays([new.get(c, column(part, c)) for c in part.schema.names], names=part.schema.names)
+    return map_slices(rows, run, rows.schema)
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """All columns of ``docs`` and _n_words, _starts, _ends (merged hit spans, in
+    words) and _items (ids of the items hit); no shuffle, whatever the blocks."""
+    none = F.expr("cast(array() as array<bigint>)")
+    rows = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_starts": none, "_ends": none, "_items": none})
+    any_block = False
+    for block in _blocks(benchmark, block_words):
+        rows, any_block = _scan(rows, block), True
+    return rows if any_block else _scan(rows, None)
+
+
+def _n_hit() -> Column:
+    return F.aggregate(F.zip_with("_ends", "_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _contaminated() -> Column:
+    return (_n_hit() > 0) & (_n_hit() * 20 >= F.col("_n_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (item ids),
-    items_sha256, contaminated, starts, ends (merged hit spans, in words).
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated, items (item ids), starts, ends (merged hit spans, in words).
 
     A document is contaminated if it has a hit and at least a twentieth of its
     words is hit.  Null, empty and word-free texts have no words and are
-    clean; a null or empty item has no window and matches nothing; repeated
-    rows are judged each on its own; empty tables give empty (documents) or
-    all-clean (benchmark) results.  Only doc_id and text, and item_id and text,
-    are read, so other columns of any name do not matter.
+    clean; a null or empty item has no window and matches nothing, an item
+    without an id is left out; repeated rows are judged each on its own; empty
+    tables give empty (documents) or all-clean (benchmark) results.  Only
+    doc_id and text, and item_id and text, are read, so other columns of any
+    name do not matter.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
-    for n, block in enumerate(_blocks(benchmark, block_words)):
-        part = _scan(docs if n == 0 else docs.withColumn("text", F.col("text")), block)
-        found = part if found is None else found.unionByName(part.where("size(items) > 0"))
-        several = n > 0
-    if found is None:
-        found, several = _scan(docs, None), False
-    if several:
-        # spans of one document found by different blocks: a list bounded by
-        # the document's own length
-        found = (found.groupBy("doc_id", "n_words")
-                 .agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"),
-                      F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-                 .withColumn("spans", F.array_sort("spans")))
-        merged = F.aggregate(
-            "spans", F.expr("cast(array() as array<struct<starts:int,ends:int>>)"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= x["starts"]),
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                    F.element_at(acc, -1)["starts"].alias("starts"),
-                    F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends"))))
-            ).otherwise(F.concat(acc, F.array(x))))
-        found = found.withColumn("spans", merged).select(
-            "doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
-    n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")),
-                        F.lit(0).cast("long"), lambda a, x: a + x)
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
-        F.array_sort("items").alias("items"), "starts", "ends")
+    ids = F.array_sort(F.transform("_items", lambda x: x.cast("string")))
+    return with_hits(docs, benchmark, block_words).select(
+        "doc_id", F.col("_n_words").alias("n_words"), _n_hit().alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), _contaminated().alias("contaminated"),
+        F.col("_items").alias("items"), F.col("_starts").alias("starts"), F.col("_ends").alias("ends"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    return with_hits(docs, benchmark, block_words).where(~_contaminated()).select(*docs.columns)

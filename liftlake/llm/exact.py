@@ -74,7 +74,8 @@ def keyed_state(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and
+    the row's locator (file, row).
 
     Null texts count as empty, so all null, empty and equal texts group as
     their normalised bytes say.  Of rows with one id and equal texts the first
@@ -120,4 +121,14 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> Data
             F.coalesce(F.col("s.own_n"), F.col("r.group_size") - F.coalesce("r.lost", F.lit(0))).alias("group_size"))
     return rows.select(
         "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size",
-        _ident().eqNullSafe(F.col("keeper")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        _ident().eqNullSafe(F.col("keeper")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "file", "row")
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay by ``exact_dedup(docs)``."""
+    stay = found.where("kept").select("doc_id", "file", "row").alias("s")
+    rows = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}) if docs.inputFiles() else (
+        docs.withColumns({"_file": F.lit(None).cast("string"), "_row": F.lit(None).cast("long")}))
+    same = (F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("_file").eqNullSafe(F.col("s.file"))
+            & F.col("_row").eqNullSafe(F.col("s.row")))
+    return rows.alias("d").join(stay, same, "left_semi").select(*docs.columns)

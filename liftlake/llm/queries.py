@@ -33,7 +33,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact.exact_dedup(_table(spark, sf_dir, "documents"))
+    return _exact.exact_dedup(_table(spark, sf_dir, "documents")).drop("file", "row")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
