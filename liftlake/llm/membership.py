@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 BITS = 1 << 24
 
 
-def id_filter(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def id_filter(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
     """Rows of ``docs`` (with a long doc_id) that may be among ``ids``: no
     wanted row is lost, few others pass.  Saves shuffling texts that the join
-    that follows would only throw away."""
+    that follows would only throw away.  With ``inside`` false: the other rows,
+    none of which is wanted; the two parts together are all rows."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     bitmap = (ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
@@ -33,5 +34,5 @@ def id_filter(docs: DataFrame, ids: DataFrame) -> DataFrame:
             bucket = batch.column(names.index("_bucket")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             bit = batch.column(names.index("_bit")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = (shared.value[bucket * width + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            yield batch.select(names[:-2]).filter(pa.array(hit.astype(bool)))
+            yield batch.select(names[:-2]).filter(pa.array(hit.astype(bool) == inside))
     return marked.mapInArrow(run, docs.schema)

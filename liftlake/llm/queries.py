@@ -12,6 +12,7 @@ from liftlake.llm import personal as _personal
 from liftlake.llm import pieces as _pieces
 from liftlake.llm import quality as _quality
 from liftlake.llm import secrets as _secrets
+from liftlake.llm import spans as _spans
 from liftlake.llm import toxicity as _toxicity
 
 
@@ -51,6 +52,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items", "starts", "ends")
 
 
+def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _personal.personal_data(docs, _personal.train(docs))
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_repeat_removal": op8_repeat_removal,
     "op9_personal_data": op9_personal_data,
     "op10_piece_sampling": op10_piece_sampling,
 }
