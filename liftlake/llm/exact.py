@@ -19,6 +19,9 @@ _ROCKS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # commit small change logs; full snapshots are uploaded in the background
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # no space set aside ahead: 4 MB for each open store is more than a small
+    # partition's whole state
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Files that one micro-batch takes, at most; the state carries over.
 FILES_PER_BATCH = 10_000
