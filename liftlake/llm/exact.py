@@ -32,6 +32,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body.cast("binary"), 256))
+
+
 def _with_locator(docs: DataFrame) -> DataFrame:
     """doc_id, text and where the text is found: (file, row) for a scan of
     files, else (null, null)."""
@@ -91,7 +95,7 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> Data
     spark = docs.sparkSession
     docs = _with_locator(docs)
     log_path = scratch(spark, "exact-log")
-    (docs.select("doc_id", "file", "row", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"))
+    (docs.select("doc_id", "file", "row", _digest(normalised(F.col("text"))).alias("digest"))
      .write.parquet(log_path))
     log = spark.read.parquet(log_path)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_path)

@@ -181,15 +181,16 @@ class Field:
 
 
 def _agreement(label: np.ndarray, pairs: np.ndarray, k: int, prior: float) -> np.ndarray:
-    """Log of how much oftener two labels meet on an edge than by chance."""
-    met = np.full((k, k), prior / k / k) + np.eye(k) * prior
+    """Log of how much oftener two labels meet on an edge than by chance; before
+    any edge is seen, labels are taken to agree in 999 of 1000."""
+    met = np.full((k, k), 0.001 * prior / (k - 1)) + np.eye(k) * prior
     np.add.at(met, (label[pairs[:, 0]], label[pairs[:, 1]]), 1.0)
     met = met + met.T
     share = met.sum(1) / met.sum()
     return np.log(met / met.sum() / (share[:, None] * share[None]))
 
 
-def fit(texts: list[str], ridge: float = 1e-2, steps: int = 300) -> Field | None:
+def fit(texts: list[str], ridge: float = 1.0, steps: int = 300) -> Field | None:
     """Unary weights by softmax regression, edge potentials by counts; None
     if no text has a node."""
     n = nodes(texts, [base_spans(t) for t in texts])
