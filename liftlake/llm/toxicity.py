@@ -32,6 +32,7 @@ from liftlake.llm.words import byte_view, mix64
 SAMPLE_PER_CLASS = 1500
 #: Candidate words kept from a class, and landmarks.
 WORDS_PER_CLASS = 600
+HARD_WORDS = 3000
 LANDMARKS = 256
 #: Evidence (texts times log ratio of its rates) that makes a word a positive.
 EVIDENCE = 16.0
@@ -187,25 +188,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], label: np.ndarray, toxic_share: float, rounds: int = 3, seed: int = 5) -> Model | None:
+def _parts(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, Words, int]]:
+    """(index of the first text, words, number of texts), a bounded part of the
+    texts at a time."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= limit):
+            size += len(texts[stop])
+            stop += 1
+        yield at, cut_words(*byte_view(pa.array(texts[at:stop], pa.large_string()))), stop - at
+        at = stop
+
+
+def fit(texts: list[str], label: np.ndarray, rounds: int = 4, seed: int = 5) -> Model | None:
     """Train on texts with 0/1 labels (sorted beforehand, so runs agree)."""
     if not (label == 1).any() or not (label == 0).any():
         return None
-    array = pa.array(texts, pa.large_string())
-    w = cut_words(*byte_view(array))
     # in how many toxic and clean texts every word occurs
-    pair = np.unique(np.stack([w.hashed, w.text.astype(np.uint64)]), axis=1)
-    _, index, back = np.unique(w.hashed, return_index=True, return_inverse=True)
-    names = np.unique(w.hashed)
-    where, toxic = np.searchsorted(names, pair[0]), label[pair[1].astype(np.int64)] == 1
+    hashed, text = [], []
+    for base, w, _ in _parts(texts):
+        order = np.lexsort((w.hashed, w.text))
+        h, t = w.hashed[order], w.text[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])] if len(h) else np.zeros(0, bool)
+        hashed.append(h[new])
+        text.append(t[new] + base)
+    hashed, text = np.concatenate(hashed), np.concatenate(text)
+    names, where = np.unique(hashed, return_inverse=True)
+    if not len(names):
+        return None
+    toxic = label[text] == 1
     in_toxic, in_clean = np.bincount(where[toxic], minlength=len(names)), np.bincount(where[~toxic], minlength=len(names))
     n1, n0 = (label == 1).sum(), (label == 0).sum()
     lift = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((in_clean + 0.5) / (n0 + 1))
     evidence = in_toxic * np.maximum(lift, 0)
 
+    spelling: dict[int, bytes] = {}
+
     def spelt(k: int) -> bytes:
-        i = index[k]
-        return w.chars[w.start[i] + 1:w.start[i] + w.size[i] - 1].tobytes()
+        return spelling[k]
+
+    def spell(w: Words, i: int, k: int) -> None:
+        if k not in spelling:
+            spelling[k] = w.chars[w.start[i] + 1:w.start[i] + w.size[i] - 1].tobytes()
 
     rng = np.random.default_rng(seed)
     order = np.lexsort((names, -evidence))
@@ -215,40 +240,52 @@ def fit(texts: list[str], label: np.ndarray, toxic_share: float, rounds: int = 3
     common = in_clean / max(in_clean.sum(), 1)
     good = [int(k) for k in rng.choice(len(names), min(WORDS_PER_CLASS * 4, int((common > 0).sum())), replace=False, p=common)]
     good = sorted(set(good) - set(bad))
-    # landmarks: the most telling words, and clean ones for contrast
-    marks = explicit([spelt(k) for k in bad[:LANDMARKS * 3 // 4]] + [spelt(k) for k in good[:LANDMARKS // 4]])
-    used = np.flatnonzero(marks.any(0))
-    between = (marks[:, used] @ marks[:, used].T).astype(float)
-    value, vector = np.linalg.eigh(between)
-    root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    columns = np.full(1 << _BITS, -1, np.int64)
-    columns[used] = np.arange(len(used))
-
-    def nystroem(rows: list[int]) -> np.ndarray:
-        out = [explicit([spelt(k) for k in rows[a:a + 128]])[:, used] @ marks[:, used].T for a in range(0, len(rows), 128)]
-        return np.concatenate(out).astype(float) @ root
-
-    weight = None
-    negatives, positives = good, bad
+    wanted = np.sort(names[sorted(set(good) | set(bad))])
+    for _, w, _ in _parts(texts):
+        for i in np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, w.hashed), len(wanted) - 1)] == w.hashed):
+            spell(w, i, int(np.searchsorted(names, w.hashed[i])))
+    negatives, positives, hard = good, bad, {}
     for _ in range(rounds):
-        x = np.concatenate([nystroem(positives), nystroem(negatives)])
+        # landmarks: the most telling words, and for contrast common clean
+        # words and those that the last rounds took for toxic
+        worst = sorted(hard, key=lambda k: (-hard[k], k))[:LANDMARKS // 4]
+        chosen = list(dict.fromkeys([*bad[:LANDMARKS // 2], *worst, *good]))[:LANDMARKS]
+        marks = explicit([spelt(k) for k in chosen])
+        used = np.flatnonzero(marks.any(0))
+        marks = marks[:, used]
+        value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
+        root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
+
+        def nystroem(rows: list[int]) -> np.ndarray:
+            out = [explicit([spelt(k) for k in rows[a:a + 128]])[:, used] @ marks.T for a in range(0, len(rows), 128)]
+            return np.concatenate(out).astype(float) @ root
+
+        x = np.concatenate([nystroem(positives), nystroem(negatives)] if negatives else [nystroem(positives)])
         y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
         # a positive counts by its evidence, a negative by how common it is
-        share = np.concatenate([evidence[positives] / evidence[positives].mean(),
+        share = np.concatenate([evidence[positives] / max(evidence[positives].mean(), 1e-9),
                                 np.sqrt(1.0 + in_clean[negatives])])
         solved = _svm(x, y, share)
         weight = np.zeros(1 << _BITS)
-        weight[used] = marks[:, used].T.astype(float) @ (root @ solved[:-1])
-        value = word_values(w, weight) + solved[-1]
-        # the most toxic word of every text: of toxic texts a positive where
-        # it also tells, of clean texts a hard negative
-        order = np.lexsort((-value, w.text))
-        first = order[np.flatnonzero(np.r_[True, w.text[order][1:] != w.text[order][:-1]])] if len(order) else order
-        hard = [int(back[i]) for i in first if label[w.text[i]] == 0]
-        told = [int(back[i]) for i in first if label[w.text[i]] == 1 and evidence[back[i]] >= EVIDENCE / 2]
-        positives = sorted(set(bad) | set(told))
-        negatives = sorted(set(good) | (set(hard) - set(positives)))
-    x = top_values(word_values(w, weight), w.text, len(texts))
+        weight[used] = marks.T.astype(float) @ (root @ solved[:-1])
+        # the most toxic words of every text: of toxic texts a positive where
+        # they also tell, of clean texts hard negatives, which are kept
+        told = set()
+        for base, w, _ in _parts(texts):
+            value = word_values(w, weight)
+            order = np.lexsort((-value, w.text))
+            t = w.text[order]
+            first = order[np.arange(len(t)) - np.searchsorted(t, t) < 3]
+            for i, k in zip(first.tolist(), np.searchsorted(names, w.hashed[first]).tolist()):
+                spell(w, i, k)
+                if label[w.text[i] + base] == 0:
+                    hard[k] = max(hard.get(k, -np.inf), float(value[i]))
+                elif evidence[k] >= EVIDENCE / 2:
+                    told.add(k)
+        positives = sorted(set(bad) | told)
+        worst = sorted(set(hard) - set(positives), key=lambda k: (-hard[k], k))[:HARD_WORDS]
+        negatives = sorted((set(good) | set(worst)) - set(positives))
+    x = np.concatenate([top_values(word_values(w, weight), w.text, n) for _, w, n in _parts(texts)])
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
     logit = _logistic((x - mean) / spread, label.astype(float))
     return Model(weight.astype(np.float32), mean, spread, logit)
@@ -261,8 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     rows.sort(key=lambda r: (r.doc_id, r.text))
     if not rows:
         return None
-    y = np.array([r.label for r in rows])
-    return fit([r.text for r in rows], y, y.mean())
+    return fit([r.text for r in rows], np.array([r.label for r in rows]))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
