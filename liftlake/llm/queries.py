@@ -8,6 +8,7 @@ from liftlake.llm import decontaminate as _decontaminate
 from liftlake.llm import exact as _exact
 from liftlake.llm import jaccard as _jaccard
 from liftlake.llm import language as _language
+from liftlake.llm import oracle as _oracle
 from liftlake.llm import personal as _personal
 from liftlake.llm import pieces as _pieces
 from liftlake.llm import quality as _quality
@@ -78,4 +79,11 @@ QUERIES = {
     "op10_piece_sampling": op10_piece_sampling,
 }
 
-ORACLE: dict[str, str] = {}
+# The others have no SQL: learned models, sampled segmentations, and two whose
+# SQL would compare all pairs or list all 50-byte strings; tests/llm has their
+# plain versions.
+ORACLE: dict[str, str] = {
+    "op2_secret_scan": _oracle.SECRETS,
+    "op4_exact_dedup": _oracle.EXACT,
+    "op7_benchmark_decontamination": _oracle.CONTAMINATION,
+}
