@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "TOKYO", "col_of", "trim_ws", "normalise_name", "num_to_string", "concat_label",
+    "TOKYO", "ntz", "col_of", "trim_ws", "normalise_name", "num_to_string", "concat_label",
     "round_n", "rpe_in_range", "safe_divide", "null_strict_greatest", "week_start",
     "week_end", "month_start", "month_end", "days_between", "today_in_zone",
     "zone_truncated_timestamp", "rank_change_label", "rank_diff", "reminder_flags",
@@ -44,6 +44,12 @@ CHANGE_ICONS = {"UP": "↑", "DOWN": "↓", "SAME": "→", "NEW": "NEW"}
 # ---------------------------------------------------------------------------
 
 
+def ntz(value: _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal of a naive datetime, from its ISO text: a plain
+    literal would pass through the driver's local time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -223,8 +229,9 @@ def icon_lookup(key, mapping: dict, default=None) -> Column:
 
 
 def iso_timestamp(c) -> Column:
-    """ISO-8601 document time string -> TIMESTAMP."""
-    return F.to_timestamp(col_of(c))
+    """ISO-8601 document time string -> TIMESTAMP; NULL if it is not one. An
+    offset in the text counts, text without one is session (UTC) time."""
+    return F.try_to_timestamp(col_of(c))
 
 
 def row_uuid() -> Column:

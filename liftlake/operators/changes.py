@@ -10,12 +10,12 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftlake.functions.exprs import as_of_date, slug, valid_identifier
+from liftlake.functions.exprs import as_of_date, ntz, slug, valid_identifier
 from liftlake.operators.joins import broadcast_if_bounded
 
 
 def _now(now: _dt.datetime):
-    return F.lit(now).cast("timestamp_ntz")
+    return ntz(now)
 
 
 def soft_delete_log_rows(log: DataFrame, ids: DataFrame | None = None, prefix: str | None = None) -> DataFrame:

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension (rows) that is shipped to every executor. Beyond it the
-# join falls back to a shuffle join and AQE decides at run time.
-DEFAULT_BROADCAST_ROWS = 500_000
+# Largest side (bytes, by the optimizer's upper estimate) that is shipped to
+# every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if it provably has at most ``max_rows``
-    rows. The check is a ``limit(max_rows + 1).count()``, which stops reading
-    as soon as the bound is exceeded."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def fixed_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose size is fixed by construction (literal tables)."""
-    return F.broadcast(df)
+def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only if the optimizer's size estimate, which
+    bounds scans by their files, is within ``max_bytes``. No job runs; beyond
+    the bound the join is left to Catalyst and AQE."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df

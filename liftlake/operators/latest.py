@@ -70,9 +70,7 @@ LOG_BUSINESS_COLUMNS = ("user_id", "exercise_name", "body_part", "training_date"
 # Version order of the training log: newest update first; on equal update
 # times a deletion wins over the live row; then the given tie-break keys and
 # finally the remaining business columns make the order total.
-def training_log_order(extra: Sequence[str] = ("l_suppkey", "l_partkey"),
-                       columns: Sequence[str] | None = None) -> list:
+def training_log_order(extra: Sequence[str] = (),
+                       columns: Sequence[str] = LOG_BUSINESS_COLUMNS) -> list:
     order = [F.col("updated_at"), F.col("is_deleted").cast("int")] + [F.col(c) for c in extra]
-    if columns is not None:
-        order += [F.col(c) for c in LOG_BUSINESS_COLUMNS if c in columns and c not in extra]
-    return order
+    return order + [F.col(c) for c in LOG_BUSINESS_COLUMNS if c in columns and c not in extra]

@@ -4,29 +4,18 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions.exprs import rank_change_label, rank_diff
 
 
 def rank_in_partition(df: DataFrame, partition: Sequence[str], value: str,
-                      out: str = "rank", descending: bool = True, method: str = "auto",
-                      num_partitions: int | None = None,
-                      single_task_rows: int | None = None) -> DataFrame:
-    """RANK() (gaps on ties) per partition, as BIGINT.
-
-    ``method="window"`` is the plain window function. ``"auto"`` (default)
-    ranks through value ranges (see :func:`global_rank`) so a partition
-    holding a large share of all rows is still spread over many tasks; a
-    provably small input keeps the plain window.
-    """
-    if method == "window":
-        o = F.col(value).desc() if descending else F.col(value).asc()
-        w = Window.partitionBy(*partition).orderBy(o)
-        return df.withColumn(out, F.rank().over(w).cast("bigint"))
-    return global_rank(df, value, out=out, descending=descending, num_partitions=num_partitions,
-                       partition=partition, single_task_rows=single_task_rows)
+                      out: str = "rank", descending: bool = True) -> DataFrame:
+    """RANK() (gaps on ties) per partition, as BIGINT; a partition that holds a
+    large share of all rows is still spread over many tasks (see
+    :func:`global_rank`)."""
+    return global_rank(df, value, out=out, descending=descending, partition=partition)
 
 
 def lag_by(df: DataFrame, partition: Sequence[str], order: str,
@@ -43,12 +32,6 @@ def with_rank_movement(df: DataFrame, rank: str = "rank", prev: str = "prev_rank
               .withColumn("rank_diff", rank_diff(rank, prev)))
 
 
-# A window partition of up to this many rows is sorted by one task; when the
-# largest partition (or the whole input, without partition keys) is bigger,
-# the distributed value-range method below is used instead.
-SINGLE_TASK_RANK_ROWS = 1_000_000
-
-
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating NULL = NULL (window/group-by semantics)."""
     if not keys:
@@ -63,92 +46,50 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+# Cells of the value axis for each unit of asinh(value): neighbouring cells are
+# about 1.5 % apart for large values.
+CELLS_PER_UNIT = 64
+
+
+def _cell(value: Column) -> Column:
+    """A fixed, monotone cell number of a numeric value (NULL for NULL). Equal
+    values share a cell, larger values never have a smaller one; infinities
+    and NaN are in the outermost cells."""
+    x = F.asinh(value.cast("double")) * CELLS_PER_UNIT
+    return F.floor(F.least(F.greatest(x, F.lit(-1e6)), F.lit(1e6))).cast("bigint")
+
+
 def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool = True,
-                num_partitions: int | None = None, single_task_rows: int | None = None,
                 partition: Sequence[str] = ()) -> DataFrame:
     """RANK() OVER ([PARTITION BY partition] ORDER BY value) without funnelling
-    a large group of rows into one task.
+    a large group of rows into one task, as one lazy plan.
 
     rank(v) = 1 + rows of the same partition ranked strictly before v. It is
     computed on the *distinct values*:
       1. per-(partition, value) row counts (a combinable aggregate: a value
          held by a third of all rows collapses map-side to one row per task);
-      2. the value axis is cut into ``num_partitions`` ranges at approximate
-         quantiles (only the cut points reach the driver);
-      3. inside each (partition, range) a running sum of the counts gives the
-         rows ranked before each value in that range;
-      4. range offsets = rows of the same partition in earlier ranges (one
-         row per partition and range);
-      5. the (partition, value, rank) table is joined back to the rows.
-    Every step is a pure function of the data, so a lost task recomputes
-    the same result (no dependence on partition ids); the input is
-    checkpointed once because four passes read it. When the largest window
-    partition has at most ``single_task_rows`` rows (checked on the
-    checkpoint) a plain window ranks it instead. NULL values sort last for descending and first
-    for ascending order, and NULL partition keys form one partition, as in
-    the window function.
+      2. a fixed monotone function cuts the value axis into cells; inside each
+         (partition, cell) a running sum of the counts gives the rows ranked
+         before each value in that cell;
+      3. cell offsets = rows of the same partition in earlier cells (at most a
+         few thousand cells a partition);
+      4. the (partition, value, rank) table is joined back to the rows.
+    No job runs while the frame is built, and nothing depends on the size of
+    the input. NULL values sort last for descending and first for ascending
+    order, and NULL partition keys form one partition, as in the window
+    function.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    spark = df.sparkSession
-    if single_task_rows is None:
-        single_task_rows = SINGLE_TASK_RANK_ROWS
     P = list(partition)
-    nb = max(1, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the input (one row per ranked entity, e.g. per user and period) is read
-    # by the quantile pass, the count passes and the final join: materialise
-    # it once in the shared checkpoint folder instead of recomputing it
-    df = df.checkpoint(eager=True)
     v = F.col(value)
     o = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    if P:
-        largest = df.groupBy(*P).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    else:
-        largest = df.limit(single_task_rows + 1).count()
-    if largest <= single_task_rows:
-        # every window partition is provably small: sorted windows are cheaper
-        w = Window.partitionBy(*P).orderBy(o) if P else Window.orderBy(o)
-        return df.withColumn(out, F.rank().over(w).cast("bigint"))
-    vc = df.where(v.isNotNull()).groupBy(*P, value).agg(F.count(F.lit(1)).alias("_n"))
-    vc = vc.withColumn("_vd", v.cast("double"))
-    cuts = vc.approxQuantile("_vd", [i / nb for i in range(1, nb)], 0.001) if nb > 1 else []
-    inner = sorted({c for c in cuts if c == c and c not in (float("inf"), float("-inf"))})
-    splits = [float("-inf")] + (inner or [0.0]) + [float("inf")]
-    vb = Bucketizer(splits=splits, inputCol="_vd", outputCol="_b", handleInvalid="keep").transform(vc)
-    vb = vb.withColumn("_b", F.col("_b").cast("int"))
-    before = F.sum("_n").over(Window.partitionBy(*P, "_b").orderBy(o)
-                              .rowsBetween(Window.unboundedPreceding, -1))
-    within = vb.withColumn("_before", F.coalesce(before, F.lit(0)))
-    per_range = vb.groupBy(*P, "_b").agg(F.sum("_n").alias("_t"))
-    ob = F.col("_b").desc() if descending else F.col("_b").asc()
-    wr = (Window.partitionBy(*P).orderBy(ob) if P else Window.orderBy(ob)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(*P, "_b", F.coalesce(F.sum("_t").over(wr), F.lit(0)).alias("_off"))
-    ranks = _join_null_safe(within, offsets, P + ["_b"])
-    if descending:
-        extra = F.lit(1)
-    elif P:
-        # ascending order puts the partition's NULL values first
-        nulls = df.where(v.isNull()).groupBy(*P).agg(F.count(F.lit(1)).alias("_nulls"))
-        ranks = _join_null_safe(ranks, nulls, P, "left")
-        extra = F.lit(1) + F.coalesce(F.col("_nulls"), F.lit(0))
-    else:
-        extra = F.lit(1 + df.where(v.isNull()).count())
-    ranks = ranks.select(*P, F.col(value).alias("_rv"), (F.col("_off") + F.col("_before") + extra).alias("_rank"))
-    r = ranks
-    for k in P:
-        r = r.withColumnRenamed(k, f"_r_{k}")
-    cond = v == F.col("_rv")
-    for k in P:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    res = df.join(r, cond, "left").drop(*[f"_r_{k}" for k in P])
-    if descending and P:
-        # descending order puts NULL values after all non-NULL rows of the partition
-        tot = vc.groupBy(*P).agg(F.sum("_n").alias("_tot"))
-        res = _join_null_safe(res, tot, P, "left")
-        null_rank = F.coalesce(F.col("_tot"), F.lit(0)) + 1
-    elif descending:
-        null_rank = F.lit((vc.agg(F.sum("_n")).first()[0] or 0) + 1)
-    else:
-        null_rank = F.lit(1)
-    res = res.withColumn(out, F.when(v.isNull(), null_rank).otherwise(F.col("_rank")).cast("bigint"))
-    return res.drop("_rv", "_rank", "_tot")
+    ob = F.col("_b").desc_nulls_last() if descending else F.col("_b").asc_nulls_first()
+    counts = (df.groupBy(*P, value).agg(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_b", _cell(v)))
+    earlier = F.sum("_n").over(Window.partitionBy(*P, "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1))
+    within = counts.withColumn("_before", F.coalesce(earlier, F.lit(0)))
+    per_cell = counts.groupBy(*P, "_b").agg(F.sum("_n").alias("_t"))
+    wc = (Window.partitionBy(*P).orderBy(ob) if P else Window.orderBy(ob)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_cell.select(*P, "_b", F.coalesce(F.sum("_t").over(wc), F.lit(0)).alias("_off"))
+    ranks = (_join_null_safe(within, offsets, [*P, "_b"])
+             .select(*P, value, (F.col("_off") + F.col("_before") + 1).cast("bigint").alias(out)))
+    return _join_null_safe(df, ranks, [*P, value]).select(*[c for c in df.columns if c != out], out)

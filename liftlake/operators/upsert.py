@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.functions.exprs import col_of, month_start
+from liftlake.functions.exprs import col_of, month_start, ntz
 from liftlake.operators.joins import broadcast_if_bounded
 
 EPOCH = _dt.datetime(1970, 1, 1)
@@ -35,7 +35,8 @@ def watermark_filter(source: DataFrame, source_col: str, target: DataFrame, targ
     mark = watermark_value(target, target_col, default)
     if lookback:
         mark = mark - lookback
-    return source.where(F.col(source_col) > F.lit(mark))
+    bound = ntz(mark) if isinstance(mark, _dt.datetime) and mark.tzinfo is None else F.lit(mark)
+    return source.where(F.col(source_col) > bound)
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
@@ -110,10 +111,16 @@ def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequen
     same table.
     """
     keys = list(keys)
-    src = with_month(source, date_col, month_col)
+    # the delta is written once; every later step reads that table
+    delta = scratch_path(spark, "upsert-delta")
+    staged_src = with_month(source, date_col, month_col)
+    staged_src.write.parquet(delta)
+    src = spark.read.schema(staged_src.schema).parquet(delta)
+    fs, _, jvm = _fs(spark, path)
     if not path_exists(spark, path):
         src_ins = src if delete_when is None else src.where(~F.coalesce(col_of(delete_when), F.lit(False)))
         src_ins.write.mode("overwrite").partitionBy(month_col).parquet(path)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(delta), True)
         return {"inserted_or_updated": None, "months": None, "created": True}
     # read with the source's schema: a table created from an empty batch has no files
     target = spark.read.schema(src.schema).parquet(path)
@@ -123,8 +130,11 @@ def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequen
                    .select(month_col))
     months = [r[0] for r in src.select(month_col).union(moved).distinct().collect()]
     if not months:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(delta), True)
         return {"months": [], "created": False}
-    touched = target.where(F.col(month_col).isin(months))
+    # rows without a date are a partition like any other
+    hit = F.col(month_col).isin([m for m in months if m is not None])
+    touched = target.where(hit | F.col(month_col).isNull() if None in months else hit)
     merged = merge_upsert(touched, src, keys, delete_when)
     stage = scratch_path(spark, "upsert-stage")
     merged.write.mode("overwrite").partitionBy(month_col).parquet(stage)
@@ -132,8 +142,9 @@ def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequen
     present = {r[0] for r in staged.select(month_col).distinct().collect()}
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(month_col).parquet(path))
-    fs, _, jvm = _fs(spark, path)
     for m in set(months) - present:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{month_col}={m}"), True)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
+        name = "__HIVE_DEFAULT_PARTITION__" if m is None else m
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{month_col}={name}"), True)
+    for done in (stage, delta):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(done), True)
     return {"months": sorted(str(m) for m in months), "created": False}

@@ -30,7 +30,7 @@ def raw_log(spark, sf):
 
 
 def stg(spark, sf):
-    return M.stg_training_log(raw_log(spark, sf))
+    return M.stg_training_log(raw_log(spark, sf), FX.TIE_KEYS)
 
 
 def dims(spark, sf):
@@ -126,7 +126,7 @@ from liftlake.operators.lists import concat_distinct, concat_list  # noqa: E402
 from liftlake.operators.rank import global_rank, rank_in_partition  # noqa: E402
 from liftlake.operators.records import records_with_previous  # noqa: E402
 from liftlake.operators.trend import change_vs_lag, moving_average_rows  # noqa: E402
-from liftlake.operators.upsert import merge_upsert, watermark_filter  # noqa: E402
+from liftlake.operators.upsert import merge_upsert, scratch_path, watermark_filter  # noqa: E402
 
 LOG14 = ["log_id", "user_id", "exercise_name", "body_part", "training_date", "set_number", "weight_kg",
          "reps", "rpe", "memo", "input_source", "created_at", "updated_at", "is_deleted"]
@@ -157,12 +157,12 @@ def q_date_range(spark, sf):
 
 @register("E1_dedup_latest")
 def q_dedup_latest(spark, sf):
-    return latest_by_key(raw_log(spark, sf), ["log_id"], training_log_order()).select(*LOG14)
+    return latest_by_key(raw_log(spark, sf), ["log_id"], training_log_order(FX.TIE_KEYS, ())).select(*LOG14)
 
 
 @register("E2_dedup_latest_active")
 def q_dedup_latest_active(spark, sf):
-    latest = latest_by_key(raw_log(spark, sf), ["log_id"], training_log_order())
+    latest = latest_by_key(raw_log(spark, sf), ["log_id"], training_log_order(FX.TIE_KEYS, ()))
     return latest.where(~F.col("is_deleted")).select(*LOG14)
 
 
@@ -251,16 +251,16 @@ def q_scalars(spark, sf):
 # incremental loading
 # ---------------------------------------------------------------------------
 def _split(df, col="updated_at"):
-    return F.col(col) < F.lit(FX.INCREMENTAL_SPLIT).cast("timestamp_ntz")
+    return F.col(col) < H.ntz(FX.INCREMENTAL_SPLIT)
 
 
 @register("J4_incremental_staging")
 def q_incr_staging(spark, sf):
     raw = raw_log(spark, sf)
     # the first load plays the stored target: materialise it like a table
-    first = M.stg_training_log(raw.where(_split(raw))).checkpoint()
+    first = M.stg_training_log(raw.where(_split(raw)), FX.TIE_KEYS).checkpoint()
     delta_src = watermark_filter(raw.where(~F.col("is_deleted")), "updated_at", first, "updated_at")
-    delta = M.stg_training_log(delta_src)
+    delta = M.stg_training_log(delta_src, FX.TIE_KEYS)
     return merge_upsert(first, delta, ["log_id"])
 
 
@@ -278,10 +278,10 @@ def q_incr_fact(spark, sf):
 def q_merge_upsert(spark, sf):
     li = FX.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                                                       "l_quantity", "l_shipdate")
-    early = li.where(F.col("l_shipdate") < F.lit(FX.INCREMENTAL_SPLIT).cast("timestamp_ntz"))
+    early = li.where(F.col("l_shipdate") < H.ntz(FX.INCREMENTAL_SPLIT))
     target = latest_by_key(early, ["l_orderkey", "l_linenumber"],
                            [F.col("l_shipdate"), F.col("l_suppkey"), F.col("l_partkey")])
-    late = li.where(F.col("l_shipdate") >= F.lit(FX.INCREMENTAL_SPLIT).cast("timestamp_ntz"))
+    late = li.where(F.col("l_shipdate") >= H.ntz(FX.INCREMENTAL_SPLIT))
     source = latest_by_key(late, ["l_orderkey", "l_linenumber"],
                            [F.col("l_shipdate"), F.col("l_suppkey"), F.col("l_partkey")])
     return merge_upsert(target, source, ["l_orderkey", "l_linenumber"])
@@ -474,13 +474,18 @@ def q_autosave(spark, sf):
 # data quality
 # ---------------------------------------------------------------------------
 def _quality_tables(spark, sf):
-    # stg and the fact feed thirteen checked tables: materialise them once in
-    # the shared checkpoint folder instead of recomputing them per table
-    s = stg(spark, sf).checkpoint()
+    # every checked model is written once to the shared scratch folder, as the
+    # daily job does, and checked from there
+    root = scratch_path(spark, "quality")
+
+    def kept(name, df):
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+    s = kept("stg", stg(spark, sf))
     ex, _, bp = dims(spark, sf)
-    f = M.fct_training_set(s, ex, bp).checkpoint()
+    f = kept("fct", M.fct_training_set(s, ex, bp))
     u = users(spark, sf)
-    return {
+    tables = {
         "stg_training_log": s, "d_body_part": M.d_body_part(spark),
         "d_exercise": M.d_exercise(FX.exercise_master(spark, sf)), "d_user": u,
         "fct_training_set": f, "m_progress_curve": M.m_progress_curve(f),
@@ -488,7 +493,22 @@ def _quality_tables(spark, sf):
         "m_ranking_monthly": M.m_ranking_monthly(f, u), "m_ranking_alltime": M.m_ranking_alltime(f, u),
         "m_ranking_bodypart": M.m_ranking_bodypart(f, u),
         "m_personal_record": M.m_personal_record(f, u, FX.AS_OF), "m_calendar": M.m_calendar(f),
+        "m_ml_suggestion": ML.suggest(_fixed_prediction(f), FX.AS_OF),
     }
+    return {k: v if k in ("stg_training_log", "fct_training_set", "d_body_part") else kept(k, v) for k, v in tables.items()}
+
+
+def _fixed_prediction(f):
+    """Latest sets with a plain rule in the model's place: half the sets are
+    predicted lower, every seventh has no prediction."""
+    n = F.col("set_number") + F.dayofmonth("training_date")
+    return ML.latest_per_set(f, FX.AS_OF).withColumn("predicted_next_weight_kg", F.when(
+        n % 7 != 0, F.col("weight_kg") * F.when(n % 2 == 0, 1.03125).otherwise(0.96875)))
+
+
+@register("O6_suggest")
+def q_suggest(spark, sf):
+    return ML.suggest(_fixed_prediction(fct(spark, sf)), FX.AS_OF)
 
 
 @register("L7_documented_suite")
@@ -591,7 +611,7 @@ DAY = FX.REPORT_DAY
 
 
 def _week(spark, sf):
-    return R.current_week(raw_log(spark, sf), M.d_body_part(spark), DAY)
+    return R.current_week(raw_log(spark, sf), M.d_body_part(spark), DAY, tiebreak=FX.TIE_KEYS)
 
 
 @register("N1_current_week")
@@ -611,12 +631,12 @@ def q_n3(spark, sf):
 
 @register("N4_last_week_summary")
 def q_n4(spark, sf):
-    return R.last_week_summary(raw_log(spark, sf), DAY)
+    return R.last_week_summary(raw_log(spark, sf), DAY, tiebreak=FX.TIE_KEYS)
 
 
 @register("N5_week_over_week")
 def q_n5(spark, sf):
-    return R.week_over_week(R.week_summary(_week(spark, sf)), R.last_week_summary(raw_log(spark, sf), DAY))
+    return R.week_over_week(R.week_summary(_week(spark, sf)), R.last_week_summary(raw_log(spark, sf), DAY, tiebreak=FX.TIE_KEYS))
 
 
 @register("N6_latest_weekly_ranking")

@@ -8,6 +8,8 @@ a side whose size is checked or fixed.
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from liftlake.functions.exprs import (BODY_PARTS, as_of_date, concat_label, days_between,
                                       month_start, normalise_name, reminder_flags,
                                       rpe_in_range, week_end, week_start)
-from liftlake.operators.joins import broadcast_if_bounded, fixed_broadcast
+from liftlake.operators.joins import broadcast_if_bounded
 from liftlake.operators.latest import latest_by_key, training_log_order
 from liftlake.operators.lists import concat_distinct, concat_list
 from liftlake.operators.rank import global_rank, lag_by, rank_in_partition, with_rank_movement
@@ -45,7 +47,7 @@ def cleanse(df: DataFrame) -> DataFrame:
         "memo", "created_at", "updated_at")
 
 
-def stg_training_log(raw: DataFrame, tiebreak=("l_suppkey", "l_partkey"),
+def stg_training_log(raw: DataFrame, tiebreak: Sequence[str] = (),
                      tombstones: bool = False) -> DataFrame:
     """Staging: drop deleted rows, keep the latest version per log_id, cleanse.
 
@@ -53,9 +55,8 @@ def stg_training_log(raw: DataFrame, tiebreak=("l_suppkey", "l_partkey"),
     de-duplication, so an older live version survives a deletion.
     ``tombstones=True`` de-duplicates first and then drops deleted keys.
     """
-    tiebreak = [c for c in tiebreak if c in raw.columns]
-    # without source tie-break keys the business columns decide equal versions
-    order = training_log_order(tiebreak, None if tiebreak else raw.columns)
+    # after the given source keys the business columns decide equal versions
+    order = training_log_order(tiebreak, () if tiebreak else raw.columns)
     if tombstones:
         latest = latest_by_key(raw, ["log_id"], order)
         latest = latest.where(~F.col("is_deleted"))
@@ -95,7 +96,7 @@ def fct_training_set(stg: DataFrame, exercises: DataFrame, body_parts: DataFrame
     j = (stg.withColumn("_ex_key", normalise_name("exercise_name"))
             .withColumn("_bp_key", normalise_name("body_part"))
             .join(broadcast_if_bounded(ex), "_ex_key", "left")
-            .join(fixed_broadcast(bp), F.col("_bp_key") == bp.body_part_id, "left"))
+            .join(broadcast_if_bounded(bp), F.col("_bp_key") == bp.body_part_id, "left"))
     return j.select("log_id", "user_id", "training_date", "exercise_id",
                     F.col("_ex_name").alias("exercise_name"), "is_compound",
                     bp.body_part_id, "body_part_name", "set_number", "weight_kg", "reps",
@@ -158,10 +159,10 @@ def m_ranking_monthly(fct: DataFrame, users: DataFrame) -> DataFrame:
                       "prev_volume", "rank_change", "rank_diff")
 
 
-def m_ranking_alltime(fct: DataFrame, users: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def m_ranking_alltime(fct: DataFrame, users: DataFrame) -> DataFrame:
     totals = fct.groupBy("user_id").agg(F.sum("volume").alias("total_volume"))
     named = totals.join(user_names(users), "user_id", "left")
-    ranked = global_rank(named, "total_volume", num_partitions=num_partitions)
+    ranked = global_rank(named, "total_volume")
     return ranked.select("user_id", "user_name", "total_volume", "rank")
 
 
@@ -199,14 +200,15 @@ def m_personal_record(fct: DataFrame, users: DataFrame, as_of=None) -> DataFrame
 # I13 -----------------------------------------------------------------------
 def m_calendar(fct: DataFrame) -> DataFrame:
     """Per user and day: ordered distinct body parts, volume, distinct
-    exercises, and the ordered ``name: <max>kg`` summary. The per-exercise
-    step and the per-day step are two aggregations; the three daily parts of
-    the original are one aggregate, so the fact is scanned once."""
-    per_ex = fct.groupBy("user_id", "training_date", "body_part_name", "exercise_name",
-                         "exercise_id").agg(
-        F.max("weight_kg").alias("max_weight"), F.sum("volume").alias("volume"))
-    return per_ex.groupBy("user_id", "training_date").agg(
+    exercises, and the ordered ``name: <max>kg`` summary. Labels go by body
+    part and exercise *name* (two ids of one name give one label), the count by
+    id: the ids of a name are kept as a set while rows collapse. Two
+    aggregations, one scan of the fact."""
+    per_name = fct.groupBy("user_id", "training_date", "body_part_name", "exercise_name").agg(
+        F.max("weight_kg").alias("max_weight"), F.sum("volume").alias("volume"),
+        F.collect_set("exercise_id").alias("ids"))
+    return per_name.groupBy("user_id", "training_date").agg(
         concat_distinct("body_part_name", ", ").alias("body_parts"),
         F.sum("volume").alias("total_volume"),
-        F.countDistinct("exercise_id").alias("exercise_count"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).cast("bigint").alias("exercise_count"),
         concat_list(concat_label("exercise_name", "max_weight"), " / ").alias("exercise_summary"))

@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.functions.exprs import CHANGE_ICONS, RANK_ICONS, format_volume, icon_lookup, row_uuid
+from liftlake.functions.exprs import CHANGE_ICONS, RANK_ICONS, format_volume, icon_lookup, ntz, row_uuid
 from liftlake.operators.joins import broadcast_if_bounded
 from liftlake.operators.quota import gate, limit_for, monthly_sent_count, zone_period_start_utc
 
@@ -131,13 +131,18 @@ def digest_lines(ranking: DataFrame, users: DataFrame, kind: str = "weekly", app
     return head.unionByName(body).unionByName(foot)
 
 
-def render_message(lines: DataFrame, max_lines: int = 10_000) -> str | None:
-    """Join digest lines into the one message text for delivery. Refuses
-    more than ``max_lines`` lines (a message is not a bulk channel)."""
-    rows = lines.orderBy("section", "rank", "user_id").limit(max_lines + 1).collect()
-    if len(rows) > max_lines:
-        raise ValueError("digest has more lines than a message can carry")
-    return "\n".join(r["text"] for r in rows) if rows else None
+def digest_text(lines: DataFrame) -> DataFrame:
+    """The digest as one text: a row with ``message`` (NULL without lines). The
+    text has a line for each ranked user, as the application's message has;
+    line pieces are ordered by (section, rank, user) inside the aggregate."""
+    piece = F.struct("section", F.coalesce("rank", F.lit(0)).alias("rank"), "user_id", "text")
+    return lines.agg(F.when(F.count(F.lit(1)) > 0, F.array_join(
+        F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "\n")).alias("message"))
+
+
+def render_message(lines: DataFrame) -> str | None:
+    """The digest's text for delivery."""
+    return digest_text(lines).first()["message"]
 
 
 def digest_plan(has_digest: bool, users: DataFrame, base_count: int, notification_type: str) -> DataFrame:
@@ -165,7 +170,7 @@ def start_plan(log: DataFrame, users: DataFrame, sender: str, body_part: str, no
     day_start = zone_period_start_utc(now, "day")
     done = (log.where((F.col(check_column) == sender) & (F.col("notification_type") == "start")
                       & (F.col("status") == "sent")
-                      & (F.col("sent_at") >= F.lit(day_start).cast("timestamp_ntz"))).limit(1).count())
+                      & (F.col("sent_at") >= ntz(day_start))).limit(1).count())
     if done > 0:
         return "already_sent", spark.createDataFrame([], schema)
     if base_count is None:
@@ -193,7 +198,7 @@ def log_attempts(plan: DataFrame, now: _dt.datetime, failed: DataFrame | None =
         p = p.withColumn("status", F.when(F.coalesce(F.col("_failed"), F.lit(False)) & (F.col("status") == "sent"),
                                           F.lit("failed")).otherwise(F.col("status")))
     return p.select(row_uuid().alias("notification_id"), "user_id", "notification_type", "status",
-                    F.lit(now).cast("timestamp_ntz").alias("sent_at"))
+                    ntz(now).alias("sent_at"))
 
 
 def merge_same_day(plan: DataFrame) -> DataFrame:

@@ -10,13 +10,14 @@ nothing is interpolated into SQL text.
 from __future__ import annotations
 
 import datetime as _dt
+from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftlake.functions.exprs import (as_of_date, format_volume, month_end, percent_difference,
+from liftlake.functions.exprs import (as_of_date, format_volume, month_end, ntz, percent_difference,
                                       week_end, week_start)
-from liftlake.operators.joins import fixed_broadcast
+from liftlake.operators.joins import broadcast_if_bounded
 from liftlake.operators.latest import latest_by_key, training_log_order
 from liftlake.operators.lists import concat_distinct
 
@@ -25,22 +26,22 @@ def _user(df: DataFrame, user_id: str | None, col: str = "user_id") -> DataFrame
     return df if user_id is None else df.where(F.col(col) == user_id)
 
 
-def _live_latest(raw: DataFrame, start, end, user_id=None, tiebreak=("l_suppkey", "l_partkey")) -> DataFrame:
+def _live_latest(raw: DataFrame, start, end, user_id=None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Filter user and date range *before* de-duplication (screen semantics),
     keep each (user, log_id)'s latest version, then drop deleted ones."""
     r = _user(raw, user_id).where(F.col("training_date").between(start, end))
-    keys = [c for c in tiebreak if c in raw.columns]
-    latest = latest_by_key(r, ["user_id", "log_id"], training_log_order(keys, None if keys else raw.columns))
+    latest = latest_by_key(r, ["user_id", "log_id"], training_log_order(tiebreak, () if tiebreak else raw.columns))
     return latest.where(~F.col("is_deleted"))
 
 
-def current_week(raw: DataFrame, body_parts: DataFrame, as_of=None, user_id=None) -> DataFrame:
+def current_week(raw: DataFrame, body_parts: DataFrame, as_of=None, user_id=None,
+                 tiebreak: Sequence[str] = ()) -> DataFrame:
     """Per user and day of the Monday-Sunday week of ``as_of``: body parts
     (raw id joined without normalising), volume (sum of per-row rounded
     volume) and distinct exercise names."""
     d = as_of_date(as_of)
-    live = _live_latest(raw, week_start(d), week_end(d), user_id)
-    bp = fixed_broadcast(body_parts.select("body_part_id", "body_part_name"))
+    live = _live_latest(raw, week_start(d), week_end(d), user_id, tiebreak)
+    bp = broadcast_if_bounded(body_parts.select("body_part_id", "body_part_name"))
     j = live.join(bp, live.body_part == bp.body_part_id, "left")
     return j.groupBy("user_id", "training_date").agg(
         concat_distinct("body_part_name", ", ").alias("body_parts"),
@@ -64,12 +65,12 @@ def week_summary(week: DataFrame) -> DataFrame:
                                        F.sum("total_volume").alias("total_volume"))
 
 
-def last_week_summary(raw: DataFrame, as_of=None, user_id=None) -> DataFrame:
+def last_week_summary(raw: DataFrame, as_of=None, user_id=None, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Distinct training days and volume of the previous week. For one
     user it is a global aggregate (one row, NULL volume without data)."""
     d = as_of_date(as_of)
     start = F.date_sub(week_start(d), 7)
-    live = _live_latest(raw, start, F.date_sub(week_start(d), 1), user_id)
+    live = _live_latest(raw, start, F.date_sub(week_start(d), 1), user_id, tiebreak)
     aggs = [F.countDistinct("training_date").alias("training_days"),
             F.sum(F.round(F.col("weight_kg") * F.col("reps"), 1)).alias("total_volume")]
     if user_id is not None:
@@ -196,7 +197,7 @@ def day_editable(raw: DataFrame, training_date, now: _dt.datetime, user_id=None,
     r = _user(raw, user_id).where((F.col("training_date") == F.lit(training_date)) & ~F.col("is_deleted"))
     e = r.groupBy("user_id").agg(F.min("created_at").alias("earliest"))
     limit = F.col("earliest") + F.make_dt_interval(F.lit(0), F.lit(hours))
-    return e.withColumn("editable", F.lit(now).cast("timestamp_ntz") < limit)
+    return e.withColumn("editable", ntz(now) < limit)
 
 
 def exercise_history(fct: DataFrame, sessions: int = 3, user_id=None, exercise_id: str | None = None,
@@ -234,7 +235,7 @@ def session_restore(raw: DataFrame, training_date, now: _dt.datetime, user_id=No
         r = r.where(F.col("exercise_name") == exercise_name)
     limit = F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(hours))
     return r.select("user_id", "log_id", "exercise_name", "set_number", "weight_kg", "reps", "rpe", "memo",
-                    (F.lit(now).cast("timestamp_ntz") < limit).alias("editable"))
+                    (ntz(now) < limit).alias("editable"))
 
 
 def session_volume_vs_previous(current: DataFrame, history: DataFrame) -> DataFrame:

@@ -13,13 +13,15 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.functions.exprs import trim_ws
+from liftlake.functions.exprs import ntz, trim_ws
 
 # Constant "today" of all fixture-based queries (day after the last ship date).
 AS_OF = _dt.date(2001, 11, 5)
 # Constant load time of the master tables.
 MASTER_TS = _dt.datetime(2001, 1, 1, 0, 0, 0)
 # Split point between the first load and the delta of incremental runs.
+# source columns that order versions with equal update times
+TIE_KEYS = ("l_suppkey", "l_partkey")
 INCREMENTAL_SPLIT = _dt.datetime(1999, 1, 1, 0, 0, 0)
 # "now" of the notification plans: the month after the event log, so the
 # monthly quota starts from the counts of that month.
@@ -65,7 +67,7 @@ def _body_part_of(p_type: Column) -> Column:
 
 
 def _ntz(value: _dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz(value)
 
 
 def training_log(spark: SparkSession, sf_dir: str, with_tiebreak: bool = True) -> DataFrame:

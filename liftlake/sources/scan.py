@@ -1,42 +1,14 @@
-"""Parquet scans with a guard against under-split inputs.
+"""Parquet scans.
 
-Parquet splits a file by row groups. A large table written as one file with
-one row group (as the test tables are) would be read, joined and
-pre-aggregated by a single task. ``read_parquet`` compares the number of
-scan splits with the session's parallelism and, only when the scan is
-under-split, spreads the rows round-robin right after the scan. On a cluster
-reading many files the scan already has thousands of splits and the guard
-adds nothing; column pruning and filter pushdown still reach the scan
-because the redistribution sits above it and Catalyst pushes through it
-only what is safe (filters are pushed below a round-robin repartition).
+Column pruning, filter and partition pushdown are Catalyst's; splits come from
+the files' row groups and ``spark.sql.files.maxPartitionBytes``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Files smaller than this are not worth redistributing.
-MIN_BYTES_TO_SPREAD = 4 * 1024 * 1024
 
-
-def _scan_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def read_parquet(spark: SparkSession, path: str, min_partitions: int | None = None,
-                 schema: str | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.parquet(path)
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        if _scan_bytes(spark, path) < MIN_BYTES_TO_SPREAD:
-            return df
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - a listing problem must not stop the read
-        return df
-    if splits >= target:
-        return df
-    return df.repartition(target)
+    return reader.parquet(path)

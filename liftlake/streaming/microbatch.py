@@ -15,8 +15,9 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from liftlake.operators.documents import explode_documents, scan_pending
+from liftlake.operators.documents import explode_documents, rejected_documents, scan_pending
 from liftlake.operators.latest import latest_by_key
 from liftlake.operators.upsert import write_upsert
 from liftlake.schemas import DOCUMENT
@@ -34,24 +35,38 @@ def dedup_versions(rows: DataFrame, key: Sequence[str] = VERSION_KEY) -> DataFra
 
 
 def document_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(DOCUMENT)
+    """Documents as they arrive; text that is no document is kept whole in
+    ``_corrupt_record``."""
+    reader = (spark.readStream.schema(StructType([*DOCUMENT.fields, StructField("_corrupt_record", StringType())]))
+              .option("columnNameOfCorruptRecord", "_corrupt_record"))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     return reader.json(source_dir)
 
 
+def reject_path(target_path: str) -> str:
+    """Where a sync leaves what it could not read."""
+    return f"{target_path.rstrip('/')}-rejects"
+
+
 def microbatch_sync(spark: SparkSession, source_dir: str, target_path: str, checkpoint_path: str,
                     max_files: int | None = None, available_now: bool = True, key=VERSION_KEY):
     """Start the sync stream; with ``available_now`` it processes everything
     present and stops (a scheduled 5-15 minute trigger in production)."""
-    rows = explode_documents(scan_pending(document_stream(spark, source_dir, max_files)))
+    arrived = document_stream(spark, source_dir, max_files)
 
     def upsert_batch(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        write_upsert(batch.sparkSession, dedup_versions(batch, key), target_path, list(key), "training_date")
-
-    writer = (rows.writeStream.foreachBatch(upsert_batch)
+        # what cannot be read goes to a table of its own (a folder for each
+        # batch, so a replay replaces it) and stops nothing
+        fine = F.col("_corrupt_record").isNull()
+        bad = batch.where(~fine).select("doc_id", F.col("_corrupt_record").alias("record")).unionByName(
+            rejected_documents(scan_pending(batch.where(fine))).select(
+                "doc_id", F.to_json(F.struct(*batch.columns)).alias("record")))
+        bad.write.mode("overwrite").parquet(f"{reject_path(target_path)}/batch={epoch_id}")
+        rows = explode_documents(scan_pending(batch.where(fine)))
+        write_upsert(batch.sparkSession, dedup_versions(rows, key), target_path, list(key), "training_date")
+
+    writer = (arrived.writeStream.foreachBatch(upsert_batch)
                   .option("checkpointLocation", checkpoint_path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")
     return writer.start()

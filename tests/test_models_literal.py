@@ -68,7 +68,7 @@ def test_personal_records(spark):
 
 def test_alltime_and_bodypart(spark):
     u = M.d_user(user_master(spark))
-    at = rows(M.m_ranking_alltime(fact(spark), u, num_partitions=3), "rank")
+    at = rows(M.m_ranking_alltime(fact(spark), u), "rank")
     assert [r["user_id"] for r in at] == ["user_003", "user_001", "user_002"]
     assert [r["rank"] for r in at] == [1, 2, 3]
     bp = M.m_ranking_bodypart(fact(spark), u)

@@ -38,12 +38,16 @@ def test_dedup_independent_of_order_and_partitioning(spark, rows, parts):
 @given(vals=st.lists(st.one_of(st.none(), st.integers(0, 6)), min_size=1, max_size=40), parts=st.integers(1, 6))
 def test_global_rank_equals_window_rank(spark, vals, parts):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v int")
-    mine = {r.id: r.rank for r in global_rank(df, "v", num_partitions=parts, single_task_rows=0).collect()}
-    small = {r.id: r.rank for r in global_rank(df, "v").collect()}
+    mine = {r.id: r.rank for r in global_rank(df.repartition(parts), "v").collect()}
+    # values far apart, of both signs, in the outermost cells
+    far = F.col("v").cast("double") * 1e7 - 2.5e7
+    wide = df.withColumn("v", F.when(F.col("v") == 6, float("inf")).when(F.col("v") == 5, float("nan")).otherwise(far))
+    big = {r.id: r.rank for r in global_rank(wide, "v").collect()}
+    ref_big = {r.id: r.rank for r in wide.withColumn("rank", F.rank().over(Window.orderBy(F.col("v").desc()))).collect()}
+    assert big == ref_big
     ref = {r.id: r.rank for r in df.withColumn("rank", F.rank().over(Window.orderBy(F.col("v").desc()))).collect()}
-    assert mine == ref == small
-    asc = {r.id: r.rank for r in global_rank(df, "v", descending=False, num_partitions=parts,
-                                             single_task_rows=0).collect()}
+    assert mine == ref
+    asc = {r.id: r.rank for r in global_rank(df, "v", descending=False).collect()}
     ref_asc = {r.id: r.rank for r in df.withColumn("rank", F.rank().over(Window.orderBy(F.col("v").asc()))).collect()}
     assert asc == ref_asc
 
@@ -126,8 +130,7 @@ def test_records_equal_naive_correlated_subquery(spark, rows):
 def test_partitioned_range_rank_equals_window(spark, rows, parts, desc):
     from liftlake.operators.rank import rank_in_partition
     df = spark.createDataFrame([(i, p, v) for i, (p, v) in enumerate(rows)], "id int, p int, v int")
-    mine = {r.id: r.rank for r in rank_in_partition(df, ["p"], "v", descending=desc, num_partitions=parts,
-                                                     single_task_rows=0).collect()}
+    mine = {r.id: r.rank for r in rank_in_partition(df.repartition(parts), ["p"], "v", descending=desc).collect()}
     o = F.col("v").desc() if desc else F.col("v").asc()
     ref = {r.id: r.rank for r in df.withColumn("rank", F.rank().over(Window.partitionBy("p").orderBy(o))).collect()}
     assert mine == ref

@@ -119,7 +119,7 @@ def test_hot_key_dedup_and_rank(spark):
     got = {r.log_id: r.updated_at for r in latest.collect()}
     assert got["hot"] == 299 and len(got) == 601
     vals = spark.createDataFrame([(i, 7 if i % 3 == 0 else i) for i in range(900)], "id int, v int")
-    ranks = {r.id: r.rank for r in global_rank(vals, "v", num_partitions=6, single_task_rows=0).collect()}
+    ranks = {r.id: r.rank for r in global_rank(vals, "v").collect()}
     greater_than_7 = sum(1 for i in range(900) if i % 3 != 0 and i > 7)
     assert ranks[0] == greater_than_7 + 1 and ranks[3] == ranks[0]
 
