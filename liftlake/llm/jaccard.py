@@ -19,7 +19,10 @@ difference of linked sets, (100 - percent) / (100 + percent) * (n(x) + n(y)).
 Every linked pair shares a region; pairs that break this bound or the sizes'
 are dropped unseen.
 
-Small regions give candidate pairs, which are verified on the whole sets.
+Small regions give candidate pairs.  A set's count vector (how many shingles
+fall into each of about n / 4 hash cells) is a contraction of the metric: the
+vectors' L1 distance never exceeds the symmetric difference.  Pairs whose
+vectors are too far apart are dropped; the rest are verified on whole sets.
 Large regions join recursively: documents of the region become pivots, each
 document goes to the cell of the nearest by Jaccard distance and is replicated
 to every pivot at most 2 * radius further away (triangle inequality), until a
@@ -110,8 +113,38 @@ def _ordered(s: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> tuple[np.nda
     return pivot[new], doc[new]
 
 
+def _vectors(pivot: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Count vectors of sets laid end to end: bytes, a power of two of cells
+    by the set's size; neighbouring cells of one vector are halves of a cell of
+    the next smaller kind."""
+    bits = np.maximum(4, np.ceil(np.log2(np.maximum(n, 1) / 4)).astype(np.int64))
+    width = np.where(n > 0, 1 << bits, 0)
+    base = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(n)), n)
+    cell = (mix64(pivot) >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
+    count = np.minimum(np.bincount(base[owner] + cell, minlength=int(width.sum())), 255).astype(np.uint8)
+    return [count[a:a + w].tobytes() for a, w in zip(base, width)]
+
+
+def _may_link(percent: int):
+    """Drops pairs whose count vectors are further apart than linked sets are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n1, n2 in zip(column(batch, "x"), column(batch, "y"), column(batch, "n1").to_pylist(), column(batch, "n2").to_pylist()):
+                p, q = (np.frombuffer(z.as_buffer(), np.uint8).astype(np.int32) for z in (x, y))
+                while len(p) > len(q):
+                    p = p.reshape(-1, 2).sum(1)
+                while len(q) > len(p):
+                    q = q.reshape(-1, 2).sum(1)
+                keep.append(int(np.abs(p - q).sum()) * (100 + percent) <= (100 - percent) * (n1 + n2))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def set_table(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), key (of the whole set), pivots (the window's, packed)."""
+    """doc_id, n (set size), key (of the whole set), pivots (the window's, packed)
+    and vector (cell counts)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -126,9 +159,9 @@ def set_table(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Data
         window = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
         packed = [pivot[a:a + w].tobytes() for a, w in zip(start, window)]
         yield pa.RecordBatch.from_arrays(
-            [column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(packed, pa.binary())],
-            names=["doc_id", "n", "key", "pivots"])
-    return map_slices(docs, run, "doc_id long, n long, key long, pivots binary")
+            [column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(packed, pa.binary()),
+             pa.array(_vectors(pivot, n), pa.binary())], names=["doc_id", "n", "key", "pivots", "vector"])
+    return map_slices(docs, run, "doc_id long, n long, key long, pivots binary, vector binary")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +330,13 @@ def jaccard_links(docs: DataFrame, table: DataFrame, sketch: np.ndarray, k: int,
     members = table.where("n > 0").select("n", "key", "pivots").mapInArrow(_members, "pivot long, key long, size_rank long")
     found = written(members.repartition("pivot").sortWithinPartitions("pivot")
                     .mapInArrow(_regions(percent), "large boolean, region long, a long, b long"), "jaccard-regions")
-    pairs = found.where("not large").select("a", "b").distinct()
+    pairs = written(found.where("not large").select("a", "b").distinct(), "jaccard-pairs")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    vectors = written(table.where("n > 0").join(paired, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "vector"),
+                      "jaccard-vectors")
+    pairs = written(pairs.join(vectors.select(F.col("key").alias("a"), F.col("n").alias("n1"), F.col("vector").alias("x")), "a")
+                    .join(vectors.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("vector").alias("y")), "b")
+                    .select("a", "b", "n1", "n2", "x", "y").mapInArrow(_may_link(percent), "a long, b long"), "jaccard-near")
     large = found.where("large").select("region", F.col("a").alias("key"), F.col("b").alias("m"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
     # whole sets, once each, of the sets that have a region with others
