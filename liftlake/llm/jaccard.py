@@ -330,10 +330,9 @@ def jaccard_links(docs: DataFrame, table: DataFrame, sketch: np.ndarray, k: int,
     members = table.where("n > 0").select("n", "key", "pivots").mapInArrow(_members, "pivot long, key long, size_rank long")
     found = written(members.repartition("pivot").sortWithinPartitions("pivot")
                     .mapInArrow(_regions(percent), "large boolean, region long, a long, b long"), "jaccard-regions")
-    pairs = written(found.where("not large").select("a", "b").distinct(), "jaccard-pairs")
+    pairs = found.where("not large").select("a", "b").distinct()
     paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    vectors = written(table.where("n > 0").join(paired, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "vector"),
-                      "jaccard-vectors")
+    vectors = table.where("n > 0").join(paired, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "vector")
     pairs = written(pairs.join(vectors.select(F.col("key").alias("a"), F.col("n").alias("n1"), F.col("vector").alias("x")), "a")
                     .join(vectors.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("vector").alias("y")), "b")
                     .select("a", "b", "n1", "n2", "x", "y").mapInArrow(_may_link(percent), "a long, b long"), "jaccard-near")
