@@ -52,9 +52,12 @@ def submit_requests(requests: DataFrame, master: DataFrame, new: DataFrame,
                  .when(F.coalesce(F.col("_in_master"), F.lit(False)), "exists_in_master")
                  .when(F.coalesce(F.col("_pending"), F.lit(False)), "pending_duplicate"))
     n = n.withColumn("decision", decision)
-    ok_rank = F.row_number().over(Window.partitionBy("_n", F.col("decision").isNull()).orderBy("request_id"))
+    # the first undecided request of each name: a combinable minimum, so a name
+    # that a large share of the batch asks for costs one row a task
+    first = (n.where(F.col("decision").isNull()).groupBy("_n").agg(F.min("request_id").alias("_first")))
+    n = n.join(first, "_n", "left")
     n = n.withColumn("decision", F.when(F.col("decision").isNull(),
-                                        F.when(ok_rank == 1, "accepted").otherwise("pending_duplicate"))
+                                        F.when(F.col("request_id") == F.col("_first"), "accepted").otherwise("pending_duplicate"))
                      .otherwise(F.col("decision")))
     decisions = n.select("request_id", "exercise_name", "decision")
     accepted = n.where(F.col("decision") == "accepted").select(
@@ -66,8 +69,8 @@ def submit_requests(requests: DataFrame, master: DataFrame, new: DataFrame,
 
 
 def _review(requests: DataFrame, decisions: DataFrame, status: str, now: _dt.datetime) -> DataFrame:
-    d = broadcast_if_bounded(decisions.select("request_id", F.col("reviewer").alias("_rev"))
-                             .dropDuplicates(["request_id"]))
+    # of several decisions on one request the first reviewer by name counts
+    d = broadcast_if_bounded(decisions.groupBy("request_id").agg(F.min("reviewer").alias("_rev")))
     j = requests.join(d, "request_id", "left")
     hit = F.col("_rev").isNotNull() & (F.col("status") == "pending")
     return j.select(*[
@@ -82,7 +85,9 @@ def approve_requests(requests: DataFrame, master: DataFrame, approvals: DataFram
     """K6: pending requests become exercises (id = given or slug of the name,
     compound flag and display order as given, default False / 10) and are
     marked approved. Returns (requests_after, master_after)."""
-    a = approvals
+    # of several approvals of one request one counts
+    rest = [c for c in approvals.columns if c != "request_id"]
+    a = approvals.groupBy("request_id").agg(F.min(F.struct(*rest)).alias("_a")).select("request_id", "_a.*")
     for c, v in (("exercise_id", None), ("is_compound", False), ("display_order", default_order)):
         if c not in a.columns:
             a = a.withColumn(c, F.lit(v))

@@ -587,8 +587,8 @@ def q_monthly_digest(spark, sf):
 @register("M7_digest_plan")
 def q_digest_plan(spark, sf):
     u = users(spark, sf)
-    has = M.m_ranking_weekly(fct(spark, sf), u).limit(1).count() > 0
-    return NT.digest_plan(has, u, _base_count(spark, sf), "weekly_ranking")
+    text = NT.render_message(NT.digest_lines(M.m_ranking_weekly(fct(spark, sf), u), u, "weekly"))
+    return NT.digest_plan(text, u, _base_count(spark, sf), "weekly_ranking")
 
 
 @register("M8_start_plan")
@@ -745,6 +745,16 @@ def q_n21(spark, sf):
     return R.exercise_picker(M.d_exercise(FX.exercise_master(spark, sf)))
 
 
+@register("N21_master_list")
+def q_n21_master(spark, sf):
+    return R.master_list(FX.exercise_master(spark, sf))
+
+
+@register("N21_user_list")
+def q_n21_users(spark, sf):
+    return R.user_list(FX.user_master(spark, sf))
+
+
 @register("N23_suggestion_lookup")
 def q_n23(spark, sf):
     return R.suggestion_lookup(ML.fallback_suggest(fct(spark, sf)))

@@ -26,7 +26,7 @@ FOOTER = "\n📱 詳細を見る: {app_url}"
 PREV_RANK = "(前回{prev}位)"
 RANK_SUFFIX = "位"
 
-PLAN_COLUMNS = ["user_id", "notification_type", "status", "position", "message"]
+PLAN_COLUMNS = ["user_id", "line_user_id", "notification_type", "status", "position", "message"]
 
 
 def _fmt(template: str, **cols) -> F.Column:
@@ -64,6 +64,13 @@ def seven_day_candidates(last_training: DataFrame, users: DataFrame) -> DataFram
             .select("user_id", "line_user_id", "body_part_name", "last_training_date"))
 
 
+def _addressed(candidates: DataFrame) -> DataFrame:
+    """Candidates with a push address (NULL where the caller has none)."""
+    if "line_user_id" in candidates.columns:
+        return candidates
+    return candidates.withColumn("line_user_id", F.lit(None).cast("string"))
+
+
 def daily_plan(three: DataFrame, seven: DataFrame, base_count: int, app_url: str = "") -> DataFrame:
     """M5: 3-day reminders then 7-day reminders under the monthly quota.
 
@@ -72,7 +79,8 @@ def daily_plan(three: DataFrame, seven: DataFrame, base_count: int, app_url: str
     runs only if base + sent3 < 180, its rows sent while the running count
     stays below 180. Candidate order: user (then body part)."""
     empty = three.sparkSession.createDataFrame(
-        [], "user_id string, notification_type string, status string, position bigint, message string")
+        [], "user_id string, line_user_id string, notification_type string, status string, position bigint, message string")
+    three, seven = _addressed(three), _addressed(seven)
     if base_count >= limit_for("3day"):
         return empty
     allow3 = limit_for("3day") - base_count
@@ -145,14 +153,15 @@ def render_message(lines: DataFrame) -> str | None:
     return digest_text(lines).first()["message"]
 
 
-def digest_plan(has_digest: bool, users: DataFrame, base_count: int, notification_type: str) -> DataFrame:
-    """M7: every active user gets the digest, gated per row at 200."""
-    if not has_digest:
+def digest_plan(message: str | None, users: DataFrame, base_count: int, notification_type: str) -> DataFrame:
+    """M7: every active user gets the digest (``render_message``), gated per row
+    at 200; no rows without a digest."""
+    if message is None:
         return users.sparkSession.createDataFrame(
-            [], "user_id string, notification_type string, status string, position bigint")
+            [], "user_id string, line_user_id string, notification_type string, status string, position bigint, message string")
     allow = limit_for(notification_type) - base_count
-    p = gate(users.select("user_id"), [F.col("user_id").asc()], allow, notification_type, keys=["user_id"])
-    return p.select("user_id", "notification_type", "status", "position")
+    p = gate(_addressed(users).select("user_id", "line_user_id"), [F.col("user_id").asc()], allow, notification_type, keys=["user_id"])
+    return p.withColumn("message", F.lit(message)).select(*PLAN_COLUMNS)
 
 
 def start_plan(log: DataFrame, users: DataFrame, sender: str, body_part: str, now: _dt.datetime,

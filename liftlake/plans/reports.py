@@ -100,13 +100,15 @@ def _latest(df: DataFrame, period: str, part: list[str] | None = None) -> DataFr
 def latest_weekly_ranking(weekly: DataFrame) -> DataFrame:
     """Newest week, by rank."""
     return _latest(weekly, "week_start").select(
-        "week_start", "user_id", "user_name", "total_volume", "rank", "rank_change", "prev_rank")
+        "week_start", "week_end", "user_id", "user_name", "total_volume", "rank", "rank_change",
+        "prev_rank").orderBy("rank", "user_id")
 
 
 def latest_monthly_ranking(monthly: DataFrame) -> DataFrame:
-    """Newest month."""
+    """Newest month, by rank."""
     return _latest(monthly, "month").select(
-        "month", "user_id", "user_name", "total_volume", "rank", "rank_change")
+        "month", "user_id", "user_name", "total_volume", "rank", "rank_change",
+        "prev_rank").orderBy("rank", "user_id")
 
 
 def alltime_ranking(alltime: DataFrame) -> DataFrame:
@@ -185,11 +187,13 @@ def month_grid(month_rows: DataFrame, users: DataFrame, year: int, month: int, u
 
 
 def day_detail(fct: DataFrame, training_date, user_id=None, body_part_id: str | None = None) -> DataFrame:
-    """Sets of a day (optional part filter, "all" = no filter)."""
+    """Sets of a day (optional part filter, "all" = no filter) by exercise
+    and set number."""
     f = _user(fct, user_id).where(F.col("training_date") == F.lit(training_date))
     if body_part_id not in (None, "all"):
         f = f.where(F.col("body_part_id") == body_part_id)
-    return f.select("user_id", "exercise_name", "set_number", "weight_kg", "reps", "rpe", "volume")
+    return f.select("user_id", "exercise_name", "set_number", "weight_kg", "reps", "rpe", "volume") \
+        .orderBy("user_id", "exercise_name", "set_number")
 
 
 def day_editable(raw: DataFrame, training_date, now: _dt.datetime, user_id=None, hours: int = 3) -> DataFrame:
@@ -254,44 +258,67 @@ def session_volume_vs_previous(current: DataFrame, history: DataFrame) -> DataFr
                     diff.alias("diff"), pct.alias("pct"))
 
 
+# Icon and label of a new record.
+RECORD_WEIGHT = ("🎉", "最高重量")
+RECORD_VOLUME = ("💪", "最高ボリューム")
+
+
 def record_feed(records: DataFrame) -> DataFrame:
-    """New records, newest first, with a rendered text."""
+    """New records, newest first, with the feed's text; a missing or zero
+    value before the record is shown as ``---``."""
     r = records.where(F.col("is_new"))
-    unit = F.when(F.col("record_type") == "max_weight", F.lit("kg")).otherwise(F.lit("kg (volume)"))
-    text = F.concat(F.coalesce("user_name", F.lit("?")), F.lit(": "), F.coalesce("exercise_name", F.lit("?")),
-                    F.lit(" "), format_volume("record_value", 1), unit)
-    return r.select("user_id", "user_name", "exercise_name", "record_type", "record_value", "achieved_date",
-                    text.alias("text"))
+    weight = F.col("record_type") == "max_weight"
+    before = F.when(F.col("previous_value") != 0, format_volume("previous_value", 1))
+    text = F.concat(
+        F.when(weight, RECORD_WEIGHT[0]).otherwise(RECORD_VOLUME[0]), F.lit(" **"), F.col("achieved_date").cast("string"),
+        F.lit("** "), F.coalesce("user_name", F.lit("None")), F.lit("が**"), F.coalesce("exercise_name", F.lit("None")),
+        F.lit("**の"), F.when(weight, RECORD_WEIGHT[1]).otherwise(RECORD_VOLUME[1]), F.lit("を更新！ "),
+        F.coalesce(before, F.lit("---")), F.lit(" → **"), format_volume("record_value", 1), F.lit("** kg"))
+    return r.select("user_id", "user_name", "exercise_name", "record_type", "record_value", "previous_value",
+                    "achieved_date", text.alias("text")).orderBy(F.col("achieved_date").desc(), "user_id", "exercise_name", "record_type")
 
 
 def request_history(requests: DataFrame, user_id=None) -> DataFrame:
     """A user's requests newest first."""
     return _user(requests, user_id).select("user_id", "request_id", "exercise_name", "status", "created_at",
-                                           "reviewed_at")
+                                           "reviewed_at").orderBy(F.col("created_at").desc(), "request_id")
 
 
 def pending_requests(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Pending requests with the requester's name."""
+    """Pending requests with the requester's name, oldest first."""
     p = requests.where(F.col("status") == "pending")
     u = users.select("user_id", "user_name")
     return p.join(u, "user_id", "left").select("request_id", "user_id", "user_name", "exercise_name",
-                                                "body_part_id", "reason", "created_at")
+                                                "body_part_id", "reason", "created_at").orderBy("created_at", "request_id")
 
 
 def exercise_picker(exercises: DataFrame, body_part_id: str | None = None) -> DataFrame:
     """Exercises of a part by display order (all parts if None)."""
     e = exercises if body_part_id is None else exercises.where(F.col("body_part_id") == body_part_id)
-    return e.select("body_part_id", "exercise_id", "exercise_name", "display_order", "is_compound")
+    return e.select("body_part_id", "exercise_id", "exercise_name", "display_order",
+                    "is_compound").orderBy("body_part_id", "display_order", "exercise_id")
+
+
+def master_list(master: DataFrame, body_part_id: str | None = None) -> DataFrame:
+    """The whole exercise master, inactive ones too, by part and display order."""
+    m = master if body_part_id is None else master.where(F.col("body_part_id") == body_part_id)
+    return m.select("exercise_id", "exercise_name", "body_part_id", "is_compound", "is_active",
+                    "display_order").orderBy("body_part_id", "display_order", "exercise_id")
+
+
+def user_list(users: DataFrame) -> DataFrame:
+    """Active users by name."""
+    return users.where(F.col("is_active")).select("user_id", "user_name").orderBy("user_name", "user_id")
 
 
 def document_audit(docs: DataFrame, pending_only: bool = True, newest: int | None = None) -> DataFrame:
     """Document headers with set counts; pending only, or the newest n."""
     d = docs.where(F.col("sync_status") == "pending") if pending_only else docs
     out = d.select("doc_id", "user_id", "training_date", "exercise_id", "status", "sync_status",
-                   F.size("sets").cast("bigint").alias("n_sets"), "updated_at")
+                   F.size("sets").cast("bigint").alias("n_sets"), "updated_at", "created_at")
     if newest is not None:
-        out = out.orderBy(F.col("updated_at").desc(), F.col("doc_id").asc()).limit(newest)
-    return out
+        out = out.orderBy(F.col("created_at").desc(), F.col("doc_id").asc()).limit(newest)
+    return out.drop("created_at")
 
 
 def suggestion_lookup(suggestions: DataFrame, user_id=None, exercise_id: str | None = None) -> DataFrame:
