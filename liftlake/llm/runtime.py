@@ -53,11 +53,11 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
-               schema: str, text: str = "text") -> DataFrame:
+               schema: str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` of a function on bounded slices of the rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 yield from fn(part)
     return df.mapInArrow(run, schema)
 

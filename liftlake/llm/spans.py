@@ -21,8 +21,8 @@ same place, so all occurrences of a repeated string meet at its anchor.
    others.
 4. Marked windows are merged by document and cut out of the text.
 
-Contexts that several documents of a slice share are sent once, for the
-smallest of them; the others' windows are marked on the spot.  Anchors found in
+Contexts that several documents of a task share are sent once, for the
+smallest of them so far; the others' windows are marked on the spot.  Anchors found in
 ``HOT_SLICES`` slices or more (passages that a large share of all documents
 holds) go by their windows' hashes instead, which spread over all tasks.
 """
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from liftlake.llm.membership import id_filter
-from liftlake.llm.runtime import column, map_slices, written
+from liftlake.llm.runtime import column, map_slices, slices, written
 from liftlake.llm.words import _BYTE_HASH, byte_view, mix64, span_hashes
 
 LENGTH = 50
@@ -47,7 +47,8 @@ BITMAP_BITS = 26
 HOT_SLICES = 4000
 _BUCKET_BITS = 15           # bits in one block of a bitmap
 _NO_ID = (1 << 63) - 1      # stands for a null id: larger than all
-_GROUP_ROWS = 40_000
+_GROUP_ROWS = 20_000
+_SLICE = 1 << 19             # text bytes taken at a time by the two passes
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int, k: int):
@@ -71,7 +72,8 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, k: int):
     new = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]]) if len(pos) else np.zeros(0, np.int64)
     last = np.r_[new[1:], len(pos)] - 1 if len(pos) else new
     p = pos[new]
-    return h[p], p, whole[new], whole[last], doc[p].astype(np.int64)
+    # mixed anew: smallest hashes of windows are no even spread of bits
+    return mix64(h[p] + np.uint64(0x9E3779B97F4A7C15)), p, whole[new], whole[last], doc[p].astype(np.int64)
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -122,11 +124,11 @@ def anchor_bitmaps(docs: DataFrame, length: int, k: int, hot_slices: int) -> tup
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()),
                                               pa.array([o[2] for o in out], pa.binary())], names=["bucket", "repeated", "hot"])
     bucket = F.shiftrightunsigned("h", 64 - BITMAP_BITS + _BUCKET_BITS)
-    rows = (map_slices(docs, each, "h long").repartition(bucket).sortWithinPartitions(bucket)
+    rows = (map_slices(docs, each, "h long", limit=_SLICE).repartition(bucket).sortWithinPartitions(bucket)
             .mapInArrow(mark, "bucket long, repeated binary, hot binary"))
     tables = np.zeros((2, 1 << (BITMAP_BITS - 3)), np.uint8)
     width = 1 << (_BUCKET_BITS - 3)
-    for row in rows.toLocalIterator():      # a row for each block of the bitmap: fixed size
+    for row in rows.collect():      # a row for each block of the bitmaps: fixed size
         for t, bits in enumerate((row.repeated, row.hot)):
             tables[t, row.bucket * width:(row.bucket + 1) * width] |= np.frombuffer(bits, np.uint8)
     return tables[0], tables[1]
@@ -145,13 +147,22 @@ def _chunks(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at].tobytes())])
 
 
-_ROW = "h long, doc_id long, start long, stop long, rel int, context binary"
+#: place is start * 128 + kind: 2 and more for a context (2 + the anchor's place in
+#: it, whose bytes follow), 1 for a window (its second hash follows), 0 for a mark
+#: (its length follows).
+_ROW = "h long, doc_id long, place long, context binary"
 
 
-def _rows(h, doc_id, start, stop, rel, context) -> pa.RecordBatch:
+def _rows(h, doc_id, start, kind, context) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64)), pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()),
-         pa.array(rel, pa.int32()), context], names=["h", "doc_id", "start", "stop", "rel", "context"])
+        [pa.array(h.view(np.int64)), pa.array(doc_id, pa.int64()), pa.array(start * 128 + kind, pa.int64()), context],
+        names=["h", "doc_id", "place", "context"])
+
+
+def _words8(values: np.ndarray) -> pa.Array:
+    """64-bit values as 8 bytes each."""
+    n = np.arange(len(values))
+    return _chunks(np.ascontiguousarray(values).view(np.uint8), n * 8, np.full(len(values), 8))
 
 
 def _smallest_only(key1: np.ndarray, key2: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -166,11 +177,18 @@ def _smallest_only(key1: np.ndarray, key2: np.ndarray, doc_id: np.ndarray) -> np
 
 
 def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int, k: int) -> DataFrame:
-    """Contexts of repeated anchors (rel: the anchor's place in it), windows of
-    hot ones (rel -1, the second hash as context), and marks (rel -2)."""
+    """Contexts of repeated anchors, windows of hot ones, and marks (see _ROW)."""
     shared = docs.sparkSession.sparkContext.broadcast((repeated, hot))
 
-    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                known = yield from each(part, known)
+
+    def each(part: pa.RecordBatch, known: tuple):
+        """One slice; ``known``: contexts that the task has sent (sorted keys) and
+        the smallest document that each was sent for."""
         repeated, hot = shared.value
         raw, off = byte_view(column(part, "text"))
         ids = column(part, "doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -178,7 +196,7 @@ def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int
         some = _is_set(repeated, h)
         h, p, wa, wb, doc = h[some], p[some], wa[some], wb[some], doc[some]
         if not len(h):
-            return
+            return known
         value = _BYTE_HASH[raw]
         own, rel, stop = ids[doc], (p - wa).astype(np.int64), wb + length
         marks: list = []
@@ -187,10 +205,17 @@ def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int
         if len(cold):
             text_key = mix64(span_hashes(value, wa[cold], stop[cold]) + rel[cold].astype(np.uint64))
             first = _smallest_only(h[cold], text_key, own[cold])
-            send, known = cold[first], cold[~first]
-            marks.append((own[known], (wa - off[doc])[known], (stop - off[doc])[known]))
-            yield _rows(h[send], own[send], (wa - off[doc])[send], (stop - off[doc])[send], rel[send],
-                        _chunks(raw, wa[send], (stop - wa)[send]))
+            at = np.minimum(np.searchsorted(known[0], text_key), max(len(known[0]) - 1, 0))
+            if len(known[0]):
+                first &= ~((known[0][at] == text_key) & (known[1][at] < own[cold]))
+            send, other = cold[first], cold[~first]
+            marks.append((own[other], (wa - off[doc])[other], (stop - off[doc])[other]))
+            yield _rows(h[send], own[send], (wa - off[doc])[send], 2 + rel[send], _chunks(raw, wa[send], (stop - wa)[send]))
+            keys, ids_of = np.concatenate([known[0], text_key[first]]), np.concatenate([known[1], own[send]])
+            order = np.lexsort((ids_of, keys))
+            keys, ids_of = keys[order], ids_of[order]
+            new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+            known = keys[new], ids_of[new]
         for a in range(0, int(is_hot.sum()), 20_000):
             mine = np.flatnonzero(is_hot)[a:a + 20_000]
             n = wb[mine] - wa[mine] + 1
@@ -200,14 +225,13 @@ def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int
             two = mix64(span_hashes(mix64(value), s, s + length))
             first = _smallest_only(mix64(one), two, whose)
             marks.append((whose[~first], begin[~first], begin[~first] + length))
-            yield _rows(mix64(one)[first], whose[first], begin[first], begin[first] + length, np.full(int(first.sum()), -1, np.int32),
-                        _chunks(two[first].view(np.uint8), np.arange(int(first.sum())) * 8, np.full(int(first.sum()), 8)))
+            yield _rows(mix64(one)[first], whose[first], begin[first], 1, _words8(two[first]))
         d, s, e = (np.concatenate(x) for x in zip(*marks)) if marks else (np.zeros(0, np.int64),) * 3
         d, s, e = merge(d, s, e)
         if len(d):
-            yield _rows(mix64(d.view(np.uint64) + s.view(np.uint64)), d, s, e, np.full(len(d), -2, np.int32),
-                        _chunks(raw, s * 0, s * 0))
-    return map_slices(docs, run, _ROW)
+            yield _rows(mix64(d.view(np.uint64) + s.view(np.uint64)), d, s, 0, _words8(e - s))
+        return known
+    return docs.mapInArrow(run, _ROW)
 
 
 def merge(doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
@@ -274,13 +298,15 @@ def run_length_index(group: np.ndarray, doc_id: np.ndarray, cells: np.ndarray, l
 def _index(length: int, k: int):
     columns, reach = 2 * length - k, length - k
 
-    def judge(h, doc_id, start, stop, rel, flat, offset) -> tuple:
-        found = [tuple(x[rel == -2] for x in (doc_id, start, stop))]
-        w = np.flatnonzero(rel == -1)
-        if len(w):
-            two = np.array([int.from_bytes(flat[offset[i]:offset[i] + 8].tobytes(), "little") for i in w], np.uint64)
-            known = ~_smallest_only(h[w], two, doc_id[w])
-            found.append((doc_id[w][known], start[w][known], stop[w][known]))
+    def number(rows, flat, offset):
+        return flat[offset[rows][:, None] + np.arange(8)].view(np.uint64)[:, 0] if len(rows) else np.zeros(0, np.uint64)
+
+    def judge(h, doc_id, place, flat, offset) -> tuple:
+        start, rel, size_of = place >> 7, (place & 127) - 2, np.diff(offset)
+        m, w = np.flatnonzero(rel == -2), np.flatnonzero(rel == -1)
+        found = [(doc_id[m], start[m], start[m] + number(m, flat, offset).astype(np.int64))]
+        known = w[~_smallest_only(h[w], number(w, flat, offset), doc_id[w])] if len(w) else w
+        found.append((doc_id[known], start[known], start[known] + length))
         c = np.flatnonzero(rel >= 0)
         c = c[np.lexsort((doc_id[c], h[c]))]
         edge = np.flatnonzero(np.r_[True, h[c][1:] != h[c][:-1], True]) if len(c) else np.zeros(1, np.int64)
@@ -296,7 +322,7 @@ def _index(length: int, k: int):
                     cut.append(int(g))
             for a, b in zip(cut[:-1], cut[1:]):
                 rows = c[a:b]
-                size = (stop - start)[rows]
+                size = size_of[rows]
                 cells = np.zeros((len(rows), columns), np.uint16)
                 r = np.repeat(np.arange(len(rows)), size)
                 t = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -322,8 +348,7 @@ def _index(length: int, k: int):
                 col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
                 flat, off = byte_view(col)
                 d, s, e = judge(done.column("h").to_numpy().view(np.uint64), done.column("doc_id").to_numpy(),
-                                done.column("start").to_numpy(), done.column("stop").to_numpy(),
-                                done.column("rel").to_numpy().astype(np.int64), flat, off[:-1])
+                                done.column("place").to_numpy(), flat, off)
                 if len(d):
                     yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "stop"])
             rest = table.slice(stop_at)
