@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from liftlake.llm.membership import id_filter
-from liftlake.llm.runtime import column, map_slices, slices, written
+from liftlake.llm.runtime import column, map_slices, slices, small_batches, written
 from liftlake.llm.words import _BYTE_HASH, byte_view, mix64, span_hashes
 
 LENGTH = 50
@@ -431,7 +431,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot_slices
     tables give an empty result; only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = written(repeated_spans(docs, length, k, hot_slices), "repeats")
+    with small_batches(docs.sparkSession):
+        found = written(repeated_spans(docs, length, k, hot_slices), "repeats")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     some = id_filter(keyed, found.select("doc_id")).join(found, "doc_id", "left")
     rest = id_filter(keyed, found.select("doc_id"), inside=False).withColumn("spans", F.lit(None).cast("binary"))
