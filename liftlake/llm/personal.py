@@ -2,10 +2,13 @@
 
 Base patterns give spans of four kinds.  The field's nodes are the words with
 a digit or an at sign; neighbours in the text are joined by chain edges, and
-words with the same letters and digits, however far apart, by skip edges (each
-occurrence with the one before).  Loopy belief propagation over both kinds of
-edges makes labels agree across a document, so an occurrence that no pattern
-matches takes the label of its matched repeats.  Weights are learned from a
+words with the same letters and digits, however far apart, by skip edges: an
+occurrence that no pattern matches with every matched one of the document, and
+with the unmatched one before.  Loopy belief propagation over both kinds of
+edges makes labels agree across a document, so an unmatched occurrence takes
+the label of its matched repeats.  A matched occurrence is observed and its
+message never changes, so it reaches all repeats at once, in any number;
+messages between unmatched words go ``ROUNDS`` edges far.  Weights are learned from a
 bounded sample of texts, with the base spans as labels.
 """
 
@@ -147,12 +150,38 @@ def edges(n: Nodes) -> tuple[np.ndarray, np.ndarray]:
     return shape(chain), shape(skip)
 
 
+def _unmatched(n: Nodes) -> np.ndarray:
+    """Pairs of unmatched nodes with their last unmatched repeat."""
+    skip, seen = [], {}
+    for i, (t, key, label) in enumerate(zip(n.text, n.key, n.label)):
+        if not label and len(key) >= 5:
+            if (t, key) in seen:
+                skip.append((seen[t, key], i))
+            seen[t, key] = i
+    return np.array(skip, np.int64).reshape(-1, 2)
+
+
 @dataclass
 class Field:
     unary: np.ndarray   # features x labels
     chain: np.ndarray   # labels x labels, log potentials
     skip: np.ndarray
 
+    def _observed(self, n: Nodes) -> np.ndarray:
+        """What all matched repeats in the document say to an unmatched node:
+        one message a label, times the number of repeats that have it."""
+        k = self.skip.shape[0]
+        met: dict = {}
+        for t, key, label in zip(n.text, n.key, n.label):
+            if label and len(key) >= 5:
+                met.setdefault((t, key), np.zeros(k))[label] += 1
+        out = np.zeros((len(n.key), k))
+        if met:
+            for i, (t, key, label) in enumerate(zip(n.text, n.key, n.label)):
+                if not label and (t, key) in met:
+                    out[i] = met[t, key] @ self.skip
+        return out
+
     def beliefs(self, n: Nodes) -> np.ndarray:
         """Marginals after loopy belief propagation; base spans are observed."""
         k = self.unary.shape[1]
@@ -161,7 +190,8 @@ class Field:
         seen = np.flatnonzero(label > 0)
         score[seen] = -30.0
         score[seen, label[seen]] = 0
-        chain, skip = edges(n)
+        score += self._observed(n)
+        chain, skip = edges(n)[0], _unmatched(n)
         pair = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
         link = np.concatenate([chain, skip])
         a, b = np.concatenate([link[:, 0], link[:, 1]]), np.concatenate([link[:, 1], link[:, 0]])

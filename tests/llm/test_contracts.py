@@ -250,3 +250,13 @@ def test_personal_field_carries_labels_to_repeats():
     assert personal.added_spans([text], [base], field, 0.9) == [[(3, text.index(" 15550109999") + 1, text.index(" again"))]]
     alone = "my phone is +15550109999 and in 1987"
     assert personal.added_spans([alone], [personal.base_spans(alone)], field, 0.9) == [[]]
+
+
+def test_personal_label_reaches_every_repeat():
+    """One matched number and 100 unmatched repeats, near and far."""
+    texts = [f"call +1 (555) 010-{1000 + i} now or mail u{i}@host{i}.org today; year {1900 + i} and room {i}" for i in range(200)]
+    field = personal.fit(texts)
+    for text in ("phone +15550109999" + " then 15550109999 again" * 100, "see 15550109999 here " * 50 + "or +15550109999" + " then 15550109999 again" * 50):
+        want = [(3, i, i + 11) for i in range(len(text)) if text.startswith(" 15550109999", i - 1)]
+        assert len(want) == 100
+        assert personal.added_spans([text], [personal.base_spans(text)], field, 0.9) == [want]
