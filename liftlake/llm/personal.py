@@ -1,14 +1,16 @@
 """Personal data by a skip-chain conditional random field (dealt operator 9).
 
-Base patterns give spans of four kinds.  The field's nodes are the words with
-a digit or an at sign; neighbours in the text are joined by chain edges, and
-words with the same letters and digits, however far apart, by skip edges: an
+Base patterns give spans of four kinds.  The field's nodes are the base spans,
+other writings of their values (numbers in groups over spaces or lines, inside
+words of any length), and the remaining runs with a digit or an at sign;
+neighbours in the text are joined by chain edges, and nodes with the same
+value, however far apart, by skip edges: an
 occurrence that no pattern matches with every matched one of the document, and
 with the unmatched one before.  Loopy belief propagation over both kinds of
 edges makes labels agree across a document, so an unmatched occurrence takes
 the label of its matched repeats.  A matched occurrence is observed and its
 message never changes, so it reaches all repeats at once, in any number;
-messages between unmatched words go ``ROUNDS`` edges far.  Weights are learned from a
+messages between unmatched nodes go ``ROUNDS`` edges far.  Weights are learned from a
 bounded sample of texts, with the base spans as labels.
 """
 
@@ -31,6 +33,10 @@ SAMPLE_TEXTS = 2000
 #: Belief above which an unmatched word becomes a span.
 BELIEF = 0.9
 ROUNDS = 12
+#: Characters before and after a node that are looked at for digits.
+NEAR = 12
+#: Keys of fewer characters have no skip edges: no base span's key is so short.
+KEY = 5
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +47,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[0-9@]")
+_SPACE = re.compile(r"\s")
+_RUN = re.compile(r"[A-Za-z0-9._%+@()/=-]+")
+_RUN_OF_DIGITS = re.compile(r"[0-9]+")
+# digits in groups: what lies between is no letter and ends no field
+_GROUPS = re.compile(r"""[0-9]++(?:[^\w,;:@"'|<>{}=]++[0-9]++)*""")
+# an address with something about its at sign
+_ADDRESS = re.compile("(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\\s\\[({<]*+[@\uff20][\\s\\])}>]*+[A-Za-z0-9.-]++")
+_AT = re.compile("[\\s\\[({<]*+[@\uff20][\\s\\])}>]*+")
 _EDGE = "()[]{}<>,;:!?\"'`*#$%&|"
 
 
@@ -92,7 +106,7 @@ _FEATURES = 26
 
 
 def _shape(word: str, before: str, after: str) -> list[float]:
-    """What a word looks like, and whether its neighbours have digits."""
+    """What a node looks like, and whether there are digits close to it."""
     n = sum("0" <= c <= "9" for c in word)
     letters = sum(c.isalpha() for c in word)
     at, dots = word.count("@"), word.count(".")
@@ -112,27 +126,96 @@ class Nodes:
     label: list         # 0: no base span, else 1 + kind
 
 
+def _plain(s: str) -> str:
+    return "".join(c for c in s.lower() if c.isalnum())
+
+
+def _base_key(value: str, kind: int) -> str:
+    """An address in lower case with a bare at sign, an IP as it is, the digits
+    of a card or phone number."""
+    return _AT.sub("@", value).rstrip(".-").lower() if kind == 0 else value if kind == 1 else _digits(value)
+
+
+def _written_apart(text: str, a: int, b: int, numbers: set, addresses: set) -> list[tuple[int, int, str]]:
+    """(start, end, key) of neighbouring groups of digits that together make a
+    matched number, leftmost and longest first."""
+    out, longest = [], max(map(len, numbers), default=0)
+    for m in _GROUPS.finditer(text, a, b):
+        groups, i = [g.span() for g in _RUN_OF_DIGITS.finditer(text, *m.span())], 0
+        while i < len(groups):
+            start, best, digits = groups[i][0], None, ""
+            for j in range(i, len(groups)):
+                if len(digits) + groups[j][1] - groups[j][0] > longest:
+                    break
+                digits += text[groups[j][0]:groups[j][1]]
+                if digits in numbers:
+                    best = j, digits
+            four = groups[i:i + 4]
+            if best is None and len(four) == 4 and addresses and not _SPACE.search(text, start, four[3][1]):
+                dotted = ".".join(text[s:e] for s, e in four)
+                best = (i + 3, dotted) if dotted in addresses else None
+            if best:
+                out.append((start, groups[best[0]][1], best[1]))
+            i = best[0] + 1 if best else i + 1
+    return out
+
+
+def _rest(spans: list, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """What the sorted spans leave of [a, b)."""
+    for s, e, *_ in spans:
+        if a < s:
+            yield a, min(s, b)
+        a = max(a, e)
+    if a < b:
+        yield a, b
+
+
+def _found(text: str, base: list) -> list[tuple[int, int, str, int]]:
+    """(start, end, key, label) of a text's nodes: the base spans; outside them
+    repeats of their values in other writing, in words of any length; and the
+    remaining runs of letters, digits and signs with a digit or an at sign."""
+    flat = sorted((s, e, k) for k, spans in enumerate(base) for s, e in spans)
+    out = [(s, e, _base_key(text[s:e], k), k + 1) for s, e, k in flat]
+    mails, addresses = {x[2] for x in out if x[3] == 1}, {x[2] for x in out if x[3] == 2}
+    numbers = {x[2] for x in out if x[3] > 2}
+    bare = {_plain(x): x for x in sorted(mails) if len(_plain(x)) >= KEY}
+    for a, b in _rest(flat, 0, len(text)):
+        if not _MARK.search(text, a, b) and not mails:
+            continue
+        own = _written_apart(text, a, b, numbers, addresses) if numbers or addresses else []
+        if mails:
+            for c, d in list(_rest(own, a, b)):
+                for m in _ADDRESS.finditer(text, c, d):
+                    key = _base_key(m[0], 0)
+                    if key in mails:
+                        own.append((m.start(), m.start() + len(m[0].rstrip(".-")), key))
+            own.sort()
+        for c, d in list(_rest(own, a, b)):
+            for m in _WORD.finditer(text, c, d):
+                if not _MARK.search(m[0]):
+                    continue
+                runs = [m.span()] if bare and _plain(m[0]) in bare else [r.span() for r in _RUN.finditer(text, *m.span())]
+                for s, e in runs:
+                    run = text[s:e]
+                    s, e = e - len(run.lstrip(_EDGE)), s + len(run.rstrip(_EDGE + "."))
+                    if s < e and _MARK.search(text, s, e):
+                        key = _plain(text[s:e])
+                        own.append((s, e, bare.get(key, key)))
+        out += [(s, e, key, 0) for s, e, key in own]
+    return sorted(out)
+
+
 def nodes(texts: list[str], bases: list) -> Nodes:
     out = Nodes([], [], [], [], [])
     for t, (text, base) in enumerate(zip(texts, bases)):
-        flat = sorted((s, e, k + 1) for k, spans in enumerate(base) for s, e in spans)
-        found = [m for m in _WORD.finditer(text)] if _MARK.search(text) else []
-        at = 0
-        for i, m in enumerate(found):
-            word = m[0]
-            if not _MARK.search(word) or len(word) > 200:
-                continue
-            s, e = m.start() + len(word) - len(word.lstrip(_EDGE)), m.end() - len(word) + len(word.rstrip(_EDGE + "."))
-            if s >= e:
-                continue
-            while at < len(flat) and flat[at][1] <= s:
-                at += 1
-            inside = next((k for a, b, k in flat[at:at + 4] if a < e and s < b), 0)
+        if not _MARK.search(text):
+            continue
+        for s, e, key, label in _found(text, base):
             out.text.append(t)
             out.span.append((s, e))
-            out.x.append(_shape(text[s:e], found[i - 1][0] if i else "", found[i + 1][0] if i + 1 < len(found) else ""))
-            out.key.append("".join(c for c in text[s:e].lower() if c.isalnum()))
-            out.label.append(inside)
+            out.x.append(_shape(text[s:e], text[max(0, s - NEAR):s], text[e:e + NEAR]))
+            out.key.append(key)
+            out.label.append(label)
     return out
 
 
@@ -142,7 +225,7 @@ def edges(n: Nodes) -> tuple[np.ndarray, np.ndarray]:
     for i, (t, key) in enumerate(zip(n.text, n.key)):
         if i and n.text[i - 1] == t and n.span[i][0] - n.span[i - 1][1] <= 3:
             chain.append((i - 1, i))
-        if len(key) >= 5:
+        if len(key) >= KEY:
             if (t, key) in seen:
                 skip.append((seen[t, key], i))
             seen[t, key] = i
@@ -154,7 +237,7 @@ def _unmatched(n: Nodes) -> np.ndarray:
     """Pairs of unmatched nodes with their last unmatched repeat."""
     skip, seen = [], {}
     for i, (t, key, label) in enumerate(zip(n.text, n.key, n.label)):
-        if not label and len(key) >= 5:
+        if not label and len(key) >= KEY:
             if (t, key) in seen:
                 skip.append((seen[t, key], i))
             seen[t, key] = i
@@ -173,7 +256,7 @@ class Field:
         k = self.skip.shape[0]
         met: dict = {}
         for t, key, label in zip(n.text, n.key, n.label):
-            if label and len(key) >= 5:
+            if label and len(key) >= KEY:
                 met.setdefault((t, key), np.zeros(k))[label] += 1
         out = np.zeros((len(n.key), k))
         if met:
@@ -252,20 +335,25 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 
 def added_spans(texts: list[str], bases: list, field: Field, belief: float) -> list[list[tuple[int, int, int]]]:
-    """Words that no base span touches and the field is sure of, by text;
-    neighbours of one kind with one space between make one span."""
+    """Nodes that no base span touches and the field is sure of, by text;
+    neighbours of one kind with one space between make one span, unless one of
+    them is a matched value's repeat and so whole."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     n = nodes(texts, bases)
     if not n.label:
         return out
     p = field.beliefs(n)
     best = p[:, 1:].argmax(1)
+    whole = {(t, key) for t, key, label in zip(n.text, n.key, n.label) if label}
+    open_end = [True] * len(texts)
     for i in np.flatnonzero((np.array(n.label) == 0) & (p[:, 1:].max(1) >= belief)):
         t, (s, e), k = n.text[i], n.span[i], int(best[i])
-        if out[t] and out[t][-1][0] == k and s - out[t][-1][2] <= 1:
+        part = (t, n.key[i]) not in whole
+        if out[t] and part and open_end[t] and out[t][-1][0] == k and s - out[t][-1][2] <= 1:
             out[t][-1] = (k, out[t][-1][1], e)
         else:
             out[t].append((k, s, e))
+        open_end[t] = part
     return out
 
 

@@ -260,3 +260,25 @@ def test_personal_label_reaches_every_repeat():
         want = [(3, i, i + 11) for i in range(len(text)) if text.startswith(" 15550109999", i - 1)]
         assert len(want) == 100
         assert personal.added_spans([text], [personal.base_spans(text)], field, 0.9) == [want]
+
+
+def test_personal_repeats_in_other_writing():
+    """Numbers in groups over lines, in words of any length, without spaces;
+    two repeats side by side stay two."""
+    texts = [f"call +1 (555) 010-{1000 + i} now or mail u{i}@host{i}.org today; card 4111 1111 1111 1111, "
+             f"ip 10.0.{i}.1; year {1900 + i} and room {i}" for i in range(200)]
+    field = personal.fit(texts)
+
+    def added(text):
+        got = personal.added_spans([text], [personal.base_spans(text)], field, 0.9)[0]
+        return [(personal.KINDS[k], text[s:e]) for k, s, e in got]
+    assert added("card 4111 1111 1111 1111, again 4111 1111\n1111 1111 on 12 3") == [("card", "4111 1111\n1111 1111")]
+    assert added('[{"p":"+15550109999"},' + '{"a":"bcd"},' * 40 + '{"p":"15550109999"},{"p":15550109999}]') == [("phone", "15550109999")] * 2
+    assert added("a,+15550109999,b\n" + "x" * 300 + ",15550109999,y") == [("phone", "15550109999")]
+    assert added("\u96fb\u8a71+15550109999\u3067\u300115550109999\u53f7") == [("phone", "15550109999")]
+    assert added("+15550109999; 15550109999 15550109999") == [("phone", "15550109999")] * 2
+    assert added("+1 555 010 9999 or 1.555.010.9999") == [("phone", "1.555.010.9999")]
+    assert added('u7@host7.org or {"m":"u7[@]host7.org"} or u7 @ host7.org') == [("email", "u7[@]host7.org"), ("email", "u7 @ host7.org")]
+    assert added("a1@b.c and a1 @ b.c not a1bc") == [("email", "a1 @ b.c")]
+    assert added("10.0.0.1 is 10[.]0[.]0[.]1 not 10001") == [("ip", "10[.]0[.]0[.]1")]
+    assert added("4111 1111 1111 1111 and 2020 1111 4111 5550109999") == []
