@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from liftlake.llm.components import components, forest
+from liftlake.llm.exact import _ident as ident, _with_locator as with_locator, keep_first  # noqa: F401
 from liftlake.llm.membership import id_filter
 from liftlake.llm.runtime import column, map_slices, slices, written
 from liftlake.llm.words import SPACE_SPLIT, byte_view, mix64, shingles, words
@@ -142,26 +143,31 @@ def _may_link(percent: int):
     return run
 
 
+def _keys(pivot: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys of whole sets laid end to end."""
+    key = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        key[some] = np.add.reduceat(mix64(pivot), start[some])
+    return mix64(key + n.astype(np.uint64)).view(np.int64)
+
+
 def set_table(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), key (of the whole set), pivots (the window's, packed)
-    and vector (cell counts)."""
+    """doc_id, file and row (where the text is found), n (set size), key (of the
+    whole set), pivots (the window's, packed) and vector (cell counts)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pivot, doc = _ordered(*_sets(column(part, "text"), k), shared.value)
         n = np.bincount(doc, minlength=part.num_rows)
         start = np.cumsum(n) - n
-        key = np.zeros(part.num_rows, np.uint64)
-        some = np.flatnonzero(n)
-        if len(some):
-            key[some] = np.add.reduceat(mix64(pivot), start[some])
-        key = mix64(key + n.astype(np.uint64)).view(np.int64)
         window = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
         packed = [pivot[a:a + w].tobytes() for a, w in zip(start, window)]
         yield pa.RecordBatch.from_arrays(
-            [column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(packed, pa.binary()),
-             pa.array(_vectors(pivot, n), pa.binary())], names=["doc_id", "n", "key", "pivots", "vector"])
-    return map_slices(docs, run, "doc_id long, n long, key long, pivots binary, vector binary")
+            [column(part, "doc_id"), column(part, "file"), column(part, "row"), pa.array(n, pa.int64()),
+             pa.array(_keys(pivot, n, start), pa.int64()), pa.array(packed, pa.binary()), pa.array(_vectors(pivot, n), pa.binary())],
+            names=["doc_id", "file", "row", "n", "key", "pivots", "vector"])
+    return map_slices(docs, run, "doc_id long, file string, row long, n long, key long, pivots binary, vector binary")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,21 +344,31 @@ def jaccard_links(docs: DataFrame, table: DataFrame, sketch: np.ndarray, k: int,
                     .select("a", "b", "n1", "n2", "x", "y").mapInArrow(_may_link(percent), "a long, b long"), "jaccard-near")
     large = found.where("large").select("region", F.col("a").alias("key"), F.col("b").alias("m"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
-    # whole sets, once each, of the sets that have a region with others
-    reps = table.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    # whole sets, once each, of the sets that have a region with others; the
+    # ids only spare other rows the work, the set's key decides
+    reps = table.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     reps = written(reps.join(needed, "key", "left_semi"), "jaccard-needed")
     shared = spark.sparkContext.broadcast(sketch)
 
-    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pivot, doc = _ordered(*_sets(column(part, "text"), k), shared.value)
-        n = np.bincount(doc, minlength=part.num_rows)
-        start = np.cumsum(n) - n
-        yield pa.RecordBatch.from_arrays(
-            [column(part, "doc_id"), pa.array([np.sort(pivot[a:a + m].view(np.int64)).tobytes() for a, m in zip(start, n)], pa.binary())],
-            names=["doc_id", "items"])
-    some = id_filter(docs, reps.select("doc_id"))
-    sets = written(map_slices(some, run, "doc_id long, items binary").dropDuplicates(["doc_id"])
-                   .join(reps, "doc_id").select("key", "items"), "jaccard-sets")
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                pivot, doc = _ordered(*_sets(column(part, "text"), k), shared.value)
+                n = np.bincount(doc, minlength=part.num_rows)
+                start = np.cumsum(n) - n
+                keys, fresh = _keys(pivot, n, start), []
+                for i in np.flatnonzero(n).tolist():
+                    if keys[i] not in seen:
+                        seen.add(keys[i])
+                        fresh.append(i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[fresh], pa.int64()),
+                     pa.array([np.sort(pivot[start[i]:start[i] + n[i]].view(np.int64)).tobytes() for i in fresh], pa.binary())],
+                    names=["key", "items"])
+    some = id_filter(docs.select("doc_id", "text"), reps.select("doc_id"))
+    sets = written(some.mapInArrow(items, "key long, items binary").dropDuplicates(["key"])
+                   .join(reps.select("key"), "key", "left_semi"), "jaccard-sets")
     checked = (pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
                .join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
                .select("a", "b", "x", "y").mapInArrow(_verify(percent), "u long, v long"))
@@ -367,7 +383,8 @@ def jaccard_links(docs: DataFrame, table: DataFrame, sketch: np.ndarray, k: int,
 
 
 def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, set_key.
+    """One row per document: doc_id, n_shingles, component_id, set_key, kept,
+    and the row's locator (file, row).
 
     component_id is the smallest doc_id that links reach, the document itself
     included.  Texts without words, null and empty ones, have no shingle and
@@ -376,23 +393,22 @@ def jaccard_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     an id takes its class's id, or null if nothing in the class has an id.
     Empty tables give an empty result; only doc_id and text are read.  Sets
     are known by 64-bit hashes of their shingles.
+
+    One row of each class is kept, the first by id (null last) and then by file
+    and row; a text without words is a class of its own.  A frame that is not
+    read from files has no locators, as in ``exact_dedup``.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = with_locator(docs)
     sketch = count_sketch(docs, k)
     table = written(set_table(docs, sketch, k, percent), "jaccard-table")
     links = jaccard_links(docs, table, sketch, k, percent)
     roots = components(links)
-    keys = table.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
+    keys = table.where("n > 0").groupBy("key").agg(F.min(ident()).alias("first"))
     classed = keys.join(roots, keys["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    lowest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = classed.join(lowest, "root").select("key", "component_id")
-    return (table.select("doc_id", "n", "key").join(ids, "key", "left")
+    lowest = classed.groupBy("root").agg(F.min("first").alias("keeper"))
+    ids = classed.join(lowest, "root").select("key", "keeper")
+    return (table.select("doc_id", "file", "row", "n", "key").join(ids, "key", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                    F.col("key").alias("set_key")))
-
-
-def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their class."""
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("component_id"),
+                    F.col("key").alias("set_key"),
+                    ((F.col("n") == 0) | ident().eqNullSafe(F.col("keeper"))).alias("kept"), "file", "row"))

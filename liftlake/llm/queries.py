@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _jaccard.jaccard_classes(_table(spark, sf_dir, "documents")).drop("set_key")
+    return _jaccard.jaccard_classes(_table(spark, sf_dir, "documents")).drop("set_key", "kept", "file", "row")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,26 @@ def test_jaccard_repeated_rows_and_null_ids(spark):
     assert got == [(-1, 1, -1), (-1, 2, 5), (5, 2, 5), (5, 2, 5), (9, 0, 9)]
 
 
+def test_jaccard_keep_first_with_null_and_repeated_ids(spark, tmp_path):
+    """One row of each class stays, unique ones without an id and texts without
+    words included; sets without an id link others; rows of one id that have
+    different texts are told apart."""
+    w = [f"w{i}" for i in range(60)]
+    near = [" ".join(["x", *w[1:]]), " ".join(["x", *w[1:-1], "y"]), " ".join(["x", "z", *w[2:-1], "y"])]
+    data = [(None, "z z q r s t"), (None, ""), (None, None), (8, " "), (8, " "),
+            (3, " ".join(w)), (None, near[0]), (4, near[1]), (None, near[2]),
+            (6, "one two three four five six"), (6, "one two three four five six"), (6, "other words of the same id here"),
+            (2, "other words of the same id here"), (None, "a b c d e f"), (None, "a b c d e f")]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    found = jaccard.jaccard_classes(docs)
+    text = brute.jaccard([(i, t) for i, (_, t) in enumerate(data)])
+    assert len({text[i][1] for i in (5, 6, 7, 8)}) == 1
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in jaccard.keep_first(docs, found).collect())
+    assert got == sorted([(-1, "z z q r s t"), (-1, ""), (-1, ""), (8, " "), (8, " "), (3, " ".join(w)),
+                          (6, "one two three four five six"), (2, "other words of the same id here"), (-1, "a b c d e f")])
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(300)] + [(3000, 3000)]
     got = dict((r.node, r.root) for r in components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect())
