@@ -4,7 +4,8 @@ Built from DataFrame and SQL functions alone.  The base patterns give spans;
 a broader pattern gives candidates, strings that look like machine-made keys.
 All candidate values are hashed and counted over the whole corpus by distinct
 repositories and owners: a value that many owners have is a copied example,
-one that a single owner has looks live.  Live-looking candidates outside the
+and so is one that very many repositories of a single owner have; others look
+live.  Live-looking candidates outside the
 base spans become spans of the kind ``live``.
 """
 
@@ -23,6 +24,8 @@ KINDS = ("assign", "access", "hex")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: A value held by this many owners or more is a copied example.
 EXAMPLE_OWNERS = 2
+#: So is one that this many repositories of its owners hold.
+EXAMPLE_REPOSITORIES = 100
 
 _SPAN = "struct<kind:string,place:int,start:int,end:int,value:string>"
 
@@ -84,9 +87,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source",
-                example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+                example_owners: int = EXAMPLE_OWNERS,
+                example_repositories: int | None = EXAMPLE_REPOSITORIES) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256,
-    spans, n_live, n_example (distinct values held by several owners).
+    spans, n_live, n_example (distinct values that are copied examples) and
+    spread, the counts of every candidate outside the base spans: start, end,
+    repositories, owners.
+
+    A value is an example from ``example_owners`` owners or from
+    ``example_repositories`` repositories on; with None owners alone decide.
 
     Positions are code points, ends exclusive.  Null texts count as empty and
     have no span.  A null owner is an owner of its own, as is a null
@@ -106,13 +115,19 @@ def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "sourc
         F.transform("base", lambda s: s["value"]), F.transform("cand", lambda s: s["value"])))).alias("value")).select(
         "row", "repository", "owner", F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("hash"))
     spread = ownership(values)
+    example = F.col("owners") >= example_owners
+    if example_repositories is not None:
+        example = example | (F.col("repositories") >= example_repositories)
     judged = values.join(spread, "hash").groupBy("row").agg(
-        F.collect_set(F.when(F.col("owners") < example_owners, F.col("hash"))).alias("live"),
-        F.count(F.when(F.col("owners") >= example_owners, 1)).alias("n_example"))
+        F.map_from_entries(F.collect_list(F.struct(F.hex("hash"), F.struct("repositories", "owners", example.alias("example"))))).alias("held"),
+        F.count(F.when(example, 1)).alias("n_example"))
     found = found.join(judged, "row", "left")
-    own = F.filter("cand", lambda c: F.coalesce(F.array_contains("live", F.unhex(F.sha2(c["value"].cast("binary"), 256))), F.lit(False)))
+    held = lambda c: F.element_at("held", F.upper(F.sha2(c["value"].cast("binary"), 256)))
+    own = F.filter("cand", lambda c: ~held(c)["example"])
     spans = F.array_sort(F.concat("base", _by_place(own)))
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"),
-        F.size(own).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+        F.size(own).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        F.transform("cand", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), held(c)["repositories"].alias("repositories"),
+                                               held(c)["owners"].alias("owners"))).alias("spread"))

@@ -142,6 +142,19 @@ def test_secrets_ownership(spark):
     assert got[2] == ("", 0, 1) and got[3] == ("", 0, 1) and got[4] == ("", 0, 0)
 
 
+def test_secrets_copied_within_one_owner(spark):
+    """A value in many repositories of one owner, or of none, is an example."""
+    wide, few, none = "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Zq8Lx2Vt9Kp4Rw7Ym1Ns", "Qw3Er4Ty5Ui6Op7As8Df"
+    texts = [f"see {wide}"] * 6 + [f"id {few}"] * 2 + [f"or {none}"] * 6
+    df = frame(spark, texts).withColumn("source", F.when(F.col("doc_id") < 8, "a"))
+    df = df.unionByName(df.where("doc_id = 6")).unionByName(df.where("doc_id = 6"))   # still two repositories
+    got = {r.doc_id: (r.spans, r.n_live, r.n_example, [tuple(x) for x in r.spread]) for r in secrets.secret_scan(df, example_repositories=4).collect()}
+    assert all(got[i] == ("", 0, 1, [(4, 24, 6, 1)]) for i in range(6))
+    assert all(got[i] == ("live:3:23", 1, 0, [(3, 23, 2, 1)]) for i in (6, 7))
+    assert all(got[i] == ("", 0, 1, [(3, 23, 6, 1)]) for i in range(8, 14))
+    assert secrets.secret_scan(df, example_repositories=None).where("n_live = 1").count() == 16
+
+
 # op4
 
 EXACT = ("keep_id", "group_size", "kept", "text_sha256")
