@@ -1,4 +1,4 @@
-"""Training-data operators: the ten corpus operators and their queries.
+"""Training-data operators: the corpus operators and their queries.
 
 Nothing else in the library imports this subpackage; general helpers are
 imported from it the other way round.

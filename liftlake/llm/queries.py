@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from liftlake.llm import collocations as _collocations
 from liftlake.llm import decontaminate as _decontaminate
 from liftlake.llm import exact as _exact
 from liftlake.llm import jaccard as _jaccard
 from liftlake.llm import language as _language
+from liftlake.llm import manifest as _manifest
+from liftlake.llm import neighbours as _neighbours
 from liftlake.llm import oracle as _oracle
 from liftlake.llm import personal as _personal
 from liftlake.llm import pieces as _pieces
@@ -67,6 +70,18 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces.encode(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
@@ -78,6 +93,9 @@ QUERIES = {
     "op8_repeat_removal": op8_repeat_removal,
     "op9_personal_data": op9_personal_data,
     "op10_piece_sampling": op10_piece_sampling,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_neighbours": op13_embedding_neighbours,
 }
 
 # The others have no SQL: learned models, sampled segmentations, and two whose
@@ -87,4 +105,7 @@ ORACLE: dict[str, str] = {
     "op2_secret_scan": _oracle.SECRETS,
     "op4_exact_dedup": _oracle.EXACT,
     "op7_benchmark_decontamination": _oracle.CONTAMINATION,
+    "op11_phrase_collocations": _oracle.COLLOCATIONS,
+    "op12_merkle_manifest": _oracle.MANIFEST,
+    "op13_embedding_neighbours": _oracle.NEIGHBOURS,
 }

@@ -1,7 +1,11 @@
 """Plain versions of the contracts, for small tables."""
 
 import hashlib
+import math
 import re
+import zlib
+
+import numpy as np
 
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -122,3 +126,99 @@ def personal(text):
         n.append(len(found))
         spans += [f"{kind}:{m.start()}:{m.end()}" for m in found]
     return (*n, ",".join(spans))
+
+
+def manifest(rows):
+    """rows of (doc_id, source, lang, n_chars, text) -> sorted list of
+    (doc_id, leaf, subroot, root, proof, folded, verified)"""
+    def leaf(*values):
+        parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values]
+        return sha("".join(parts))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i:i + 16])) for i in range(0, len(out[-1]), 16)])
+        return out
+
+    def path(tree, at):
+        found = []
+        for level in tree[:-1]:
+            low = at - at % 16
+            found.append((level[low:at], level[at + 1:low + 16]))
+            at //= 16
+        return found
+    sources = {}
+    for r in rows:
+        sources.setdefault(r[1], []).append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        sources[s].sort(key=lambda x: x[:3])
+        trees[s] = levels([x[2] for x in sources[s]])
+    top = levels([trees[s][-1][0] for s in order])
+    result = []
+    for k, s in enumerate(order):
+        for at, (_, _, own, r) in enumerate(sources[s]):
+            steps = path(trees[s], at) + path(top, k)
+            proof = sha("".join(d for a, b in steps for d in a + b))
+            cur = own
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0:
+                cur = leaf(*r[:4], None if r[4] is None else r[4].translate(_LOW))
+            for a, b in steps:
+                cur = sha("".join(a) + cur + "".join(b))
+            result.append((r[0], own, trees[s][-1][0], top[-1][0], proof, cur, cur == top[-1][0]))
+    return sorted(result, key=str)
+
+
+def collocations(rows, least=100, first=2000):
+    """rows of (lang, text) -> list of (lang, rank, phrase, a, l, r, n, score)"""
+    counts, total = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        f = counts.setdefault(lang, {})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(_LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] = total.get(lang, 0) + len(w)
+            for k in range(1, 6):
+                for a in range(len(w) - k + 1):
+                    p = tuple(w[a:a + k])
+                    f[p] = f.get(p, 0) + 1
+    out = []
+    for lang, f in counts.items():
+        n, covered, found = total.get(lang, 0), {}, []
+        cand = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        for p, a in cand.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    covered[p[i:i + k]] = max(covered.get(p[i:i + k], 0), a)
+        for p, a in cand.items():
+            if 100 * covered.get(p, 0) >= 100 * a:
+                continue
+            score, k = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (s, a, p, left, right) in enumerate(sorted(found)[:first], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n, -s))
+    return sorted(out)
+
+
+def neighbours(rows, least=0.95):
+    """rows of (vec_id, vector) -> vec_id -> (n_links, component_id, kept)"""
+    def good(v):
+        return v is not None and None not in v and all(math.isfinite(x) for x in v) and any(v)
+    ids = [i for i, v in rows if good(v)]
+    unit = np.array([v for _, v in rows if good(v)], dtype=np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None] if len(unit) else 1
+    root, links = {i: i for i, _ in rows}, {i: 0 for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    close = unit @ unit.T >= least if len(unit) else np.zeros((0, 0), bool)
+    for a, b in zip(*np.nonzero(np.triu(close, 1))):
+        links[ids[a]] += 1
+        links[ids[b]] += 1
+        x, y = find(ids[a]), find(ids[b])
+        root[max(x, y)] = min(x, y)
+    return {i: (links[i], find(i), find(i) == i) for i, _ in rows}
