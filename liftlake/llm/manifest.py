@@ -186,7 +186,9 @@ def manifest(docs: DataFrame, tamper: int = TAMPER) -> DataFrame:
     its leaf is the root and its proof the digest of nothing.
     """
     spark = docs.sparkSession
-    rows = written(numbered(leaves(docs, tamper), "tree", ["doc_id", "digest"]), "manifest-leaves")
+    # the texts are read here, once: dealing by ranges would read its input twice
+    hashed = written(leaves(docs, tamper), "manifest-digests")
+    rows = written(numbered(hashed, "tree", ["doc_id", "digest"]), "manifest-leaves")
     levels, subroots = climb(rows.select("tree", "idx", "n", "digest"))
     # the tree above: the subroots in the order of their sources
     forest = subroots.withColumnRenamed("tree", "source_tree").withColumn("tree", F.lit("all"))
@@ -211,6 +213,7 @@ def manifest(docs: DataFrame, tamper: int = TAMPER) -> DataFrame:
                              lambda acc, s: F.sha2(F.concat(s["before"], acc, s["after"]).cast("binary"), 256))
         out = written(out.select("doc_id", _hex(F.col("digest")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"),
                                  proof.alias("proof_sha256"), folded.alias("folded_root")), "manifest-out")
-    # the one root, a row by construction, goes to every task
-    out = out.withColumn("tree", F.lit("all")).join(F.broadcast(root.select("tree", _hex(F.col("digest")).alias("root"))), "tree")
+    # the one root of the table
+    top_row = root.select(_hex(F.col("digest")).alias("root")).first()
+    out = out.withColumn("root", F.lit(top_row.root if top_row else None).cast("string"))
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
