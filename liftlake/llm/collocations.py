@@ -16,7 +16,8 @@ themselves, so no count, phrase or score rests on a hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ LONGEST = 5
 LEAST = 100
 #: One document in so many is in the sample.
 SAMPLE = 16
-#: Bits of the phrase bitmap (16 MB); with more phrases it lets more be counted.
-BITS = 1 << 27
+#: Bits of the phrase bitmap (8 MB); with more phrases it lets more be counted.
+BITS = 1 << 26
 #: Text bytes of one round of array operations, and the distinct phrases that a
 #: task holds before it hands them on.
 SLICE, HELD = 4 << 20, 1 << 21
@@ -92,6 +93,15 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def _packed(bits: np.ndarray | None) -> bytes | None:
+    """A bitmap as sent to tasks: one with few phrases takes little room."""
+    return None if bits is None else zlib.compress(bits.tobytes(), 1)
+
+
+def _unpacked(sent: bytes | None) -> np.ndarray | None:
+    return None if sent is None else np.frombuffer(zlib.decompress(sent), np.uint8)
+
+
 def _chosen(texts: Phrases, bits: np.ndarray | None, old: np.ndarray | None) -> Iterator[np.ndarray]:
     """Hashes of the phrase occurrences to count: all without a bitmap, else
     the set and its border, less what the set ``old`` and its border have."""
@@ -135,11 +145,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
 
 def count_hashes(docs: DataFrame, bits: np.ndarray | None = None, old: np.ndarray | None = None) -> DataFrame:
     """(h, f): occurrences of every chosen phrase over ``docs`` (lang, text)."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((bits, old)) if bits is not None else None
+    shared = docs.sparkSession.sparkContext.broadcast((_packed(bits), _packed(old)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, old = shared.value if shared is not None else (None, None)
+        bits, old = map(_unpacked, shared.value)
         keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
 
         def out():
@@ -161,10 +170,11 @@ def count_hashes(docs: DataFrame, bits: np.ndarray | None = None, old: np.ndarra
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """The bitmap of hashes (column h): as large whatever their number."""
+    """The bitmap of hashes (column h): as large whatever their number.  The
+    hashes are dealt by place first, so each part of it is built once."""
     place = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1)
-    rows = (keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")))
+    rows = (keys.select(place.alias("p")).withColumn("bucket", F.expr("p div 32768")).repartition("bucket")
+            .groupBy("bucket").agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")))
     bits = np.zeros(BITS // 8, np.uint8)
     for row in rows.toLocalIterator():
         bits[row.bucket * 4096:row.bucket * 4096 + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
@@ -193,11 +203,12 @@ def frequent(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, ident: C
 def count_phrases(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(lang, phrase, size, f): exact occurrences, by text, of the phrases in a
     bitmap; size 0 (and an empty phrase) counts all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(_packed(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _unpacked(shared.value)
         for texts in _pieces(batches):
-            yield from _texts(texts, shared.value)
+            yield from _texts(texts, bits)
     return (docs.mapInArrow(run, "lang string, phrase string, size int, f long")
             .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")))
 
