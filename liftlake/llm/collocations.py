@@ -31,12 +31,12 @@ LONGEST = 5
 #: A candidate has this many occurrences in its language, or more.
 LEAST = 100
 #: One document in so many is in the sample.
-SAMPLE = 16
+SAMPLE = 8
 #: Bits of the phrase bitmap (8 MB); with more phrases it lets more be counted.
 BITS = 1 << 26
 #: Text bytes of one round of array operations, and the distinct phrases that a
 #: task holds before it hands them on.
-SLICE, HELD = 4 << 20, 1 << 21
+SLICE, HELD = 2 << 20, 1 << 20
 #: The report's length for each language.
 FIRST = 2000
 
@@ -76,16 +76,22 @@ class Phrases:
         word = _words.span_hashes(_words._BYTE_HASH[self.raw], self.s, self.e)
         self.word = _words.mix64(word ^ own)
 
-    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the k-word phrases and the index of their first word."""
-        m = len(self.s) - k + 1
-        if m <= 0:
-            return np.zeros(0, _U), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.piece[:m] == self.piece[k - 1:]) if k > 1 else np.arange(m)
-        h = np.zeros(len(at), _U)
-        for j in range(k):
-            h = _words.mix64(h * _U(0x9E3779B97F4A7C15) + self.word[at + j]) if j else self.word[at]
-        return (_words.mix64(h + _U(k)) if k > 1 else h), at
+    def walk(self, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For k = 1, 2, ...: the first words and hashes of the k-word phrases
+        whose parts are all in a set (a bitmap), and which are in it themselves."""
+        n = len(self.s)
+        at, h, known = np.arange(n), self.word, self.word.copy()
+        for k in range(1, LONGEST + 1):
+            inside = _has(bits, h)
+            yield k, at, h, inside
+            member = np.zeros(n + 1, bool)
+            member[at[inside]] = True
+            go = member[:-1] & member[1:]
+            if k == 1 and n:
+                go[:-1] &= self.piece[:-1] == self.piece[1:]
+            at = np.flatnonzero(go)
+            if k < LONGEST:
+                h = known[at] = _words.mix64(known[at] * _U(0x9E3779B97F4A7C15) + self.word[at + k])
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -102,32 +108,18 @@ def _unpacked(sent: bytes | None) -> np.ndarray | None:
     return None if sent is None else np.frombuffer(zlib.decompress(sent), np.uint8)
 
 
-def _chosen(texts: Phrases, bits: np.ndarray | None, old: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Hashes of the phrase occurrences to count: all without a bitmap, else
-    the set and its border, less what the set ``old`` and its border have."""
-    before: tuple | None = None
-    for k in range(1, LONGEST + 1):
-        h, at = texts.of(k)
-        if bits is None:
+def _chosen(texts: Phrases, bits: np.ndarray, old: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Hashes of the phrase occurrences to count: the set and its border, less
+    what the set ``old`` and its border have."""
+    before = None
+    for k, at, h, _ in texts.walk(bits):
+        if old is None:
             yield h
             continue
-        if k == 1:
-            if old is None:
-                yield h
-            member = _has(bits, h), _has(old, h) if old is not None else None
-        else:
-            # the phrase's prefix begins where it begins, its suffix one word on
-            prefix = np.searchsorted(before[1], at)
-            suffix = np.searchsorted(before[1], at + 1)
-            now = before[0][0][prefix] & before[0][0][suffix]
-            if old is not None:
-                yield h[now & ~(before[0][1][prefix] & before[0][1][suffix])]
-                # outside the old border nothing longer was counted either
-                member = now & _has(bits, h), before[0][1][prefix] & before[0][1][suffix] & _has(old, h)
-            else:
-                yield h[now]
-                member = now & _has(bits, h), None
-        before = member, at
+        had = before[at] & before[at + 1] if k > 1 else np.ones(len(at), bool)
+        yield h[~had]
+        before = np.zeros(len(texts.s) + 1, bool)
+        before[at] = had & _has(old, h)
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +135,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
             yield Phrases(column(part, "text"), column(part, "lang"))
 
 
-def count_hashes(docs: DataFrame, bits: np.ndarray | None = None, old: np.ndarray | None = None) -> DataFrame:
+def count_hashes(docs: DataFrame, bits: np.ndarray, old: np.ndarray | None = None) -> DataFrame:
     """(h, f): occurrences of every chosen phrase over ``docs`` (lang, text)."""
     shared = docs.sparkSession.sparkContext.broadcast((_packed(bits), _packed(old)))
 
@@ -181,17 +173,12 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def frequent(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, ident: Column | None = None) -> tuple[np.ndarray, int]:
-    """The bitmap of all phrases of 1 to 5 words with ``least`` occurrences in
-    their language (columns lang, text), and the number of full passes.  One
-    document in ``sample`` is taken by the hash of ``ident``."""
-    # Toivonen's lowered threshold: two deviations under the expected count
-    expected = least / sample
-    low = max(1, int(expected - 2 * expected ** 0.5))
-    part = docs.where(F.pmod(F.xxhash64(ident if ident is not None else F.col("text")), F.lit(sample)) == 0)
-    bits = _bitmap(count_hashes(part.select("lang", "text")).where(F.col("f") >= low))
+def expand(docs: DataFrame, bits: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """The bitmap of all phrases with ``least`` occurrences in ``docs`` (lang,
+    text), starting from a proposed set, and the number of passes: each counts
+    the set and its border, and what turns out frequent outside the set extends
+    it, until nothing does."""
     old, passes, found = None, 0, np.zeros_like(bits)
-    docs = docs.select("lang", "text")
     while True:
         found |= _bitmap(count_hashes(docs, bits, old).where(F.col("f") >= least))
         passes += 1
@@ -200,6 +187,19 @@ def frequent(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, ident: C
         old, bits = bits, bits | found
 
 
+def frequent(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, ident: Column | None = None) -> tuple[np.ndarray, int]:
+    """The bitmap of all phrases of 1 to 5 words with ``least`` occurrences in
+    their language (columns lang, text), and the number of full passes.  One
+    document in ``sample`` is taken by the hash of ``ident``; the sample is
+    mined by the same steps, from nothing."""
+    # Toivonen's lowered threshold: two deviations under the expected count
+    expected = least / sample
+    low = max(1, int(expected - 2 * expected ** 0.5))
+    part = docs.where(F.pmod(F.xxhash64(ident if ident is not None else F.col("text")), F.lit(sample)) == 0)
+    proposed, _ = expand(written(part.select("lang", "text"), "phrase-sample"), np.zeros(BITS // 8, np.uint8), low)
+    return expand(docs.select("lang", "text"), proposed, least)
+
+
 def count_phrases(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(lang, phrase, size, f): exact occurrences, by text, of the phrases in a
     bitmap; size 0 (and an empty phrase) counts all words of a language."""
@@ -226,16 +226,8 @@ def _texts(texts: Phrases, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     end = np.cumsum(size + 1)
     flat = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
     flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = texts.raw[_runs(texts.s, size)]
-    member = None
-    for k in range(1, LONGEST + 1):
-        h, at = texts.of(k)
-        now = _has(bits, h)
-        if member is not None and len(at):
-            # a phrase with a part outside the set is a chance hit of the bitmap
-            now &= member[at] & member[at + 1]
-        member = np.zeros(len(texts.s) + 1, bool)
-        member[at[now]] = True
-        h, at = h[now], at[now]
+    for k, at, h, inside in texts.walk(bits):
+        h, at = h[inside], at[inside]
         order = np.argsort(h, kind="stable")
         h, at = h[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)

@@ -45,8 +45,8 @@ def test_failures_expand(spark, length):
     words = " ".join(f"w{j}" for j in range(length))
     docs = spark.createDataFrame([(i, "en", words) for i in range(4000)], "doc_id long, lang string, text string")
     ident = F.col("doc_id")
-    missed = docs.where(F.pmod(F.xxhash64(ident), F.lit(16)) != 0).limit(150)
-    common = docs.where(F.pmod(F.xxhash64(ident), F.lit(16)) == 0).limit(150).withColumn("text", F.lit("only these words"))
+    missed = docs.where(F.pmod(F.xxhash64(ident), F.lit(collocations.SAMPLE)) != 0).limit(150)
+    common = docs.where(F.pmod(F.xxhash64(ident), F.lit(collocations.SAMPLE)) == 0).limit(150).withColumn("text", F.lit("only these words"))
     both = missed.unionByName(common)
     bits, passes = collocations.frequent(both, ident=ident)
     assert passes == length + 1          # each further pass adds a word, the last one finds none
