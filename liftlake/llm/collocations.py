@@ -4,9 +4,11 @@ A sample of the documents proposes the frequent phrases, by a lowered
 threshold; its negative border are the phrases that are not proposed though
 all their parts are (the parts of a phrase are contiguous, so its longest
 prefix and suffix decide).  A full pass counts both.  Border phrases that
-turn out frequent are failures: they extend the proposal, and further passes
-count the border that this adds, until no failure is left.  The set is then
-closed: every phrase with frequent parts has been counted over all documents.
+turn out frequent are failures: they extend the proposal, and a further pass
+counts all phrases that contain one, however long.  The set is then closed:
+every phrase with frequent parts has been counted over all documents.  The
+sample itself is mined in the same way from nothing, but a word at a time,
+since there every phrase would be an extension.
 
 Phrases are known by 64-bit hashes while the set is found, and the set is held
 as a bitmap of fixed size: a collision or a full bitmap only lets more phrases
@@ -76,20 +78,26 @@ class Phrases:
         word = _words.span_hashes(_words._BYTE_HASH[self.raw], self.s, self.e)
         self.word = _words.mix64(word ^ own)
 
-    def walk(self, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def walk(self, bits: np.ndarray, old: np.ndarray | None = None, ahead: bool = False) -> Iterator[tuple]:
         """For k = 1, 2, ...: the first words and hashes of the k-word phrases
-        whose parts are all in a set (a bitmap), and which are in it themselves."""
+        whose parts are all in a set (a bitmap), which of them are in it, and
+        which belong to a former set ``old`` or its border (with ``ahead``, the
+        others count as in the set, so all their extensions come too)."""
         n = len(self.s)
         at, h, known = np.arange(n), self.word, self.word.copy()
+        had = np.full(n, old is not None)
         for k in range(1, LONGEST + 1):
             inside = _has(bits, h)
-            yield k, at, h, inside
-            member = np.zeros(n + 1, bool)
-            member[at[inside]] = True
+            yield k, at, h, inside, had
+            member, before = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+            member[at[inside | ~had if ahead else inside]] = True
+            if old is not None:
+                before[at] = had & _has(old, h)
             go = member[:-1] & member[1:]
             if k == 1 and n:
                 go[:-1] &= self.piece[:-1] == self.piece[1:]
             at = np.flatnonzero(go)
+            had = before[at] & before[at + 1]
             if k < LONGEST:
                 h = known[at] = _words.mix64(known[at] * _U(0x9E3779B97F4A7C15) + self.word[at + k])
 
@@ -108,20 +116,6 @@ def _unpacked(sent: bytes | None) -> np.ndarray | None:
     return None if sent is None else np.frombuffer(zlib.decompress(sent), np.uint8)
 
 
-def _chosen(texts: Phrases, bits: np.ndarray, old: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Hashes of the phrase occurrences to count: the set and its border, less
-    what the set ``old`` and its border have."""
-    before = None
-    for k, at, h, _ in texts.walk(bits):
-        if old is None:
-            yield h
-            continue
-        had = before[at] & before[at + 1] if k > 1 else np.ones(len(at), bool)
-        yield h[~had]
-        before = np.zeros(len(texts.s) + 1, bool)
-        before[at] = had & _has(old, h)
-
-
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -135,8 +129,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
             yield Phrases(column(part, "text"), column(part, "lang"))
 
 
-def count_hashes(docs: DataFrame, bits: np.ndarray, old: np.ndarray | None = None) -> DataFrame:
-    """(h, f): occurrences of every chosen phrase over ``docs`` (lang, text)."""
+def count_hashes(docs: DataFrame, bits: np.ndarray, old: np.ndarray | None = None, ahead: bool = False) -> DataFrame:
+    """(h, f): occurrences over ``docs`` (lang, text) of the phrases of a set and
+    its border, less those of the set ``old`` and its border."""
     shared = docs.sparkSession.sparkContext.broadcast((_packed(bits), _packed(old)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +141,8 @@ def count_hashes(docs: DataFrame, bits: np.ndarray, old: np.ndarray | None = Non
         def out():
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "f"])
         for texts in _pieces(batches):
-            for h in _chosen(texts, bits, old):
-                own = np.sort(h)
+            for _, _, h, _, had in texts.walk(bits, old, ahead and old is not None):
+                own = np.sort(h[~had])
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
                 keys = np.concatenate([keys, own[first]])
                 counts = np.concatenate([counts, np.diff(np.append(first, len(own)))])
@@ -173,16 +168,20 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def expand(docs: DataFrame, bits: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+def expand(docs: DataFrame, bits: np.ndarray, least: int, ahead: bool) -> tuple[np.ndarray, int]:
     """The bitmap of all phrases with ``least`` occurrences in ``docs`` (lang,
-    text), starting from a proposed set, and the number of passes: each counts
-    the set and its border, and what turns out frequent outside the set extends
-    it, until nothing does."""
+    text), starting from a proposed set, and the number of passes.
+
+    The first pass counts the set and its border.  What turns out frequent
+    outside the set extends it; a further pass counts the border that this
+    adds, and so on, or with ``ahead`` all that contains a new phrase: any
+    frequent phrase not yet counted contains one, so that pass is the last.
+    """
     old, passes, found = None, 0, np.zeros_like(bits)
     while True:
-        found |= _bitmap(count_hashes(docs, bits, old).where(F.col("f") >= least))
+        found |= _bitmap(count_hashes(docs, bits, old, ahead).where(F.col("f") >= least))
         passes += 1
-        if not (found & ~bits).any():
+        if not (found & ~bits).any() or ahead and passes == 2:
             return found, passes
         old, bits = bits, bits | found
 
@@ -190,14 +189,13 @@ def expand(docs: DataFrame, bits: np.ndarray, least: int) -> tuple[np.ndarray, i
 def frequent(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, ident: Column | None = None) -> tuple[np.ndarray, int]:
     """The bitmap of all phrases of 1 to 5 words with ``least`` occurrences in
     their language (columns lang, text), and the number of full passes.  One
-    document in ``sample`` is taken by the hash of ``ident``; the sample is
-    mined by the same steps, from nothing."""
-    # Toivonen's lowered threshold: two deviations under the expected count
+    document in ``sample`` is taken by the hash of ``ident``."""
+    # Toivonen's lowered threshold: a deviation under the expected count
     expected = least / sample
-    low = max(1, int(expected - 2 * expected ** 0.5))
+    low = max(1, int(expected - expected ** 0.5))
     part = docs.where(F.pmod(F.xxhash64(ident if ident is not None else F.col("text")), F.lit(sample)) == 0)
-    proposed, _ = expand(written(part.select("lang", "text"), "phrase-sample"), np.zeros(BITS // 8, np.uint8), low)
-    return expand(docs.select("lang", "text"), proposed, least)
+    proposed, _ = expand(written(part.select("lang", "text"), "phrase-sample"), np.zeros(BITS // 8, np.uint8), low, ahead=False)
+    return expand(docs.select("lang", "text"), proposed, least, ahead=True)
 
 
 def count_phrases(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -206,9 +204,22 @@ def count_phrases(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_packed(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _unpacked(shared.value)
+        bits, held, n = _unpacked(shared.value), [], 0
+
+        def merged() -> pa.Table:
+            rows = pa.Table.from_batches(held).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("f", "sum")])
+            return rows.select(["lang", "phrase", "size", "f_sum"]).rename_columns(["lang", "phrase", "size", "f"])
         for texts in _pieces(batches):
-            yield from _texts(texts, bits)
+            held += _texts(texts, bits)
+            n = sum(map(len, held))
+            if n > HELD:
+                # phrases that recur in the task are handed on once
+                held = merged().to_batches()
+                if sum(map(len, held)) > HELD // 2:
+                    yield from held
+                    held = []
+        if held:
+            yield from merged().to_batches()
     return (docs.mapInArrow(run, "lang string, phrase string, size int, f long")
             .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")))
 
@@ -226,7 +237,7 @@ def _texts(texts: Phrases, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     end = np.cumsum(size + 1)
     flat = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
     flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = texts.raw[_runs(texts.s, size)]
-    for k, at, h, inside in texts.walk(bits):
+    for k, at, h, inside, _ in texts.walk(bits):
         h, at = h[inside], at[inside]
         order = np.argsort(h, kind="stable")
         h, at = h[order], at[order]
