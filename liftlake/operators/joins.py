@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,15 @@ def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> Dat
     the bound the join is left to Catalyst and AQE."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= max_bytes else df
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equijoin on ``keys`` in which NULL equals NULL (as in grouping)."""
+    if not keys:
+        raise ValueError("a keyed join needs at least one key")
+    cond = None
+    for k in keys:
+        right = right.withColumnRenamed(k, f"_r_{k}")
+        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = same if cond is None else cond & same
+    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])

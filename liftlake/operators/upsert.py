@@ -2,8 +2,11 @@
 
 ``merge_upsert`` is the DataFrame form of ``MERGE ... WHEN MATCHED UPDATE
 WHEN NOT MATCHED INSERT`` (no delete branch unless asked). ``write_upsert``
-applies it to a month-partitioned parquet table, rewriting only the touched
-month partitions through a staging folder.
+applies it to a parquet table laid out by month and, inside a month, by a
+hash bucket of the key: the rows that a batch can replace lie in the buckets
+of its keys, so only files of those buckets are opened, and only the folders
+that hold a replaced row or get a new one are rewritten (through a staging
+folder). Keys compare null-safe everywhere.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlake.functions.exprs import col_of, month_start, ntz
-from liftlake.operators.joins import broadcast_if_bounded
+from liftlake.operators.joins import broadcast_if_bounded, null_safe_join
 
 EPOCH = _dt.datetime(1970, 1, 1)
 
@@ -42,11 +45,11 @@ def watermark_filter(source: DataFrame, source_col: str, target: DataFrame, targ
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
                  delete_when: str | Column | None = None) -> DataFrame:
     """Replace target rows whose key occurs in ``source`` and insert the new
-    keys. ``source`` must hold one row per key. With ``delete_when`` the
+    keys; a NULL in a key matches NULL. ``source`` must hold one row per key. With ``delete_when`` the
     matching source rows remove the key instead (tombstones)."""
     keys = list(keys)
     src_keys = source.select(*keys)
-    kept = target.join(broadcast_if_bounded(src_keys), keys, "left_anti")
+    kept = null_safe_join(target, broadcast_if_bounded(src_keys), keys, "left_anti")
     incoming = source
     if delete_when is not None:
         incoming = source.where(~F.coalesce(col_of(delete_when), F.lit(False)))
@@ -98,53 +101,94 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folder level under a month, and its number of buckets for new tables.
+BUCKET = "key_bucket"
+BUCKETS = 16
+
+
+def key_bucket(keys: Sequence[str], buckets: int) -> Column:
+    """Bucket of a key (NULLs included); a function of the key alone."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _buckets_of(spark: SparkSession, path: str, wanted: int) -> int:
+    """The table's number of buckets, fixed when it is created (a marker file
+    that readers skip)."""
+    fs, root, jvm = _fs(spark, path)
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "_buckets-*")) or []:
+        return int(found.getPath().getName().rpartition("-")[2])
+    fs.mkdirs(root)
+    fs.create(jvm.org.apache.hadoop.fs.Path(root, f"_buckets-{wanted}")).close()
+    return wanted
+
+
+def _folders(spark: SparkSession, path: str, month_col: str) -> dict[tuple[str, int], str]:
+    """The folders of a table by (month as in the folder's name, bucket)."""
+    fs, root, jvm = _fs(spark, path)
+    out = {}
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{month_col}=*/{BUCKET}=*")) or []:
+        p = found.getPath()
+        out[p.getParent().getName().partition("=")[2], int(p.getName().partition("=")[2])] = p.toString()
+    return out
+
+
+def read_upserted(spark: SparkSession, path: str, month_col: str = "training_month") -> DataFrame:
+    """A table of ``write_upsert`` without its layout columns."""
+    return spark.read.parquet(path).drop(month_col, BUCKET)
+
+
 def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str],
                  date_col: str, month_col: str = "training_month",
-                 delete_when: str | Column | None = None) -> dict:
-    """Upsert ``source`` into the month-partitioned parquet table at ``path``.
-
-    Touched months = months of the source rows plus months of the target
-    rows they replace (a changed date moves a row between partitions). Only
-    those partitions are read, merged, written to a staging folder and then
-    swapped in with dynamic partition overwrite; a touched month left with no
-    rows is removed. Idempotent: re-running with the same source gives the
-    same table.
+                 delete_when: str | Column | None = None, buckets: int = BUCKETS) -> dict:
+    """Upsert ``source`` (one row per key) into the table at ``path``, laid out
+    by month of a date and bucket of the key.
+
+    A key's bucket does not change, so replaced rows are looked for in the
+    folders of the batch's buckets only, by their key columns; then the folders
+    that hold one, and those that the batch's rows go to, are read, merged,
+    staged and swapped in with dynamic partition overwrite. A folder left
+    without rows is removed. Idempotent: replaying a batch gives the same
+    table, also for keys with NULLs. ``buckets`` counts for a new table only.
     """
     keys = list(keys)
+    buckets = _buckets_of(spark, path, buckets)
     # the delta is written once; every later step reads that table
-    delta = scratch_path(spark, "upsert-delta")
-    staged_src = with_month(source, date_col, month_col)
-    staged_src.write.parquet(delta)
-    src = spark.read.schema(staged_src.schema).parquet(delta)
+    delta, stage = scratch_path(spark, "upsert-delta"), scratch_path(spark, "upsert-stage")
+    laid = with_month(source, date_col, month_col).withColumn(BUCKET, key_bucket(keys, buckets))
+    laid.write.parquet(delta)
+    src = spark.read.schema(laid.schema).parquet(delta)
     fs, _, jvm = _fs(spark, path)
-    if not path_exists(spark, path):
-        src_ins = src if delete_when is None else src.where(~F.coalesce(col_of(delete_when), F.lit(False)))
-        src_ins.write.mode("overwrite").partitionBy(month_col).parquet(path)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(delta), True)
-        return {"inserted_or_updated": None, "months": None, "created": True}
-    # read with the source's schema: a table created from an empty batch has no files
-    target = spark.read.schema(src.schema).parquet(path)
-    src_keys = src.select(*keys)
-    moved = (target.select(*keys, month_col)
-                   .join(broadcast_if_bounded(src_keys), keys, "left_semi")
-                   .select(month_col))
-    months = [r[0] for r in src.select(month_col).union(moved).distinct().collect()]
-    if not months:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(delta), True)
-        return {"months": [], "created": False}
-    # rows without a date are a partition like any other
-    hit = F.col(month_col).isin([m for m in months if m is not None])
-    touched = target.where(hit | F.col(month_col).isNull() if None in months else hit)
-    merged = merge_upsert(touched, src, keys, delete_when)
-    stage = scratch_path(spark, "upsert-stage")
-    merged.write.mode("overwrite").partitionBy(month_col).parquet(stage)
-    staged = spark.read.schema(merged.schema).parquet(stage)
-    present = {r[0] for r in staged.select(month_col).distinct().collect()}
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy(month_col).parquet(path))
-    for m in set(months) - present:
-        name = "__HIVE_DEFAULT_PARTITION__" if m is None else m
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{month_col}={name}"), True)
+    there = _folders(spark, path, month_col)
+
+    def place(row) -> tuple[str, int]:
+        return "__HIVE_DEFAULT_PARTITION__" if row[0] is None else str(row[0]), row[1]
+
+    def read(folders: list[str]) -> DataFrame:
+        if not folders:
+            return spark.createDataFrame([], laid.schema)
+        return spark.read.schema(laid.schema).option("basePath", path).parquet(*folders)
+    goes = {place(r) for r in src.select(month_col, BUCKET).distinct().collect()}
+    hit = {b for _, b in goes}
+    opened = [f for (_, b), f in there.items() if b in hit]
+    held = null_safe_join(read(opened).select(*keys, month_col, BUCKET), broadcast_if_bounded(src.select(*keys)), keys, "left_semi")
+    touched = goes | ({place(r) for r in held.select(month_col, BUCKET).distinct().collect()} if opened else set())
+    report = {"months": sorted({m for m, _ in touched}), "folders": len(touched), "opened": len(opened), "created": not there}
+    if touched:
+        merged = merge_upsert(read([f for k, f in there.items() if k in touched]), src, keys, delete_when)
+        # a folder is written by one task, as one file
+        merged.repartition(month_col, BUCKET).write.partitionBy(month_col, BUCKET).parquet(stage)
+        present = _folders(spark, stage, month_col)
+        (spark.read.schema(laid.schema).parquet(stage).repartition(month_col, BUCKET)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(month_col, BUCKET).parquet(path))
+        for gone in (touched & set(there)) - set(present):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(there[gone]), True)
+            month = jvm.org.apache.hadoop.fs.Path(there[gone]).getParent()
+            if not fs.listStatus(month):
+                fs.delete(month, True)
+    elif not there:
+        # an empty table keeps its schema
+        laid.limit(0).write.mode("append").parquet(path)
     for done in (stage, delta):
         fs.delete(jvm.org.apache.hadoop.fs.Path(done), True)
-    return {"months": sorted(str(m) for m in months), "created": False}
+    return report

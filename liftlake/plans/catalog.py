@@ -126,7 +126,7 @@ from liftlake.operators.lists import concat_distinct, concat_list  # noqa: E402
 from liftlake.operators.rank import global_rank, rank_in_partition  # noqa: E402
 from liftlake.operators.records import records_with_previous  # noqa: E402
 from liftlake.operators.trend import change_vs_lag, moving_average_rows  # noqa: E402
-from liftlake.operators.upsert import merge_upsert, scratch_path, watermark_filter  # noqa: E402
+from liftlake.operators.upsert import merge_upsert, read_upserted, scratch_path, watermark_filter, write_upsert  # noqa: E402
 
 LOG14 = ["log_id", "user_id", "exercise_name", "body_part", "training_date", "set_number", "weight_kg",
          "reps", "rpe", "memo", "input_source", "created_at", "updated_at", "is_deleted"]
@@ -856,7 +856,7 @@ def q_daily(spark, sf):
     docs_path = f"{lay.root}/documents"
     docs(spark, sf).write.parquet(docs_path)
     daily_refresh(spark, lay, docs_path, _dt.date(2001, 11, 6), _dt.datetime(2001, 11, 6, 21, 0, 0))
-    return spark.read.parquet(lay.mart("fct_training_set")).drop("training_month")
+    return read_upserted(spark, lay.mart("fct_training_set"))
 
 
 @register("A14_parameterised_query")

@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from liftlake.operators.documents import explode_documents, rejected_documents, scan_pending
 from liftlake.operators.latest import latest_by_key
-from liftlake.operators.upsert import write_upsert
+from liftlake.operators.upsert import read_upserted, write_upsert
 from liftlake.schemas import DOCUMENT
 
 VERSION_KEY = ("log_id", "updated_at", "is_deleted")
@@ -82,4 +82,4 @@ def run_to_completion(spark: SparkSession, source_dir: str, target_path: str, ch
     from liftlake.schemas import TRAINING_LOG
     if not path_exists(spark, target_path):
         return spark.createDataFrame([], TRAINING_LOG)
-    return spark.read.parquet(target_path).drop("training_month")
+    return read_upserted(spark, target_path)

@@ -42,3 +42,48 @@ def test_changed_date_moves_between_month_partitions(spark, scratch):
     write_upsert(spark, src, path, ["log_id"], "training_date", delete_when="is_deleted")
     months = {r.training_month for r in spark.read.parquet(path).select("training_month").distinct().collect()}
     assert months == {dt.date(2024, 12, 1)}
+
+
+def _log(spark, rows):
+    return spark.createDataFrame(rows, "log_id string, updated_at timestamp_ntz, training_date date, v long")
+
+
+def test_null_keys_replay_to_one_row(spark, scratch):
+    """A NULL in a key equals NULL: three deliveries of a row are one row."""
+    path, day = f"{scratch}/n", dt.date(2025, 1, 20)
+    rows = [("a", None, day, 1), (None, dt.datetime(2025, 1, 1), day, 2), (None, None, None, 3)]
+    for turn in range(3):
+        write_upsert(spark, _log(spark, [(*r[:3], r[3] + turn) for r in rows]), path, ["log_id", "updated_at"], "training_date")
+    got = sorted(r.v for r in spark.read.parquet(path).collect())
+    assert got == [3, 4, 5]
+
+
+def test_only_touched_buckets_are_read_and_written(spark, scratch):
+    """A batch of one key opens the folders of its bucket and rewrites one or,
+    where the row moves to another month, two; all other files stay as they are."""
+    import glob
+    import os
+    path = f"{scratch}/b"
+    days = [dt.date(2025, m, 3) for m in range(1, 7)]
+    write_upsert(spark, _log(spark, [(f"k{i}", dt.datetime(2025, 1, 1), days[i % 6], i) for i in range(400)]),
+                 path, ["log_id"], "training_date", buckets=8)
+
+    def files():
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
+    before = files()
+    assert len({os.path.dirname(f) for f in before}) == 48
+    report = write_upsert(spark, _log(spark, [("k7", dt.datetime(2025, 2, 1), days[0], -1)]), path, ["log_id"], "training_date", buckets=99)
+    assert (report["opened"], report["folders"]) == (6, 2)
+    after = files()
+    changed = {os.path.dirname(f) for f in set(before) ^ set(after)}
+    assert len(changed) == 2 and len({d.rpartition("=")[2] for d in changed}) == 1
+    got = {r.log_id: (r.v, r.training_date) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 400 and got["k7"] == (-1, days[0])
+
+
+def test_empty_batches(spark, scratch):
+    path = f"{scratch}/e"
+    assert write_upsert(spark, _log(spark, []), path, ["log_id"], "training_date")["folders"] == 0
+    write_upsert(spark, _log(spark, [("a", None, None, 1)]), path, ["log_id"], "training_date")
+    assert write_upsert(spark, _log(spark, []), path, ["log_id"], "training_date")["folders"] == 0
+    assert [r.v for r in spark.read.schema("v long").parquet(path).collect()] == [1]
