@@ -1,16 +1,18 @@
 """State-changing operations on log and master tables (K4-K13), as batch
 transforms: current table + a DataFrame of change requests -> new table.
 Change frames are small relative to the tables, so they are broadcast after
-a size check; the tables themselves are only scanned."""
+a size check; the tables themselves are only scanned. Several changes of one
+key in a batch are first reduced to one by a combining aggregate, so a key that
+much of a batch names costs a row for each task."""
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.functions.exprs import as_of_date, ntz, slug, valid_identifier
+from liftlake.functions.exprs import as_of_date, normalise_name, ntz, slug, valid_identifier
 from liftlake.operators.joins import broadcast_if_bounded
 
 
@@ -80,11 +82,21 @@ def _review(requests: DataFrame, decisions: DataFrame, status: str, now: _dt.dat
         F.col(c) for c in requests.columns])
 
 
+def _first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, first): the smallest ``order`` of each non-NULL key."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
+
+
 def approve_requests(requests: DataFrame, master: DataFrame, approvals: DataFrame,
                      now: _dt.datetime, default_order: int = 10):
     """K6: pending requests become exercises (id = given or slug of the name,
     compound flag and display order as given, default False / 10) and are
-    marked approved. Returns (requests_after, master_after)."""
+    marked approved. Returns (requests_after, master_after).
+
+    Ids and normalised names stay unique in the master: a request whose id or
+    name the master has, or that an earlier approved request (by
+    ``request_id``) of the batch has too, adds no row; it is marked approved
+    all the same, since the exercise it asks for is there."""
     # of several approvals of one request one counts
     rest = [c for c in approvals.columns if c != "request_id"]
     a = approvals.groupBy("request_id").agg(F.min(F.struct(*rest)).alias("_a")).select("request_id", "_a.*")
@@ -93,14 +105,22 @@ def approve_requests(requests: DataFrame, master: DataFrame, approvals: DataFram
             a = a.withColumn(c, F.lit(v))
     pend = requests.where(F.col("status") == "pending").select(
         "request_id", F.col("exercise_name").alias("_name"), F.col("body_part_id").alias("_bp"))
-    new_ex = a.join(pend, "request_id", "inner").select(
+    wanted = a.join(pend, "request_id", "inner").select(
+        "request_id", normalise_name("_name").alias("_key"),
         F.coalesce(F.col("exercise_id").cast("string"), slug("_name")).alias("exercise_id"),
         F.col("_name").alias("exercise_name"), F.col("_bp").alias("body_part_id"),
         F.coalesce(F.col("is_compound").cast("boolean"), F.lit(False)).alias("is_compound"),
         F.lit(True).alias("is_active"),
         F.coalesce(F.col("display_order").cast("bigint"), F.lit(default_order).cast("bigint")).alias("display_order"),
         _now(now).alias("updated_at"))
-    return _review(requests, a, "approved", now), master.unionByName(new_ex)
+    # an id and a name each have their first request
+    by_id = _first_of(wanted, "exercise_id", "request_id")
+    by_name = _first_of(wanted, "_key", "request_id").withColumnRenamed("_first", "_first_named")
+    new_ex = (wanted.join(by_id, "exercise_id").join(by_name, "_key")
+              .where((F.col("request_id") == F.col("_first")) & (F.col("request_id") == F.col("_first_named")))
+              .join(master.select("exercise_id").distinct(), "exercise_id", "left_anti")
+              .join(master.select(normalise_name("exercise_name").alias("_key")).distinct(), "_key", "left_anti"))
+    return _review(requests, a, "approved", now), master.unionByName(new_ex.select(*master.columns))
 
 
 def reject_requests(requests: DataFrame, rejections: DataFrame, now: _dt.datetime) -> DataFrame:
@@ -121,18 +141,26 @@ def deactivate_exercises(master: DataFrame, ids: DataFrame, now: _dt.datetime) -
 
 def add_exercises(master: DataFrame, new: DataFrame, now: _dt.datetime):
     """K9: manual add; the id must be alphanumeric/underscore (3-30 chars) and
-    unused (also within the batch: first wins). Returns (decisions, master_after)."""
+    unused (also within the batch: the first sound row by name wins). Returns
+    (decisions, master_after)."""
+    fields = ["exercise_id", "exercise_name", "body_part_id", "is_compound", "display_order"]
+    # equal rows are one row with a number; they are told apart again at the end
+    n = new.select(*fields).groupBy(*fields).agg(F.count(F.lit(1)).alias("_copies"))
     used = broadcast_if_bounded(master.select("exercise_id").distinct().withColumn("_used", F.lit(True)))
-    n = new.join(used, "exercise_id", "left")
-    dup = F.row_number().over(Window.partitionBy("exercise_id").orderBy("exercise_name")) > 1
-    decision = (F.when(F.col("exercise_id").isNull() | F.col("exercise_name").isNull()
-                       | (F.col("exercise_name") == ""), "missing_field")
-                 .when(~valid_identifier("exercise_id"), "invalid_id")
-                 .when(F.coalesce(F.col("_used"), F.lit(False)) | dup, "id_taken")
-                 .otherwise("accepted"))
-    n = n.withColumn("decision", decision)
-    decisions = n.select("exercise_id", "exercise_name", "decision")
-    rows = n.where(F.col("decision") == "accepted").select(
+    n = n.join(used, "exercise_id", "left")
+    flaw = (F.when(F.col("exercise_id").isNull() | F.col("exercise_name").isNull()
+                   | (F.col("exercise_name") == ""), "missing_field")
+             .when(~valid_identifier("exercise_id"), "invalid_id")
+             .when(F.coalesce(F.col("_used"), F.lit(False)), "id_taken"))
+    n = n.withColumn("_flaw", flaw).withColumn("_row", F.struct("exercise_name", "body_part_id", "is_compound", "display_order"))
+    # the first sound row of an id, so that a faulty one never takes the id
+    first = n.where(F.col("_flaw").isNull()).groupBy("exercise_id").agg(F.min("_row").alias("_first"))
+    n = n.join(first, "exercise_id", "left")
+    n = n.withColumn("_wins", F.col("_flaw").isNull() & F.col("_row").eqNullSafe(F.col("_first")))
+    decisions = n.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(
+        "exercise_id", "exercise_name",
+        F.coalesce("_flaw", F.when(F.col("_wins") & (F.col("_copy") == 1), "accepted").otherwise("id_taken")).alias("decision"))
+    rows = n.where("_wins").select(
         "exercise_id", "exercise_name", "body_part_id",
         F.coalesce(F.col("is_compound").cast("boolean"), F.lit(False)).alias("is_compound"),
         F.lit(True).alias("is_active"),
@@ -177,17 +205,32 @@ def autosave_gate(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("weight_kg") > 0) & (F.col("reps") > 0))
 
 
-def maintain_users(users: DataFrame, changes: DataFrame) -> DataFrame:
+def maintain_users(users: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
     """Insert unknown users; for known users take the changed push
-    address (other columns keep their values)."""
-    ch = broadcast_if_bounded(changes)
-    known = users.join(ch.select("user_id", F.col("line_user_id").alias("_line")), "user_id", "left")
-    known = known.withColumn("line_user_id", F.coalesce(F.col("_line"), F.col("line_user_id"))).select(*users.columns)
-    fresh = ch.join(users.select("user_id"), "user_id", "left_anti")
-    for c in users.columns:
-        if c not in fresh.columns:
-            fresh = fresh.withColumn(c, F.lit(None).cast(users.schema[c].dataType))
-    return known.unionByName(fresh.select(*users.columns))
+    address (other columns keep their values).
+
+    Several changes of a user are one: of each column the newest value by
+    ``order`` that is not NULL counts (the greatest value without an order).
+    Changes without a user id are left out."""
+    fields = [c for c in users.columns if c != "user_id" and c in changes.columns]
+
+    def newest(c: str):
+        at = F.struct(*([order] if order else []), c)
+        return F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_new_{c}")
+    one = (changes.where(F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("_user"))
+           .agg(F.count(F.lit(1)).alias("_seen"), *[newest(c) for c in fields]))
+    # one full outer join: known, changed and new users at once
+    both = users.withColumn("_known", F.lit(True)).join(one, F.col("user_id") == F.col("_user"), "full")
+
+    def value(c: str):
+        if c == "user_id":
+            return F.coalesce("user_id", "_user").alias(c)
+        if c not in fields:
+            return F.col(c)
+        if c == "line_user_id":
+            return F.coalesce(f"_new_{c}", c).alias(c)
+        return F.when(F.col("_known"), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c)
+    return both.select(*[value(c) for c in users.columns])
 
 
 def optional_filter(df: DataFrame, column: str, value, all_value: str = "all") -> DataFrame:

@@ -3,8 +3,10 @@
 A check is (model, column, kind, args). ``run_suite`` evaluates all checks of
 a table in as few passes as possible: every not_null / between / accepted
 values check of one table is a count inside a single aggregate (one scan),
-only unique needs a grouped aggregate. A check of a model without a table is
-an error. The result has one row per
+and all uniqueness checks of all tables are one stacked aggregate by (check,
+key). Foreign keys are checked likewise: children and parents of all
+relations are stacked and grouped once, without a join. A check of a model
+without a table is an error. The result has one row per
 check: model, column_name, check_name, failures, status ('pass' or the
 severity, e.g. 'warn'); a failing check never stops the job.
 """
@@ -76,29 +78,110 @@ def _row_checks(df: DataFrame, model: str, checks: list[Check]) -> DataFrame:
                                                        F.col("failures").cast("bigint"))
 
 
-def _group_check(df: DataFrame, c: Check) -> DataFrame:
-    return unique(df, c.column).agg(F.count(F.lit(1)).cast("bigint").alias("failures")).select(
-        F.lit(c.model).alias("model"), F.lit(c.column).alias("column_name"),
-        F.lit(c.kind).alias("check_name"), "failures")
+def _unique_checks(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
+    """All uniqueness checks in one pass: keys of every checked column under
+    the number of their check, counted by one combining aggregate."""
+    parts = [tables[c.model].where(F.col(c.column).isNotNull()).select(
+        F.lit(i).alias("idx"), F.col(c.column).cast("string").alias("key")) for i, c in enumerate(checks)]
+    keys = reduce(DataFrame.unionByName, parts).groupBy("idx", "key").agg(F.count(F.lit(1)).alias("n"))
+    failed = keys.groupBy("idx").agg(F.count_if(F.col("n") > 1).alias("failures"))
+    spark = parts[0].sparkSession
+    meta = spark.createDataFrame([(i, c.model, c.column, c.kind) for i, c in enumerate(checks)],
+                                 "idx int, model string, column_name string, check_name string")
+    return meta.join(failed, "idx", "left").select(
+        "model", "column_name", "check_name", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
 
 
 def run_suite(tables: dict[str, DataFrame], checks: Sequence[Check], severity: str = "warn") -> DataFrame:
     """One row per check with its failure count and status."""
     parts = []
     by_model: dict[str, list[Check]] = {}
+    unique_checks = [c for c in checks if c.kind == "unique"]
     for c in checks:
         if c.model not in tables:
             raise KeyError(f"no table for the check of {c.model}.{c.column}")
         if c.kind != "unique":
             by_model.setdefault(c.model, []).append(c)
-        else:
-            parts.append(_group_check(tables[c.model], c))
+    if unique_checks:
+        parts.append(_unique_checks(tables, unique_checks))
     for model, cs in by_model.items():
         parts.append(_row_checks(tables[model], model, cs))
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("status", F.when(F.col("failures") != 0, F.lit(severity)).otherwise(F.lit("pass")))
 
 
+@dataclass(frozen=True)
+class Relation:
+    """A foreign key: every non-NULL child value is a parent value."""
+    child: str
+    column: str
+    parent: str
+    parent_column: str
+
+
+# Fixed values. L8: the declared foreign keys.
+DECLARED_RELATIONS = [Relation(*r) for r in (
+    ("training_log", "user_id", "user_master", "user_id"),
+    ("training_log", "exercise_name", "exercise_master", "exercise_name"),
+    ("exercise_master", "body_part_id", "d_body_part", "body_part_id"),
+    ("exercise_request", "user_id", "user_master", "user_id"),
+    ("exercise_request", "body_part_id", "d_body_part", "body_part_id"),
+    ("exercise_request", "reviewed_by", "user_master", "user_id"),
+    ("notification_log", "user_id", "user_master", "user_id"),
+    ("stg_training_log", "log_id", "training_log", "log_id"),
+    ("fct_training_set", "user_id", "d_user", "user_id"),
+    ("fct_training_set", "exercise_id", "d_exercise", "exercise_id"),
+    ("fct_training_set", "body_part_id", "d_body_part", "body_part_id"),
+    ("d_exercise", "body_part_id", "d_body_part", "body_part_id"),
+    ("m_progress_curve", "user_id", "d_user", "user_id"),
+    ("m_progress_curve", "exercise_id", "d_exercise", "exercise_id"),
+    ("m_last_training", "user_id", "d_user", "user_id"),
+    ("m_last_training", "body_part_id", "d_body_part", "body_part_id"),
+    ("m_ranking_weekly", "user_id", "d_user", "user_id"),
+    ("m_ranking_monthly", "user_id", "d_user", "user_id"),
+    ("m_ranking_alltime", "user_id", "d_user", "user_id"),
+    ("m_ranking_bodypart", "user_id", "d_user", "user_id"),
+    ("m_ranking_bodypart", "body_part_id", "d_body_part", "body_part_id"),
+    ("m_personal_record", "user_id", "d_user", "user_id"),
+    ("m_personal_record", "exercise_id", "d_exercise", "exercise_id"),
+    ("m_calendar", "user_id", "d_user", "user_id"),
+    ("m_ml_suggestion", "user_id", "d_user", "user_id"),
+    ("m_ml_suggestion", "exercise_id", "d_exercise", "exercise_id"),
+)]
+
+
+def run_relations(tables: dict[str, DataFrame], relations: Sequence[Relation], severity: str = "warn") -> DataFrame:
+    """One row per relation: child rows without a parent (``failures``),
+    their distinct values (``orphan_keys``) and the status.
+
+    Every table is read once: a row gives one stacked row (relation, key, is it
+    a parent) for each relation that its table is in. One combining aggregate
+    by (relation, key) then tells orphans, so a key that a large share of the
+    rows holds costs a row for each task, and no join is needed."""
+    for name in {t for r in relations for t in (r.child, r.parent)} - set(tables):
+        raise KeyError(f"no table for the relations of {name}")
+    uses: dict[str, list] = {}
+    for i, r in enumerate(relations):
+        uses.setdefault(r.child, []).append((i, r.column, 1))
+        uses.setdefault(r.parent, []).append((i, r.parent_column, 0))
+    stacked = []
+    for name, own in uses.items():
+        rows = F.array(*[F.struct(F.lit(i).alias("idx"), F.col(c).cast("string").alias("key"), F.lit(n).cast("bigint").alias("child"))
+                         for i, c, n in own])
+        stacked.append(tables[name].select(F.inline(rows)).where(F.col("key").isNotNull()))
+    keys = reduce(DataFrame.unionByName, stacked).groupBy("idx", "key").agg(
+        F.sum("child").alias("rows"), F.min("child").alias("all_children"))
+    orphan = F.col("all_children") == 1
+    found = keys.groupBy("idx").agg(F.sum(F.when(orphan, F.col("rows"))).alias("failures"), F.count_if(orphan).alias("orphan_keys"))
+    meta = stacked[0].sparkSession.createDataFrame(
+        [(i, r.child, r.column, r.parent, r.parent_column) for i, r in enumerate(relations)],
+        "idx int, model string, column_name string, parent string, parent_column string")
+    out = meta.join(found, "idx", "left").select(
+        "model", "column_name", "parent", "parent_column",
+        F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"), F.coalesce("orphan_keys", F.lit(0)).cast("bigint").alias("orphan_keys"))
+    return out.withColumn("status", F.when(F.col("failures") != 0, F.lit(severity)).otherwise(F.lit("pass")))
+
+
 BODY_PART_IDS = ("chest", "back", "shoulder", "leg", "arm", "other")
 
 # Fixed values. L7: the declared suite (staging, dimensions, fact, metrics,

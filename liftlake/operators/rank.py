@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from liftlake.functions.exprs import rank_change_label, rank_diff
+from liftlake.operators.joins import null_safe_join
+from liftlake.operators.ordered import dealt, running_before
 
 
 def rank_in_partition(df: DataFrame, partition: Sequence[str], value: str,
@@ -32,64 +35,41 @@ def with_rank_movement(df: DataFrame, rank: str = "rank", prev: str = "prev_rank
               .withColumn("rank_diff", rank_diff(rank, prev)))
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` treating NULL = NULL (window/group-by semantics)."""
-    if not keys:
-        raise ValueError("a keyed join needs at least one key")
-    r = right
-    for k in keys:
-        r = r.withColumnRenamed(k, f"_r_{k}")
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
-# Cells of the value axis for each unit of asinh(value): neighbouring cells are
-# about 1.5 % apart for large values.
-CELLS_PER_UNIT = 64
-
-
-def _cell(value: Column) -> Column:
-    """A fixed, monotone cell number of a numeric value (NULL for NULL). Equal
-    values share a cell, larger values never have a smaller one; infinities
-    and NaN are in the outermost cells."""
-    x = F.asinh(value.cast("double")) * CELLS_PER_UNIT
-    return F.floor(F.least(F.greatest(x, F.lit(-1e6)), F.lit(1e6))).cast("bigint")
+# A value held by more than this share of all rows is heavy (so there are
+# fewer than 1,000 of them); its rows are spread over so many tasks.
+HEAVY_SHARE, SALTS = 1000, 64
 
 
 def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool = True,
                 partition: Sequence[str] = ()) -> DataFrame:
     """RANK() OVER ([PARTITION BY partition] ORDER BY value) without funnelling
-    a large group of rows into one task, as one lazy plan.
+    a large group of rows into one task.
 
     rank(v) = 1 + rows of the same partition ranked strictly before v. It is
     computed on the *distinct values*:
       1. per-(partition, value) row counts (a combinable aggregate: a value
          held by a third of all rows collapses map-side to one row per task);
-      2. a fixed monotone function cuts the value axis into cells; inside each
-         (partition, cell) a running sum of the counts gives the rows ranked
-         before each value in that cell;
-      3. cell offsets = rows of the same partition in earlier cells (at most a
-         few thousand cells a partition);
-      4. the (partition, value, rank) table is joined back to the rows.
-    No job runs while the frame is built, and nothing depends on the size of
-    the input. NULL values sort last for descending and first for ascending
-    order, and NULL partition keys form one partition, as in the window
-    function.
+      2. these are dealt to tasks by ranges that Spark samples from them, so
+         values in a narrow band spread like any others; a running sum inside
+         a task plus one offset for each task and partition gives the rank;
+      3. the (partition, value, rank) table is joined back to the rows; heavy
+         values are salted on both sides.
+    The dealt counts are written while the frame is built, so the ranges are
+    the same for every later step. NULL values sort last for descending and
+    first for ascending order, and NULL partition keys form one partition, as
+    in the window function.
     """
     P = list(partition)
     v = F.col(value)
     o = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    ob = F.col("_b").desc_nulls_last() if descending else F.col("_b").asc_nulls_first()
-    counts = (df.groupBy(*P, value).agg(F.count(F.lit(1)).alias("_n"))
-                .withColumn("_b", _cell(v)))
-    earlier = F.sum("_n").over(Window.partitionBy(*P, "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1))
-    within = counts.withColumn("_before", F.coalesce(earlier, F.lit(0)))
-    per_cell = counts.groupBy(*P, "_b").agg(F.sum("_n").alias("_t"))
-    wc = (Window.partitionBy(*P).orderBy(ob) if P else Window.orderBy(ob)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_cell.select(*P, "_b", F.coalesce(F.sum("_t").over(wc), F.lit(0)).alias("_off"))
-    ranks = (_join_null_safe(within, offsets, [*P, "_b"])
-             .select(*P, value, (F.col("_off") + F.col("_before") + 1).cast("bigint").alias(out)))
-    return _join_null_safe(df, ranks, [*P, value]).select(*[c for c in df.columns if c != out], out)
+    counts = dealt(df.groupBy(*P, value).agg(F.count(F.lit(1)).alias("_n")), [*[F.asc(c) for c in P], o])
+    total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
+    heavy = F.col("_n") * HEAVY_SHARE > total
+    ranks = running_before(counts, P, F.col("_n"), "_before").select(
+        *P, value, (F.col("_before") + 1).cast("bigint").alias(out),
+        F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    marked = null_safe_join(df.drop(out), F.broadcast(counts.where(heavy).select(*P, value, F.lit(True).alias("_heavy"))), [*P, value], "left")
+    others = [c for c in df.columns if c not in (out, value) and not isinstance(df.schema[c].dataType, MapType)] or [value]
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*others), F.lit(SALTS))).otherwise(0).cast("int")
+    marked = marked.withColumn("_salt", salt).drop("_heavy")
+    return null_safe_join(marked, ranks, [*P, value, "_salt"]).select(*[c for c in df.columns if c != out], out)

@@ -42,7 +42,7 @@ def pair_counts(fct: DataFrame) -> DataFrame:
 def _validation_flag(df: DataFrame, fraction_pct: int = 20) -> F.Column:
     """Deterministic split: a hash of the feature values, not a random draw,
     so a recomputed partition gets the same split."""
-    return (F.abs(F.xxhash64(*[F.col(c) for c in FEATURES + [LABEL]])) % 100) < fraction_pct
+    return F.pmod(F.xxhash64(*[F.col(c) for c in FEATURES + [LABEL]]), F.lit(100)) < fraction_pct
 
 
 def train_predictor(pairs: DataFrame, trials: int = 5, max_iter: int = 50, seed: int = 7,
