@@ -12,11 +12,13 @@ folder). Keys compare null-safe everywhere.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from liftlake.functions.exprs import col_of, month_start, ntz
 from liftlake.operators.joins import broadcast_if_bounded, null_safe_join
@@ -133,10 +135,35 @@ def _folders(spark: SparkSession, path: str, month_col: str) -> dict[tuple[str,
 
 
 def read_upserted(spark: SparkSession, path: str, month_col: str = "training_month") -> DataFrame:
-    """A table of ``write_upsert`` without its layout columns."""
+    """A table of ``write_upsert`` without its layout columns, after any
+    publication that a dead run left half-way."""
+    _publish(spark, path, month_col)
     return spark.read.parquet(path).drop(month_col, BUCKET)
 
 
+def _publish(spark: SparkSession, path: str, month_col: str) -> None:
+    """Finish the publication that a table's marker names, if there is one: the
+    staged folders replace those of the table, emptied ones go. The staged
+    rows are complete before the marker is written and stay until it is gone,
+    so a run that died half-way is finished by the next one."""
+    fs, root, jvm = _fs(spark, path)
+    marker = jvm.org.apache.hadoop.fs.Path(root, "_publish")
+    if not fs.exists(marker):
+        return
+    text = fs.open(marker)
+    todo = json.loads(jvm.org.apache.commons.io.IOUtils.toString(text, "UTF-8"))
+    text.close()
+    (spark.read.schema(StructType.fromJson(todo["schema"])).parquet(todo["stage"]).repartition(month_col, BUCKET)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month_col, BUCKET).parquet(path))
+    for folder in todo["emptied"]:
+        gone = jvm.org.apache.hadoop.fs.Path(folder)
+        fs.delete(gone, True)
+        if fs.exists(gone.getParent()) and not fs.listStatus(gone.getParent()):
+            fs.delete(gone.getParent(), True)
+    fs.delete(marker, False)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(todo["stage"]), True)
+
+
 def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str],
                  date_col: str, month_col: str = "training_month",
                  delete_when: str | Column | None = None, buckets: int = BUCKETS) -> dict:
@@ -145,19 +172,21 @@ def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequen
 
     A key's bucket does not change, so replaced rows are looked for in the
     folders of the batch's buckets only, by their key columns; then the folders
-    that hold one, and those that the batch's rows go to, are read, merged,
-    staged and swapped in with dynamic partition overwrite. A folder left
-    without rows is removed. Idempotent: replaying a batch gives the same
-    table, also for keys with NULLs. ``buckets`` counts for a new table only.
+    that hold one, and those that the batch's rows go to, are read, merged and
+    staged, and a marker is left from which the publication can be finished by
+    the next run if this one dies. A folder left without rows is removed.
+    Idempotent: replaying a batch gives the same table, also for keys with
+    NULLs. ``buckets`` counts for a new table only.
     """
     keys = list(keys)
     buckets = _buckets_of(spark, path, buckets)
+    _publish(spark, path, month_col)
     # the delta is written once; every later step reads that table
     delta, stage = scratch_path(spark, "upsert-delta"), scratch_path(spark, "upsert-stage")
     laid = with_month(source, date_col, month_col).withColumn(BUCKET, key_bucket(keys, buckets))
     laid.write.parquet(delta)
     src = spark.read.schema(laid.schema).parquet(delta)
-    fs, _, jvm = _fs(spark, path)
+    fs, root, jvm = _fs(spark, path)
     there = _folders(spark, path, month_col)
 
     def place(row) -> tuple[str, int]:
@@ -178,17 +207,17 @@ def write_upsert(spark: SparkSession, source: DataFrame, path: str, keys: Sequen
         # a folder is written by one task, as one file
         merged.repartition(month_col, BUCKET).write.partitionBy(month_col, BUCKET).parquet(stage)
         present = _folders(spark, stage, month_col)
-        (spark.read.schema(laid.schema).parquet(stage).repartition(month_col, BUCKET)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(month_col, BUCKET).parquet(path))
-        for gone in (touched & set(there)) - set(present):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(there[gone]), True)
-            month = jvm.org.apache.hadoop.fs.Path(there[gone]).getParent()
-            if not fs.listStatus(month):
-                fs.delete(month, True)
+        todo = {"stage": stage, "schema": laid.schema.jsonValue(),
+                "emptied": [there[k] for k in (touched & set(there)) - set(present)]}
+        # renamed into place, so that a marker is whole
+        made = jvm.org.apache.hadoop.fs.Path(root, f"_publish-{uuid.uuid4().hex}")
+        out = fs.create(made)
+        out.write(json.dumps(todo).encode())
+        out.close()
+        fs.rename(made, jvm.org.apache.hadoop.fs.Path(root, "_publish"))
+        _publish(spark, path, month_col)
     elif not there:
         # an empty table keeps its schema
         laid.limit(0).write.mode("append").parquet(path)
-    for done in (stage, delta):
-        fs.delete(jvm.org.apache.hadoop.fs.Path(done), True)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(delta), True)
     return report

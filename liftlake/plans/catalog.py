@@ -7,6 +7,7 @@ twin of each query is in ``oracle_sql.Q`` under the same name.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,6 +149,16 @@ def q_scan_notifications(spark, sf):
     return FX.notification_log(spark, sf)
 
 
+@register("A2_scan_users")
+def q_scan_users(spark, sf):
+    return FX.user_master(spark, sf)
+
+
+@register("A3_scan_requests")
+def q_scan_requests(spark, sf):
+    return FX.exercise_request(spark, sf)
+
+
 @register("B5_date_range_filter")
 def q_date_range(spark, sf):
     f = fct(spark, sf)
@@ -268,7 +279,7 @@ def q_incr_staging(spark, sf):
 def q_incr_fact(spark, sf):
     ex, _, bp = dims(spark, sf)
     s = stg(spark, sf).checkpoint()
-    first = M.fct_training_set(s.where(_split(s)), ex, bp).checkpoint()
+    first = M.fct_training_set(s.where(_split(s)), ex, bp)
     src = watermark_filter(s, "updated_at", first, "created_at")
     delta = M.fct_training_set(src, ex, bp)
     return merge_upsert(first, delta, ["log_id"])
@@ -287,6 +298,23 @@ def q_merge_upsert(spark, sf):
     return merge_upsert(target, source, ["l_orderkey", "l_linenumber"])
 
 
+@register("A11_upsert_table")
+def q_upsert_table(spark, sf):
+    """Three upserts of a stored table: early versions, late ones, and the
+    late ones again. The first line of an order has no number, so a part of
+    the key is NULL."""
+    key = ["l_orderkey", "line"]
+    li = FX.read_table(spark, sf, "lineitem").select(
+        "l_orderkey", F.when(F.col("l_linenumber") != 1, F.col("l_linenumber")).alias("line"), "l_suppkey", "l_partkey", "l_quantity",
+        F.col("l_shipdate").cast("date").alias("ship_day"), F.trunc(F.col("l_shipdate").cast("date"), "year").alias("ship_year"))
+    late = F.col("ship_day") >= F.lit(FX.INCREMENTAL_SPLIT.date())
+    order = [F.col("ship_day"), F.col("l_suppkey"), F.col("l_partkey")]
+    path = scratch_path(spark, "upserted")
+    for batch in (li.where(~late), li.where(late), li.where(late)):
+        write_upsert(spark, latest_by_key(batch, key, order), path, key, "ship_year", buckets=4)
+    return read_upserted(spark, path)
+
+
 # ---------------------------------------------------------------------------
 # documents
 # ---------------------------------------------------------------------------
@@ -355,9 +383,9 @@ def q_soft_delete_sets(spark, sf):
     return _doc_header(out)
 
 
-@register("K1_save_documents")
-def q_save_docs(spark, sf):
-    d = docs(spark, sf)
+def _saved_docs(spark, sf):
+    # the documents are read by the saves and the table they go to
+    d = docs(spark, sf).checkpoint()
     # edits: every pending document re-saved with its sets plus one new set;
     # new documents: each deleted document re-entered on the following day
     base = d.where(F.col("sync_status") == "pending")
@@ -374,7 +402,41 @@ def q_save_docs(spark, sf):
     fresh = (fresh.withColumn("_k", H.document_key("user_id", "training_date", "exercise_id"))
                   .join(d.select(F.col("doc_id").alias("_k")), "_k", "left_anti").drop("_k"))
     saves = edits.unionByName(fresh)
-    return _doc_header(DOC.save_documents(d, saves, CHANGE_NOW))
+    return DOC.save_documents(d, saves, CHANGE_NOW)
+
+
+@register("K1_save_documents")
+def q_save_docs(spark, sf):
+    return _doc_header(_saved_docs(spark, sf))
+
+
+@register("K1_saved_sets")
+def q_saved_sets(spark, sf):
+    """The sets of all documents after the saves."""
+    return _saved_docs(spark, sf).select("doc_id", F.explode("sets").alias("s")).select(
+        "doc_id", "s.set_id", "s.set_number", "s.weight_kg", "s.reps", "s.is_deleted", "s.created_at", "s.updated_at")
+
+
+def _stored_docs(spark, sf):
+    path = scratch_path(spark, "documents")
+    DOC.write_documents(docs(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("A5_get_documents")
+def q_get_documents(spark, sf):
+    """The documents of the first set of every order, by their keys."""
+    log = raw_log(spark, sf).where(F.col("set_number") == 1)
+    keys = log.select("user_id", F.col("training_date").cast("string").alias("training_date"),
+                      F.replace(F.lower(H.trim_ws("exercise_name")), F.lit(" "), F.lit("_")).alias("exercise_id"))
+    return _doc_header(DOC.get_documents(_stored_docs(spark, sf), keys))
+
+
+@register("A6_list_documents_by_days")
+def q_documents_by_days(spark, sf):
+    """All documents of every user's last training day."""
+    days = raw_log(spark, sf).groupBy("user_id").agg(F.max("training_date").cast("string").alias("training_date"))
+    return _doc_header(DOC.list_documents_by_days(_stored_docs(spark, sf), days))
 
 
 # ---------------------------------------------------------------------------
@@ -413,6 +475,13 @@ def q_submit(spark, sf):
     return dec
 
 
+@register("K5_requests_after")
+def q_requests_after(spark, sf):
+    _, after = K.submit_requests(FX.exercise_request(spark, sf), FX.exercise_master(spark, sf),
+                                 _new_requests(spark, sf), CHANGE_NOW)
+    return after
+
+
 def _first_pending_per_name(req, first: bool):
     """Review batch: the oldest pending request of each (case-insensitive)
     name is approved, later duplicates of it are rejected."""
@@ -429,6 +498,27 @@ def q_approve(spark, sf):
     return master
 
 
+def _approve_all(spark, sf):
+    # every pending request, also those that ask for the same exercise; some
+    # under an id that the master has
+    req, master = FX.exercise_request(spark, sf), FX.exercise_master(spark, sf)
+    number = F.regexp_extract("request_id", "([0-9]+)", 1).cast("bigint")
+    taken = master.agg(F.min("exercise_id").alias("id")).first()["id"]
+    appr = req.where(F.col("status") == "pending").select(
+        "request_id", F.lit("user_1").alias("reviewer"), F.when(number % 4 == 0, F.lit(taken)).alias("exercise_id"))
+    return K.approve_requests(req, master, appr, CHANGE_NOW)
+
+
+@register("K6_approve_all_master")
+def q_approve_all_master(spark, sf):
+    return _approve_all(spark, sf)[1]
+
+
+@register("K6_approve_all_requests")
+def q_approve_all_requests(spark, sf):
+    return _approve_all(spark, sf)[0]
+
+
 @register("K7_reject_requests")
 def q_reject(spark, sf):
     req = FX.exercise_request(spark, sf)
@@ -445,8 +535,7 @@ def q_deactivate(spark, sf):
     return K.deactivate_exercises(m, m.select("exercise_id").join(recent, "exercise_id", "left_anti"), CHANGE_NOW)
 
 
-@register("K9_add_exercises")
-def q_add_ex(spark, sf):
+def _added(spark, sf):
     n = FX.read_table(spark, sf, "nation")
     new = n.select(F.regexp_replace(F.lower("n_name"), " ", "_").alias("exercise_id"),
                    F.concat(F.lower("n_name"), F.lit(" press")).alias("exercise_name"),
@@ -455,8 +544,52 @@ def q_add_ex(spark, sf):
     p = FX.read_table(spark, sf, "part").select(
         F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("exercise_id"), F.col("p_name").alias("exercise_name"),
         F.lit("arm").alias("body_part_id"), F.lit(False).alias("is_compound"), F.lit(5).alias("display_order"))
-    dec, _ = K.add_exercises(FX.exercise_master(spark, sf), new.unionByName(p).distinct(), CHANGE_NOW)
-    return dec
+    return K.add_exercises(FX.exercise_master(spark, sf), new.unionByName(p).distinct(), CHANGE_NOW)
+
+
+@register("K9_add_exercises")
+def q_add_ex(spark, sf):
+    return _added(spark, sf)[0]
+
+
+@register("K9_master_after")
+def q_master_after(spark, sf):
+    return _added(spark, sf)[1]
+
+
+@register("K10_update_exercise_flag")
+def q_update_flag(spark, sf):
+    return K.update_exercise_flag(FX.exercise_master(spark, sf), "red_widget", True)
+
+
+@register("K13_maintain_users")
+def q_maintain_users(spark, sf):
+    """An address for the user of every customer number, several for some, most
+    of unknown users."""
+    c = FX.read_table(spark, sf, "customer")
+    return K.maintain_users(FX.user_master(spark, sf), c.select(
+        F.concat(F.lit("user_"), (F.col("c_custkey") % 700).cast("string")).alias("user_id"),
+        F.col("c_name").alias("user_name"),
+        F.when(F.col("c_nationkey") > 3, F.concat(F.lit("C_"), F.col("c_custkey").cast("string"))).alias("line_user_id"),
+        F.lit(False).alias("is_admin"), F.lit(True).alias("is_active"), H.ntz(CHANGE_NOW).alias("created_at"),
+        F.col("c_custkey").alias("changed")), order="changed")
+
+
+@register("B6_optional_filter")
+def q_optional_filter(spark, sf):
+    """One part chosen of the first column, all of the second."""
+    m = K.optional_filter(FX.exercise_master(spark, sf), "body_part_id", "leg")
+    return K.optional_filter(m, "is_active", "all")
+
+
+@register("B8_key_prefix_filter")
+def q_prefix(spark, sf):
+    return K.soft_delete_log_rows(raw_log(spark, sf).select(*LOG14), prefix="1").where("is_deleted").select("log_id", "updated_at")
+
+
+@register("B10_case_insensitive_match")
+def q_match(spark, sf):
+    return K.case_insensitive_match(raw_log(spark, sf).select("log_id", "exercise_name", "body_part"), "body_part", "Chest")
 
 
 @register("K11_validate_input_rows")
@@ -484,18 +617,19 @@ def _quality_tables(spark, sf):
     s = kept("stg", stg(spark, sf))
     ex, _, bp = dims(spark, sf)
     f = kept("fct", M.fct_training_set(s, ex, bp))
-    u = users(spark, sf)
-    tables = {
-        "stg_training_log": s, "d_body_part": M.d_body_part(spark),
-        "d_exercise": M.d_exercise(FX.exercise_master(spark, sf)), "d_user": u,
-        "fct_training_set": f, "m_progress_curve": M.m_progress_curve(f),
-        "m_last_training": M.m_last_training(f, FX.AS_OF), "m_ranking_weekly": M.m_ranking_weekly(f, u),
-        "m_ranking_monthly": M.m_ranking_monthly(f, u), "m_ranking_alltime": M.m_ranking_alltime(f, u),
-        "m_ranking_bodypart": M.m_ranking_bodypart(f, u),
-        "m_personal_record": M.m_personal_record(f, u, FX.AS_OF), "m_calendar": M.m_calendar(f),
-        "m_ml_suggestion": ML.suggest(_fixed_prediction(f), FX.AS_OF),
+    u = kept("d_user", users(spark, sf))
+    models = {
+        "d_exercise": lambda: M.d_exercise(FX.exercise_master(spark, sf)), "m_progress_curve": lambda: M.m_progress_curve(f),
+        "m_last_training": lambda: M.m_last_training(f, FX.AS_OF), "m_ranking_weekly": lambda: M.m_ranking_weekly(f, u),
+        "m_ranking_monthly": lambda: M.m_ranking_monthly(f, u), "m_ranking_alltime": lambda: M.m_ranking_alltime(f, u),
+        "m_ranking_bodypart": lambda: M.m_ranking_bodypart(f, u),
+        "m_personal_record": lambda: M.m_personal_record(f, u, FX.AS_OF), "m_calendar": lambda: M.m_calendar(f),
+        "m_ml_suggestion": lambda: ML.suggest(_fixed_prediction(f), FX.AS_OF),
     }
-    return {k: v if k in ("stg_training_log", "fct_training_set", "d_body_part") else kept(k, v) for k, v in tables.items()}
+    # the models depend on the fact alone: their jobs run side by side
+    with ThreadPoolExecutor(5) as pool:
+        done = dict(zip(models, pool.map(lambda name: kept(name, models[name]()), models)))
+    return {"stg_training_log": s, "fct_training_set": f, "d_body_part": bp, "d_user": u, **done}
 
 
 def _fixed_prediction(f):
@@ -528,6 +662,16 @@ def q_referential(spark, sf):
     return QL.referential(fct(spark, sf), "user_id", users(spark, sf), "user_id").select("log_id", "user_id")
 
 
+@register("L8_declared_relations")
+def q_relations(spark, sf):
+    """All declared foreign keys over the raw tables and the models."""
+    tables = _quality_tables(spark, sf) | {
+        "training_log": raw_log(spark, sf), "user_master": FX.user_master(spark, sf),
+        "exercise_master": FX.exercise_master(spark, sf), "exercise_request": FX.exercise_request(spark, sf),
+        "notification_log": FX.notification_log(spark, sf)}
+    return QL.run_relations(tables, QL.DECLARED_RELATIONS)
+
+
 @register("L2_unique_exercise_name")
 def q_unique_names(spark, sf):
     return QL.exercise_name_unique(FX.exercise_master(spark, sf))
@@ -584,11 +728,32 @@ def q_monthly_digest(spark, sf):
     return NT.digest_lines(M.m_ranking_monthly(fct(spark, sf), u), u, "monthly")
 
 
+def _weekly_digest(spark, sf):
+    u, ranking = users(spark, sf), M.m_ranking_weekly(fct(spark, sf), users(spark, sf)).checkpoint()
+    lines = NT.digest_lines(ranking, u, "weekly")
+    return u, lines, NT.digest_name(lines, ranking, "week_start", "weekly_ranking")
+
+
+@register("M6_digest_text")
+def q_digest_text(spark, sf):
+    """Both digests as the numbered chunks of their texts."""
+    _, lines, name = _weekly_digest(spark, sf)
+    ranking = M.m_ranking_monthly(fct(spark, sf), users(spark, sf)).checkpoint()
+    monthly = NT.digest_lines(ranking, users(spark, sf), "monthly")
+    return NT.digest_chunks(lines, name or "").unionByName(
+        NT.digest_chunks(monthly, NT.digest_name(monthly, ranking, "month", "monthly_ranking") or ""))
+
+
 @register("M7_digest_plan")
 def q_digest_plan(spark, sf):
-    u = users(spark, sf)
-    text = NT.render_message(NT.digest_lines(M.m_ranking_weekly(fct(spark, sf), u), u, "weekly"))
-    return NT.digest_plan(text, u, _base_count(spark, sf), "weekly_ranking")
+    u, _, name = _weekly_digest(spark, sf)
+    return NT.digest_plan(name, u, _base_count(spark, sf), "weekly_ranking")
+
+
+@register("M7_digest_deliveries")
+def q_digest_deliveries(spark, sf):
+    u, lines, name = _weekly_digest(spark, sf)
+    return NT.digest_deliveries(NT.digest_plan(name, u, _base_count(spark, sf), "weekly_ranking"), NT.digest_chunks(lines, name or ""))
 
 
 @register("M8_start_plan")
@@ -768,7 +933,7 @@ _MODELS: dict = {}
 
 def trained_model(spark, sf):
     """The predictor for ``sf`` (trained once per session and scale)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         _MODELS[key] = ML.train_predictor(ML.training_pairs(fct(spark, sf)))
     return _MODELS[key]
@@ -824,7 +989,7 @@ def q_j6(spark, sf):
     from liftlake.streaming.microbatch import run_to_completion
     base = scratch_path(spark, "j6")
     docs(spark, sf).write.mode("overwrite").json(f"{base}/incoming")
-    return run_to_completion(spark, f"{base}/incoming", f"{base}/raw_training_log", f"{base}/checkpoint")
+    return run_to_completion(spark, f"{base}/incoming", f"{base}/raw_training_log", f"{base}/checkpoint", buckets=2)
 
 
 @register("H11_zone_truncated_timestamp")
@@ -843,20 +1008,43 @@ def q_merge_same_day(spark, sf):
     return NT.merge_same_day(plan)
 
 
+_LAKES: dict = {}
+
+
+def _daily_lake(spark, sf):
+    """A fresh lake in the shared scratch folder after one daily job (run once
+    per application and scale): pending documents are synced, staged, joined
+    into the fact, metrics, checks and notifications are written."""
+    from liftlake.plans.daily import Layout, daily_refresh
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LAKES:
+        lay = Layout(scratch_path(spark, "lake"), buckets=2)
+        FX.exercise_master(spark, sf).write.parquet(lay.raw("exercise_master"))
+        FX.user_master(spark, sf).write.parquet(lay.raw("user_master"))
+        docs_path = f"{lay.root}/documents"
+        docs(spark, sf).write.parquet(docs_path)
+        daily_refresh(spark, lay, docs_path, _dt.date(2001, 11, 6), _dt.datetime(2001, 11, 6, 21, 0, 0))
+        _LAKES[key] = lay
+    return _LAKES[key]
+
+
 @register("J7_daily_refresh")
 def q_daily(spark, sf):
-    """The whole daily job on a fresh lake in the shared scratch folder:
-    pending documents are synced, staged, joined into the fact, metrics,
-    checks and notifications are written; the result is the fact table."""
-    from liftlake.operators.upsert import scratch_path
-    from liftlake.plans.daily import Layout, daily_refresh
-    lay = Layout(scratch_path(spark, "lake"))
-    FX.exercise_master(spark, sf).write.parquet(lay.raw("exercise_master"))
-    FX.user_master(spark, sf).write.parquet(lay.raw("user_master"))
-    docs_path = f"{lay.root}/documents"
-    docs(spark, sf).write.parquet(docs_path)
-    daily_refresh(spark, lay, docs_path, _dt.date(2001, 11, 6), _dt.datetime(2001, 11, 6, 21, 0, 0))
-    return read_upserted(spark, lay.mart("fct_training_set"))
+    """The fact table that the daily job leaves."""
+    return read_upserted(spark, _daily_lake(spark, sf).mart("fct_training_set"))
+
+
+@register("J7_daily_last_training")
+def q_daily_last(spark, sf):
+    """A metric that the daily job leaves, as of the run's day."""
+    return spark.read.parquet(_daily_lake(spark, sf).mart("m_last_training"))
+
+
+@register("J7_daily_sync_states")
+def q_daily_states(spark, sf):
+    """The sync states that the daily job records."""
+    from liftlake.plans.daily import read_runs
+    return read_runs(spark, _daily_lake(spark, sf).raw("document_sync"))
 
 
 @register("A14_parameterised_query")
@@ -864,7 +1052,7 @@ def q_params(spark, sf):
     """SQL text with named parameter markers, values bound by Spark (and
     GROUP BY ordinals, D16), over a temporary view of the fact."""
     from liftlake.sources.seed import parameterised_query
-    view = f"fct_{abs(hash(sf)) % 10**8}"
+    view = "fct_of_query"
     fct(spark, sf).createOrReplaceTempView(view)
     return parameterised_query(
         spark, f"SELECT user_id, training_date, COUNT(*) AS n_sets, SUM(volume) AS day_volume "

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from liftlake.functions.exprs import CHANGE_ICONS, RANK_ICONS, format_volume, icon_lookup, ntz, row_uuid
 from liftlake.operators.joins import broadcast_if_bounded
+from liftlake.operators.ordered import positions
 from liftlake.operators.quota import gate, limit_for, monthly_sent_count, zone_period_start_utc
 
 # Message templates ({app_url} is the deployment's link).
@@ -113,7 +114,7 @@ def digest_lines(ranking: DataFrame, users: DataFrame, kind: str = "weekly", app
     """M6: the ranking message of the newest period as ordered lines
     (section 0 header, 1 one line per ranked user, 2 footer); no rows when
     the ranking is empty. Lines stay distributed; the message is their
-    concatenation in (section, rank, user_id) order (see ``render_message``)."""
+    concatenation in (section, rank, user_id) order (see ``digest_chunks``)."""
     period = "week_start" if kind == "weekly" else "month"
     latest = latest_period(ranking, period)
     u = broadcast_if_bounded(users.select("user_id"))
@@ -139,29 +140,52 @@ def digest_lines(ranking: DataFrame, users: DataFrame, kind: str = "weekly", app
     return head.unionByName(body).unionByName(foot)
 
 
-def digest_text(lines: DataFrame) -> DataFrame:
-    """The digest as one text: a row with ``message`` (NULL without lines). The
-    text has a line for each ranked user, as the application's message has;
-    line pieces are ordered by (section, rank, user) inside the aggregate."""
-    piece = F.struct("section", F.coalesce("rank", F.lit(0)).alias("rank"), "user_id", "text")
-    return lines.agg(F.when(F.count(F.lit(1)) > 0, F.array_join(
-        F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "\n")).alias("message"))
+# Lines of a digest that one chunk of its text holds.
+CHUNK_LINES = 100
+
+
+def digest_chunks(lines: DataFrame, digest: str) -> DataFrame:
+    """The digest's text as numbered chunks (digest, chunk, text): the chunks in
+    order, joined by line ends, are the message. Lines get their places by
+    (section, rank, user) over sampled ranges, so no task holds them all."""
+    order = [F.asc("section"), F.asc(F.coalesce("rank", F.lit(0))), F.asc("user_id")]
+    placed = positions(lines, order, "_line")
+    piece = F.struct("_line", "text")
+    return (placed.groupBy(F.floor((F.col("_line") - 1) / CHUNK_LINES).cast("bigint").alias("chunk"))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "\n").alias("text"))
+            .select(F.lit(digest).alias("digest"), "chunk", "text"))
 
 
 def render_message(lines: DataFrame) -> str | None:
-    """The digest's text for delivery."""
-    return digest_text(lines).first()["message"]
+    """The digest's text for a delivery, chunk by chunk; None without lines."""
+    found = [r["text"] for r in digest_chunks(lines, "").orderBy("chunk").toLocalIterator()]
+    return "\n".join(found) if found else None
 
 
-def digest_plan(message: str | None, users: DataFrame, base_count: int, notification_type: str) -> DataFrame:
-    """M7: every active user gets the digest (``render_message``), gated per row
-    at 200; no rows without a digest."""
-    if message is None:
+def digest_plan(digest: str | None, users: DataFrame, base_count: int, notification_type: str) -> DataFrame:
+    """M7: every active user gets the digest, gated per row at 200; no rows
+    without a digest (None). Rows name the digest; its text is joined to the
+    rows that are sent (:func:`digest_deliveries`)."""
+    columns = [c for c in PLAN_COLUMNS if c != "message"]
+    if digest is None:
         return users.sparkSession.createDataFrame(
-            [], "user_id string, line_user_id string, notification_type string, status string, position bigint, message string")
+            [], "user_id string, line_user_id string, notification_type string, status string, position bigint, digest string")
     allow = limit_for(notification_type) - base_count
     p = gate(_addressed(users).select("user_id", "line_user_id"), [F.col("user_id").asc()], allow, notification_type, keys=["user_id"])
-    return p.withColumn("message", F.lit(message)).select(*PLAN_COLUMNS)
+    return p.select(*columns, F.lit(digest).alias("digest"))
+
+
+def digest_deliveries(plan: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What is sent: a row for each sent plan row and chunk of its digest. At
+    most the quota's 200 rows are sent, so they are the broadcast side."""
+    sent = plan.where(F.col("status") == "sent").select("user_id", "line_user_id", "position", "digest")
+    return chunks.join(F.broadcast(sent), "digest").select("user_id", "line_user_id", "position", "digest", "chunk", "text")
+
+
+def digest_name(lines: DataFrame, ranking: DataFrame, period: str, notification_type: str) -> str | None:
+    """``type:newest period`` if the digest has lines, else None."""
+    newest = ranking.agg(F.max(period).cast("string").alias("p")).first()["p"]
+    return None if newest is None or lines.isEmpty() else f"{notification_type}:{newest}"
 
 
 def start_plan(log: DataFrame, users: DataFrame, sender: str, body_part: str, now: _dt.datetime,

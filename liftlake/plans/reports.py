@@ -119,7 +119,7 @@ def alltime_ranking(alltime: DataFrame) -> DataFrame:
 def body_part_ranking(bodypart: DataFrame, body_part_id: str | None = None,
                       period_type: str | None = None) -> DataFrame:
     """Per part and period type the newest period, or the NULL-period
-    (all-time) rows."""
+    (all-time) rows, by rank."""
     df = bodypart
     if body_part_id is not None:
         df = df.where(F.col("body_part_id") == body_part_id)
@@ -131,7 +131,8 @@ def body_part_ranking(bodypart: DataFrame, body_part_id: str | None = None,
         .withColumnRenamed("body_part_id", "_bp").withColumnRenamed("period_type", "_pt")
     j = df.join(F.broadcast(mx), df.body_part_id.eqNullSafe(mx._bp) & (df.period_type == mx._pt), "left")
     return (j.where((F.col("period_start") == F.col("_mx")) | F.col("period_start").isNull())
-              .select("body_part_id", "period_type", "period_start", "user_name", "total_volume", "rank"))
+              .select("body_part_id", "period_type", "period_start", "user_name", "total_volume", "rank")
+              .orderBy("body_part_id", "period_type", "rank", "user_name"))
 
 
 def kpi_cards(curve: DataFrame, user_id=None, target: float = 1.0) -> DataFrame:
@@ -146,12 +147,12 @@ def kpi_cards(curve: DataFrame, user_id=None, target: float = 1.0) -> DataFrame:
 def progress_series(curve: DataFrame, as_of=None, days: int = 30, user_id=None) -> DataFrame:
     """7-row average of compound exercises within the last ``days``."""
     c = _user(curve, user_id).where(F.col("is_compound") & (F.col("metric_date") >= F.date_sub(as_of_date(as_of), days)))
-    return c.select("user_id", "metric_date", "exercise_name", "volume_7d_ma")
+    return c.select("user_id", "metric_date", "exercise_name", "volume_7d_ma").orderBy("user_id", "metric_date", "exercise_name")
 
 
 def exercise_list(curve: DataFrame, user_id=None) -> DataFrame:
     """Distinct exercise names per user."""
-    return _user(curve, user_id).select("user_id", "exercise_name").distinct()
+    return _user(curve, user_id).select("user_id", "exercise_name").distinct().orderBy("user_id", "exercise_name")
 
 
 def exercise_series(curve: DataFrame, as_of=None, days: int = 9999, user_id=None,
@@ -161,7 +162,7 @@ def exercise_series(curve: DataFrame, as_of=None, days: int = 9999, user_id=None
     if exercise_name is not None:
         c = c.where(F.col("exercise_name") == exercise_name)
     return c.select("user_id", "exercise_name", "metric_date", "daily_volume", "volume_7d_ma",
-                    "max_weight", "total_sets")
+                    "max_weight", "total_sets").orderBy("user_id", "exercise_name", "metric_date")
 
 
 def calendar_month(calendar: DataFrame, year: int, month: int, user_id=None) -> DataFrame:
@@ -169,7 +170,7 @@ def calendar_month(calendar: DataFrame, year: int, month: int, user_id=None) ->
     first = _dt.date(year, month, 1)
     c = _user(calendar, user_id).where(F.col("training_date").between(F.lit(first), month_end(F.lit(first))))
     return c.select("user_id", "training_date", "body_parts", "total_volume", "exercise_count",
-                    "exercise_summary")
+                    "exercise_summary").orderBy("user_id", "training_date")
 
 
 def month_grid(month_rows: DataFrame, users: DataFrame, year: int, month: int, user_id=None) -> DataFrame:
@@ -307,8 +308,8 @@ def master_list(master: DataFrame, body_part_id: str | None = None) -> DataFrame
 
 
 def user_list(users: DataFrame) -> DataFrame:
-    """Active users by name."""
-    return users.where(F.col("is_active")).select("user_id", "user_name").orderBy("user_name", "user_id")
+    """Active users by id."""
+    return users.where(F.col("is_active")).select("user_id", "user_name").orderBy("user_id")
 
 
 def document_audit(docs: DataFrame, pending_only: bool = True, newest: int | None = None) -> DataFrame:
@@ -328,4 +329,4 @@ def suggestion_lookup(suggestions: DataFrame, user_id=None, exercise_id: str | N
         s = s.where(F.col("exercise_id") == exercise_id)
     tot = F.sum("suggested_volume").over(Window.partitionBy("user_id", "exercise_id"))
     return s.select("user_id", "exercise_id", "set_number", "suggested_weight_kg", "suggested_reps",
-                    "suggested_volume", tot.alias("total_volume"))
+                    "suggested_volume", tot.alias("total_volume")).orderBy("user_id", "exercise_id", "set_number")

@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from liftlake.operators.documents import explode_documents, rejected_documents, scan_pending
 from liftlake.operators.latest import latest_by_key
-from liftlake.operators.upsert import read_upserted, write_upsert
+from liftlake.operators.upsert import BUCKETS, read_upserted, write_upsert
 from liftlake.schemas import DOCUMENT
 
 VERSION_KEY = ("log_id", "updated_at", "is_deleted")
@@ -50,7 +50,7 @@ def reject_path(target_path: str) -> str:
 
 
 def microbatch_sync(spark: SparkSession, source_dir: str, target_path: str, checkpoint_path: str,
-                    max_files: int | None = None, available_now: bool = True, key=VERSION_KEY):
+                    max_files: int | None = None, available_now: bool = True, key=VERSION_KEY, buckets: int = BUCKETS):
     """Start the sync stream; with ``available_now`` it processes everything
     present and stops (a scheduled 5-15 minute trigger in production)."""
     arrived = document_stream(spark, source_dir, max_files)
@@ -64,7 +64,7 @@ def microbatch_sync(spark: SparkSession, source_dir: str, target_path: str, chec
                 "doc_id", F.to_json(F.struct(*batch.columns)).alias("record")))
         bad.write.mode("overwrite").parquet(f"{reject_path(target_path)}/batch={epoch_id}")
         rows = explode_documents(scan_pending(batch.where(fine)))
-        write_upsert(batch.sparkSession, dedup_versions(rows, key), target_path, list(key), "training_date")
+        write_upsert(batch.sparkSession, dedup_versions(rows, key), target_path, list(key), "training_date", buckets=buckets)
 
     writer = (arrived.writeStream.foreachBatch(upsert_batch)
                   .option("checkpointLocation", checkpoint_path))
@@ -73,8 +73,8 @@ def microbatch_sync(spark: SparkSession, source_dir: str, target_path: str, chec
 
 
 def run_to_completion(spark: SparkSession, source_dir: str, target_path: str, checkpoint_path: str,
-                      max_files: int | None = None) -> DataFrame:
-    q = microbatch_sync(spark, source_dir, target_path, checkpoint_path, max_files=max_files)
+                      max_files: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    q = microbatch_sync(spark, source_dir, target_path, checkpoint_path, max_files=max_files, buckets=buckets)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
