@@ -10,7 +10,7 @@ from pyspark.sql.types import MapType
 
 from liftlake.functions.exprs import rank_change_label, rank_diff
 from liftlake.operators.joins import null_safe_join
-from liftlake.operators.ordered import dealt, running_before
+from liftlake.operators.ordered import AT, PART, dealt, running_before
 
 
 def rank_in_partition(df: DataFrame, partition: Sequence[str], value: str,
@@ -35,41 +35,35 @@ def with_rank_movement(df: DataFrame, rank: str = "rank", prev: str = "prev_rank
               .withColumn("rank_diff", rank_diff(rank, prev)))
 
 
-# A value held by more than this share of all rows is heavy (so there are
-# fewer than 1,000 of them); its rows are spread over so many tasks.
-HEAVY_SHARE, SALTS = 1000, 64
-
-
 def global_rank(df: DataFrame, value: str, out: str = "rank", descending: bool = True,
                 partition: Sequence[str] = ()) -> DataFrame:
     """RANK() OVER ([PARTITION BY partition] ORDER BY value) without funnelling
     a large group of rows into one task.
 
-    rank(v) = 1 + rows of the same partition ranked strictly before v. It is
-    computed on the *distinct values*:
-      1. per-(partition, value) row counts (a combinable aggregate: a value
-         held by a third of all rows collapses map-side to one row per task);
-      2. these are dealt to tasks by ranges that Spark samples from them, so
-         values in a narrow band spread like any others; a running sum inside
-         a task plus one offset for each task and partition gives the rank;
-      3. the (partition, value, rank) table is joined back to the rows; heavy
-         values are salted on both sides.
-    The dealt counts are written while the frame is built, so the ranges are
-    the same for every later step. NULL values sort last for descending and
-    first for ascending order, and NULL partition keys form one partition, as
-    in the window function.
+    rank(v) = 1 + rows of the same partition ranked strictly before v:
+      1. rows are dealt to tasks by ranges of (partition, value) that Spark
+         samples from them, so values in a narrow band spread like any others;
+         rows of one value are ordered by a hash, so a value that a third of
+         the rows holds spreads too;
+      2. a running count inside a task plus one offset for each task and
+         partition gives the place of a row, and the first place among its
+         equals is its rank;
+      3. equals may lie in several tasks, but only values at the edge of a
+         task: at most one for each task, whose first places are broadcast.
+    The dealt rows are written while the frame is built, so the ranges are the
+    same for every later step and what comes before is computed once. NULL
+    values sort last for descending and first for ascending order, and NULL
+    partition keys form one partition, as in the window function.
     """
     P = list(partition)
     v = F.col(value)
     o = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    counts = dealt(df.groupBy(*P, value).agg(F.count(F.lit(1)).alias("_n")), [*[F.asc(c) for c in P], o])
-    total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
-    heavy = F.col("_n") * HEAVY_SHARE > total
-    ranks = running_before(counts, P, F.col("_n"), "_before").select(
-        *P, value, (F.col("_before") + 1).cast("bigint").alias(out),
-        F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    marked = null_safe_join(df.drop(out), F.broadcast(counts.where(heavy).select(*P, value, F.lit(True).alias("_heavy"))), [*P, value], "left")
     others = [c for c in df.columns if c not in (out, value) and not isinstance(df.schema[c].dataType, MapType)] or [value]
-    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*others), F.lit(SALTS))).otherwise(0).cast("int")
-    marked = marked.withColumn("_salt", salt).drop("_heavy")
-    return null_safe_join(marked, ranks, [*P, value, "_salt"]).select(*[c for c in df.columns if c != out], out)
+    rows = dealt(df.drop(out).withColumn("_tie", F.xxhash64(*others)), [*[F.asc(c) for c in P], o, F.asc("_tie")])
+    placed = running_before(rows, P, F.lit(1).cast("bigint"), "_before").withColumn(
+        "_first", F.min("_before").over(Window.partitionBy(PART, *P, value)))
+    edges = rows.where(F.col(AT) == 0).select(*P, value).distinct()
+    shared = (null_safe_join(placed, F.broadcast(edges), [*P, value], "left_semi")
+              .groupBy(*P, value).agg(F.min("_before").alias("_shared")))
+    ranked = null_safe_join(placed, F.broadcast(shared), [*P, value], "left")
+    return ranked.withColumn(out, (F.coalesce("_shared", "_first") + 1).cast("bigint")).select(*[c for c in df.columns if c != out], out)
