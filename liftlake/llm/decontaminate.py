@@ -231,4 +231,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    return with_hits(docs, benchmark, block_words).where(~_contaminated()).select(*docs.columns)
+    # all but the text as one column, so that the columns of the hits hide none
+    rest = [c for c in docs.columns if c != "text" or docs.schema[c].dataType.simpleString() != "string"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in rest]).alias("all"))
+    clean = with_hits(rows, benchmark, block_words).where(~_contaminated())
+    return clean.select(*[F.col("all")[c].alias(c) if c in rest else F.col("text") for c in docs.columns])

@@ -10,6 +10,7 @@ joined with the text at the keeper's locator and compared.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from liftlake.llm.runtime import scratch, written
@@ -22,6 +23,11 @@ _ROCKS = {
     # no space set aside ahead: 4 MB for each open store is more than a small
     # partition's whole state
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # an executor may have a store open for each of many partitions: all share
+    # one block cache and one budget of write buffers, outside the heap
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 #: Files that one micro-batch takes, at most; the state carries over.
 FILES_PER_BATCH = 10_000
@@ -36,14 +42,22 @@ def _digest(body: Column) -> Column:
     return F.unhex(F.sha2(body.cast("binary"), 256))
 
 
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """Where a row is found: (file, row) for one scan of files, else nulls (also
+    for a union of scans, whose rows have no common source)."""
+    found = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        docs.select(*found)
+    except AnalysisException:
+        return F.lit(None).cast("string"), F.lit(None).cast("long")
+    return found
+
+
 def _with_locator(docs: DataFrame) -> DataFrame:
-    """doc_id, text and where the text is found: (file, row) for a scan of
-    files, else (null, null)."""
-    if docs.inputFiles():
-        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    else:
-        place = [F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *place)
+    """doc_id, text and the row's locator (file, row)."""
+    file, row = _place(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       file.alias("file"), row.alias("row"))
 
 
 def _ident() -> Column:
@@ -133,9 +147,11 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> Data
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay by ``exact_dedup(docs)``."""
-    stay = found.where("kept").select("doc_id", "file", "row").alias("s")
-    rows = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}) if docs.inputFiles() else (
-        docs.withColumns({"_file": F.lit(None).cast("string"), "_row": F.lit(None).cast("long")}))
-    same = (F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("_file").eqNullSafe(F.col("s.file"))
-            & F.col("_row").eqNullSafe(F.col("s.row")))
-    return rows.alias("d").join(stay, same, "left_semi").select(*docs.columns)
+    stay = found.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("file").alias("keep_file"), F.col("row").alias("keep_row"))
+    # the rows as one column, so that none of theirs can be hidden
+    file, row = _place(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col("doc_id").cast("long").alias("own_id"),
+                       file.alias("own_file"), row.alias("own_row"))
+    same = (F.col("own_id").eqNullSafe(F.col("keep_id")) & F.col("own_file").eqNullSafe(F.col("keep_file"))
+            & F.col("own_row").eqNullSafe(F.col("keep_row")))
+    return rows.join(stay, same, "left_semi").select("all.*")

@@ -30,9 +30,10 @@ cand AS (
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.s + c.size AND c.s < b.s + b.size)),
 held AS (SELECT DISTINCT doc_id, value FROM (SELECT doc_id, value FROM base UNION ALL SELECT doc_id, value FROM cand) x),
 spread AS (
-  SELECT value, count(DISTINCT coalesce('s' || source, 'none')) AS owners
+  SELECT value, count(DISTINCT coalesce('s' || source, 'none')) AS owners,
+         count(DISTINCT (coalesce('s' || source, 'none'), doc_id)) AS repositories
   FROM held JOIN body USING (doc_id) GROUP BY value),
-live AS (SELECT * FROM cand JOIN spread USING (value) WHERE owners < 2),
+live AS (SELECT * FROM cand JOIN spread USING (value) WHERE owners < 2 AND repositories < 100),
 every AS (SELECT doc_id, kind, place, s, size FROM base UNION ALL SELECT doc_id, kind, place, s, size FROM live),
 joined AS (
   SELECT doc_id, string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, place) FILTER (place < 3) AS base_text,
@@ -40,7 +41,7 @@ joined AS (
          count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS k, count(*) FILTER (place = 2) AS h,
          count(*) FILTER (place = 3) AS l
   FROM every GROUP BY doc_id),
-example AS (SELECT doc_id, count(*) AS n FROM held JOIN spread USING (value) WHERE owners >= 2 GROUP BY doc_id)
+example AS (SELECT doc_id, count(*) AS n FROM held JOIN spread USING (value) WHERE owners >= 2 OR repositories >= 100 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
        sha256(coalesce(base_text, '')) AS base_sha256, coalesce(spans, '') AS spans,
        coalesce(l, 0) AS n_live, coalesce(n, 0) AS n_example

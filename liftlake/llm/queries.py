@@ -29,8 +29,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the query's SQL decides by owners alone
-    return _secrets.secret_scan(_table(spark, sf_dir, "documents"), example_repositories=None).drop("spread")
+    return _secrets.secret_scan(_table(spark, sf_dir, "documents")).drop("spread")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
