@@ -29,6 +29,10 @@ _ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
+#: On a mounted file system the default manager of checkpoint files asks a new
+#: process (a copy of the executor's) about every file; this one does not.
+_MOUNTED = {"spark.sql.streaming.checkpointFileManagerClass":
+            "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 #: Files that one micro-batch takes, at most; the state carries over.
 FILES_PER_BATCH = 10_000
 
@@ -79,8 +83,9 @@ def keyed_state(stream: DataFrame, spark: SparkSession) -> DataFrame:
     def put(changed: DataFrame, number: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in _ROCKS}
-    for k, v in _ROCKS.items():
+    settings = _ROCKS | (_MOUNTED if at.startswith(("file:", "/")) else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         (state.writeStream.outputMode("update").option("checkpointLocation", at)
