@@ -64,3 +64,21 @@ def test_ranks_against_duckdb(spark):
         cur = con.execute(E.oracle_sql()[name])
         dcols = [d[0] for d in cur.description]
         assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(dcols, cur.fetchall())[0], name
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The other queries are there when the subpackage is not, with and without
+    the pipeline's file."""
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "liftlake"), tmp_path / "liftlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(k.startswith('op') for k in q), set(e.oracle_sql()) <= set(q))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+    assert got.returncode == 0, got.stderr
+    n, *rest = got.stdout.split()
+    assert int(n) >= 110 and rest == ["False", "False", "True"]
