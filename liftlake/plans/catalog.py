@@ -954,6 +954,11 @@ def q_e3(spark, sf):
     return ML.latest_per_set(fct(spark, sf), FX.AS_OF)
 
 
+@register("E4_latest_per_set_number")
+def q_e4(spark, sf):
+    return ML.latest_per_set_number(fct(spark, sf), "user_1", "red_widget")
+
+
 @register("O7_fallback_suggest")
 def q_o7(spark, sf):
     return ML.fallback_suggest(fct(spark, sf))
@@ -969,6 +974,16 @@ def q_o4(spark, sf):
     return ML.evaluate_predictor(trained_model(spark, sf), ML.training_pairs(fct(spark, sf)))
 
 
+@register("O4_evaluate_fixed")
+def q_o4_fixed(spark, sf):
+    """The scores of a plain rule in the model's place: the weight before, a
+    thirty-second more for odd sets; every seventh pair has no prediction."""
+    pairs = ML.training_pairs(fct(spark, sf), keep_keys=True)
+    n = F.col("set_number") + F.dayofmonth("training_date")
+    return ML.evaluate(pairs.withColumn("predicted_next_weight_kg", F.when(
+        n % 7 != 0, F.col("prev_weight_kg") * F.when(n % 2 == 1, 1.03125).otherwise(1.0))))
+
+
 @register("I14_m_ml_suggestion")
 def q_i14(spark, sf):
     return ML.m_ml_suggestion(fct(spark, sf), trained_model(spark, sf), FX.AS_OF)
@@ -1001,6 +1016,13 @@ def q_zone_trunc(spark, sf):
                       H.zone_truncated_timestamp(ts, "day").cast("timestamp_ntz").alias("day_start_utc"))
 
 
+@register("H10_today_in_zone")
+def q_today(spark, sf):
+    """Days from every user's last training to today in Tokyo."""
+    last = raw_log(spark, sf).groupBy("user_id").agg(F.max("training_date").alias("last_day"))
+    return last.select("user_id", "last_day", H.days_between(H.today_in_zone(), "last_day").alias("days_ago"))
+
+
 @register("M10_merge_same_day")
 def q_merge_same_day(spark, sf):
     lt, u = _last_training(spark, sf), users(spark, sf)

@@ -80,14 +80,20 @@ def train_predictor(pairs: DataFrame, trials: int = 5, max_iter: int = 50, seed:
     return model
 
 
+def evaluate(predicted: DataFrame, label: str = LABEL, prediction: str = "predicted_next_weight_kg") -> DataFrame:
+    """MAE, MSE and R2 (against the labels' mean) of a prediction column as
+    one row, in one aggregate; rows without a label or a prediction are left
+    out, and R2 is NULL where the labels do not vary."""
+    y, e = F.col(label).cast("double"), F.col(label).cast("double") - F.col(prediction)
+    return (predicted.where(y.isNotNull() & F.col(prediction).isNotNull())
+            .agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop(y).alias("_v"))
+            .select("mae", "mse", F.when(F.col("_v") != 0, 1 - F.col("mse") / F.col("_v")).alias("r2")))
+
+
 def evaluate_predictor(model, pairs: DataFrame) -> DataFrame:
     """MAE, MSE and R2 of the model on ``pairs`` as one row."""
-    from pyspark.ml.evaluation import RegressionEvaluator
     data = pairs.select(*[F.col(c).cast("double").alias(c) for c in FEATURES + [LABEL]])
-    pred = model.transform(data)
-    vals = {m: RegressionEvaluator(labelCol=LABEL, predictionCol="predicted_next_weight_kg",
-                                   metricName=m).evaluate(pred) for m in ("mae", "mse", "r2")}
-    return pairs.sparkSession.createDataFrame([(vals["mae"], vals["mse"], vals["r2"])], "mae double, mse double, r2 double")
+    return evaluate(model.transform(data))
 
 
 def latest_per_set(fct: DataFrame, as_of=None) -> DataFrame:
