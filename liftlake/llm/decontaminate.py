@@ -127,7 +127,7 @@ class Block:
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
     """The items in blocks, read partition by partition."""
     ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
     for row in rows.toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
@@ -171,21 +171,25 @@ def _scan(rows: DataFrame, block: Block | None) -> DataFrame:
         h, first = words(*byte_view(column(part, "text")), ALNUM_SPLIT)
         starts, doc = _flat(part, "_starts")
         ends, _ = _flat(part, "_ends")
-        items, item_doc = _flat(part, "_items")
+        own = column(part, "_items")
+        items = np.array(own.flatten().to_pylist(), object)
+        item_doc = np.repeat(np.arange(n), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         if shared.value is not None:
             s, e, item = shared.value.hits(h, first)
             d = _owner(first)[s] if len(s) else s
             pair = np.unique(np.stack([d, item], 1), axis=0) if len(d) else np.zeros((0, 2), np.int64)
             starts, ends, doc = (np.concatenate(x) for x in ((starts, s - first[d]), (ends, e - first[d]), (doc, d)))
-            items = np.concatenate([items, shared.value.ids[pair[:, 1]].astype(np.int64)])
-            item_doc = np.concatenate([item_doc, pair[:, 0]])
-            order = np.lexsort((items, item_doc))
+            # an item without an id hits words, but has no id to list
+            ids = shared.value.ids[pair[:, 1]]
+            named = np.array([i is not None for i in ids], bool)
+            items, item_doc = np.concatenate([items, ids[named]]), np.concatenate([item_doc, pair[named, 0]])
+            order = np.argsort(item_doc, kind="stable")
             items, item_doc = items[order], item_doc[order]
         starts, ends, doc = _merged(starts, ends, doc)
         new = {"_n_words": pa.array(np.diff(first), pa.int64()),
                "_starts": lists(starts, np.bincount(doc, minlength=n), pa.int64()),
                "_ends": lists(ends, np.bincount(doc, minlength=n), pa.int64()),
-               "_items": lists(items, np.bincount(item_doc, minlength=n), pa.int64())}
+               "_items": lists(items, np.bincount(item_doc, minlength=n), pa.string())}
         yield pa.RecordBatch.from_arrays([new.get(c, column(part, c)) for c in part.schema.names], names=part.schema.names)
     return map_slices(rows, run, rows.schema)
 
@@ -194,7 +198,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WO
     """All columns of ``docs`` and _n_words, _starts, _ends (merged hit spans, in
     words) and _items (ids of the items hit); no shuffle, whatever the blocks."""
     none = F.expr("cast(array() as array<bigint>)")
-    rows = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_starts": none, "_ends": none, "_items": none})
+    rows = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_starts": none, "_ends": none,
+                             "_items": F.expr("cast(array() as array<string>)")})
     any_block = False
     for block in _blocks(benchmark, block_words):
         rows, any_block = _scan(rows, block), True
@@ -215,18 +220,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 
     A document is contaminated if it has a hit and at least a twentieth of its
     words is hit.  Null, empty and word-free texts have no words and are
-    clean; a null or empty item has no window and matches nothing, an item
-    without an id is left out; repeated rows are judged each on its own; empty
+    clean; a null or empty item has no window and matches nothing; the words of
+    an item without an id are hit, but it is not listed; ids may be numbers or
+    text, and several items of one id are one; repeated rows are judged each on its own; empty
     tables give empty (documents) or all-clean (benchmark) results.  Only
     doc_id and text, and item_id and text, are read, so other columns of any
     name do not matter.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ids = F.array_sort(F.transform("_items", lambda x: x.cast("string")))
+    ids = F.array_sort(F.array_distinct("_items"))
     return with_hits(docs, benchmark, block_words).select(
-        "doc_id", F.col("_n_words").alias("n_words"), _n_hit().alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        "doc_id", F.col("_n_words").alias("n_words"), _n_hit().alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), _contaminated().alias("contaminated"),
-        F.col("_items").alias("items"), F.col("_starts").alias("starts"), F.col("_ends").alias("ends"))
+        ids.alias("items"), F.col("_starts").alias("starts"), F.col("_ends").alias("ends"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

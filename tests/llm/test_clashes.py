@@ -24,3 +24,14 @@ def test_unions_of_scans(spark, documents, rows):
     assert got == brute.exact(rows)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(both).collect()}
     assert found == brute.jaccard(rows)
+
+
+def test_items_without_ids_and_with_text_ids(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words), (2, "other words only")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words[:60]), ("gsm-1", words), ("gsm-1", words), ("z", "other words only")], "item_id string, text string")
+    for block in (10 ** 6, 5):                                   # one block, a block for each item
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items, r.contaminated) for r in decontaminate.decontaminate(docs, items, block).collect()}
+        assert got == {1: (30, 1, ["gsm-1"], True), 2: (3, 1, ["z"], True)}
+    nameless = decontaminate.decontaminate(docs, items.where("item_id is null"))
+    assert {r.doc_id: (r.n_hit > 12, r.n_items, r.contaminated) for r in nameless.collect()} == {1: (True, 0, True), 2: (False, 0, False)}
