@@ -58,13 +58,32 @@ class Words:
     chars: np.ndarray       # bytes of all words, padded by REACH + 1 zeros between
     start: np.ndarray       # first position of each word (its mark)
     size: np.ndarray        # with both marks
-    letters: np.ndarray     # without the characters that only make gaps, with both marks
     text: np.ndarray        # index of the text
     hashed: np.ndarray
 
 
-def cut_words(raw: np.ndarray, off: np.ndarray) -> Words:
+def _folded(raw: np.ndarray) -> np.ndarray:
+    """The kernel's characters of UTF-8 bytes; accented capitals are folded too."""
     c = _CHAR[raw]
+    # U+00C0 to U+00DE but the multiplication sign: C3 80-9E, small ones are C3 A0-BE
+    second = np.flatnonzero((raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)) + 1
+    c[second] += 0x20
+    return c
+
+
+def _runs_joined(c: np.ndarray, raw: np.ndarray, off: np.ndarray, s: np.ndarray, e: np.ndarray):
+    """Neighbouring words of one letter each, with one white space between, are
+    one word whose white space makes gaps."""
+    letters = np.r_[0, np.cumsum(((raw & 0xC0) != 0x80) & (c > 1))]
+    single = (letters[e] - letters[s] == 1) & (e - s <= 4)
+    text = np.searchsorted(off, s, side="right")
+    tied = single[:-1] & single[1:] & (s[1:] - e[:-1] == 1) & (text[1:] == text[:-1])
+    c[e[:-1][tied]] = 1
+    return s[np.r_[True, ~tied]], e[np.r_[~tied, True]]
+
+
+def cut_words(raw: np.ndarray, off: np.ndarray) -> Words:
+    c = _folded(raw)
     inside = c > 0
     lead = inside.copy()
     lead[1:] &= ~inside[:-1]
@@ -74,6 +93,8 @@ def cut_words(raw: np.ndarray, off: np.ndarray) -> Words:
     lead[off[:-1][some]] = inside[off[:-1][some]]
     ends[off[1:][some] - 1] = inside[off[1:][some] - 1]
     s, e = np.flatnonzero(lead), np.flatnonzero(ends) + 1
+    if len(s) > 1:
+        s, e = _runs_joined(c, raw, off, s, e)
     n = e - s
     # each word: mark 2, its characters, mark 2, then zeros that end all reach
     step = n + 2 + 2 * REACH
@@ -88,8 +109,7 @@ def cut_words(raw: np.ndarray, off: np.ndarray) -> Words:
     power = mix64(np.arange(1, 258, dtype=np.uint64))[:256]
     value = power[letters] * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1))
     h = np.add.reduceat(value, np.cumsum(n) - n) if len(n) else np.zeros(0, np.uint64)
-    real = np.add.reduceat((letters > 1).astype(np.int64), np.cumsum(n) - n) if len(n) else n
-    return Words(out, at, n + 2, real + 2, np.searchsorted(off, s, side="right") - 1, mix64(h + n.astype(np.uint64)))
+    return Words(out, at, n + 2, np.searchsorted(off, s, side="right") - 1, mix64(h + n.astype(np.uint64)))
 
 
 def _code(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -109,31 +129,36 @@ def _subsequences(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         yield _code(c[ok], c[ok + a], c[ok + a + b]), ok, DECAY ** (a + b - 2)
 
 
-def _length(size: np.ndarray) -> np.ndarray:
-    """What a word's kernel values are divided by: the norm that a word of so
-    many characters has if no subsequence occurs in it twice."""
-    n = np.maximum(size, 3)
-    return np.sqrt(sum(np.maximum(n - a - b, 0) * DECAY ** (2 * (a + b - 2)) for a, b in _GAPS))
+#: Least length that a word's kernel values are divided by: that of one subsequence.
+SHORTEST = 1.0
 
 
 def word_values(w: Words, weight: np.ndarray) -> np.ndarray:
-    """The trained value of every word: its subsequences' weights."""
-    total = np.zeros(len(w.chars) + 1)
-    gathered = np.zeros(len(w.chars))
+    """The trained value of every word: its subsequences' weights over the
+    word's own kernel length (as if no subsequence occurred twice), so gaps
+    scale both alike."""
+    total, norm = np.zeros(len(w.chars) + 1), np.zeros(len(w.chars) + 1)
+    gathered, square = np.zeros(len(w.chars)), np.zeros(len(w.chars))
     for code, at, scale in _subsequences(w):
         gathered[at] += weight[code] * scale
+        square[at] += scale * scale
     np.cumsum(gathered, out=total[1:])
-    return (total[w.start + w.size] - total[w.start]) / _length(w.letters)
+    np.cumsum(square, out=norm[1:])
+    end = w.start + w.size
+    return (total[end] - total[w.start]) / np.sqrt(np.maximum(norm[end] - norm[w.start], SHORTEST))
 
 
 def explicit(words: list[bytes]) -> np.ndarray:
     """Subsequence vectors of a few words, divided by their lengths."""
-    raw = np.frombuffer(b" ".join(words), np.uint8)
-    w = cut_words(raw, np.array([0, len(raw)]))
+    at = np.cumsum([0, *map(len, words)])
+    w = cut_words(np.frombuffer(b"".join(words), np.uint8), at)
     out = np.zeros((len(w.start), 1 << _BITS), np.float32)
+    square = np.zeros(len(w.start))
     for code, at, scale in _subsequences(w):
-        np.add.at(out, (np.searchsorted(w.start, at, side="right") - 1, code), scale)
-    return out / _length(w.letters)[:, None]
+        row = np.searchsorted(w.start, at, side="right") - 1
+        np.add.at(out, (row, code), scale)
+        square += np.bincount(row, minlength=len(square)) * scale * scale
+    return out / np.sqrt(np.maximum(square, SHORTEST))[:, None]
 
 
 def top_values(value: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
