@@ -5,12 +5,13 @@ a subsequence may skip up to ``REACH - 1`` characters between its letters, and
 each skipped character scales it down by ``DECAY`` (the gap-weighted kernel of
 Lodhi et al. 2002 with bounded gaps), so an insult with characters put in
 between stays close to the insult.  Kernel values are divided by both words'
-lengths.  Nyström landmarks, words of the training texts, give finite
+own lengths, so gaps scale a word and its length alike.  Nyström landmarks, words of the training texts, give finite
 features; a linear SVM (squared hinge) is trained on words in place of
 sentences: words of clean texts are negatives, words with evidence over whole
 toxic texts are positives, among them those that are the most toxic of their
-text, chosen anew in every round.  White space ends a word and is no gap, so
-spaced-out insults and abuse of several words are missed.  Because the features are linear in kernel values, the trained SVM is
+text, chosen anew in every round.  White space ends a word, except between
+words of one letter each, where it is a gap (``i d i o t``); abuse that only
+several longer words make is missed.  Because the features are linear in kernel values, the trained SVM is
 one weight for each subsequence, and whole texts are scored with array
 operations.  A text's score is a logistic function, fitted on the training
 texts, of its most toxic words' values.

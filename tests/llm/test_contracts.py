@@ -315,3 +315,14 @@ def test_personal_repeats_in_other_writing():
     assert added("a1@b.c and a1 @ b.c not a1bc") == [("email", "a1 @ b.c")]
     assert added("10.0.0.1 is 10[.]0[.]0[.]1 not 10001") == [("ip", "10[.]0[.]0[.]1")]
     assert added("4111 1111 1111 1111 and 2020 1111 4111 5550109999") == []
+
+
+def test_secrets_many_candidates_in_a_text(spark):
+    # 4,000 candidates, some inside base spans, across the parts of a walk
+    many = " ".join(f"key{i:05d}abcdefghijklmnop" if i % 3 else f"token={i:06d}abcdefghijklmnopqr" for i in range(4000))
+    texts = [many, many.replace(" ", "\n"), "plain"]
+    got = by_id(secrets.secret_scan(frame(spark, texts), example_owners=3, example_repositories=None), "n_assign", "base_sha256", "n_live", "n_example")
+    for i, t in enumerate(texts):
+        a, _, _, joined = brute.secrets(t)
+        assert got[i][:2] == (a, brute.sha(joined))
+    assert [got[i][2] for i in range(3)] == [2666, 2666, 0] and got[0][3] == 0

@@ -62,6 +62,31 @@ def test_toxicity(spark, edge, empty):
     assert {r.score for r in toxicity.score(edge, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_finds_spaced_and_dotted_texts(spark):
+    docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
+    rows = (docs.select("doc_id", "text", "lang").join(labels.select("doc_id", "toxic"), "doc_id")
+            .where("text is not null and toxic is not null and lang = 'en'").orderBy("doc_id").collect())
+    learnt = [r for r in rows if crc(r.doc_id) % 5]
+    model = toxicity.fit([r.text for r in learnt], np.array([r.toxic for r in learnt]))
+    texts, label = [r.text for r in rows], np.array([r.toxic for r in rows])
+    bad = [t for t, y in zip(texts, label) if y == 1]
+    plain = model.scores(pa.array(bad, pa.large_string())) >= 0.5
+    assert plain.mean() >= 0.9
+    assert (model.scores(pa.array([t for t, y in zip(texts, label) if y == 0], pa.large_string())) < 0.5).mean() > 0.99
+    for sep in (" ", "."):
+        got = model.scores(pa.array([sep.join(t) for t in bad], pa.large_string())) >= 0.5
+        assert got.mean() >= 0.85, sep
+
+
+def test_toxicity_words():
+    texts = pa.array(["i d i o t x yz", "a\nb", "é c", "a", " a", None, "", "ÉTÉ été", "a  b"], pa.large_string())
+    w = toxicity.cut_words(*pieces.byte_view(texts))
+    got = [(int(t), w.chars[a + 1:a + n - 1].tobytes()) for t, a, n in zip(w.text, w.start, w.size)]
+    fold = "été".encode()
+    assert got == [(0, b"i\1d\1i\1o\1t\1x"), (0, b"yz"), (1, b"a\1b"), (2, "é".encode() + b"\1c"), (3, b"a"), (4, b"a"),
+                   (7, fold), (7, fold), (8, b"a"), (8, b"b")]
+
+
 def test_toxicity_tolerates_inserted_characters():
     clean = [f"the nation was {w} and the idea of {w} stood in the station there" for w in "red blue green north south old new warm cold kind".split()] * 4
     toxic = [t.replace("stood", "idiot").replace("idea", "moron") for t in clean]
