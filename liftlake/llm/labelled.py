@@ -18,7 +18,10 @@ def sample(docs: DataFrame, label: DataFrame, parts: int, kept_out: int, per_cla
     and of several labels of a document the smallest counts.  The rows of a
     class are taken in the order of a hash of the id, so the choice does not
     depend on partitioning; the limit is applied before the shuffle as well
-    (WindowGroupLimit), so a class of any size never meets in one task.
+    (WindowGroupLimit), so of a class of any size a task gets at most
+    ``per_class`` rows from each task before it.  Of several rows of one id the
+    smallest text counts, found before the shuffle as far as possible, so the
+    bound holds however often an id repeats; null texts come only alone.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (label.where("doc_id is not null and label is not null")
@@ -28,4 +31,5 @@ def sample(docs: DataFrame, label: DataFrame, parts: int, kept_out: int, per_cla
               .where(F.col("place") <= per_class).select("doc_id", "label"))
     # the sample is bounded by per_class rows a class, so it may be broadcast
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .join(F.broadcast(chosen), "doc_id"))
+            .join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"))

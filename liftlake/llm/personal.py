@@ -30,6 +30,8 @@ from liftlake.llm.words import byte_view
 
 #: Texts that the field's weights are fitted on, at most.
 SAMPLE_TEXTS = 2000
+#: Characters of a text of that sample, at most.
+SAMPLE_LONGEST = 20_000
 #: Belief above which an unmatched word becomes a span.
 BELIEF = 0.9
 ROUNDS = 12
@@ -321,13 +323,16 @@ def fit(texts: list[str], ridge: float = 1.0, steps: int = 300) -> Field | None:
     return Field(w, _agreement(y, chain, k, 20.0), _agreement(y, skip, k, 20.0))
 
 
-def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Field | None:
+def train(docs: DataFrame, texts: int = SAMPLE_TEXTS, longest: int = SAMPLE_LONGEST) -> Field | None:
     """Fit on the ``texts`` documents with a digit or at sign whose hashed id is
-    smallest (a bounded sample; the labels are the base patterns' own)."""
-    chosen = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text rlike '[0-9@]' and length(text) <= 20000")
-              .select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts).distinct())
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").collect()
-    return fit(sorted(r.text for r in rows if r.text is not None))
+    smallest (a bounded sample; the labels are the base patterns' own), each of
+    at most ``longest`` characters; of several such rows of an id the smallest
+    text counts."""
+    fit_for = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+               .where("doc_id is not null and text rlike '[0-9@]'").where(F.length("text") <= longest))
+    chosen = fit_for.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts).distinct()
+    rows = fit_for.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return fit(sorted(r.text for r in rows))
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:

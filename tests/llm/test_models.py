@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from liftlake.llm import language, pieces, quality, toxicity
+from liftlake.llm import language, personal, pieces, quality, toxicity
 from liftlake.llm.labelled import sample
 
 from .conftest import EDGE_TEXTS
@@ -106,6 +106,14 @@ def test_samples_are_bounded_and_leave_the_fold_out(spark, documents):
     assert max(counts.values()) == 7
 
 
+def test_samples_are_bounded_for_repeated_ids(spark):
+    rows = [(1, f"text {i:03d} 12345", "en") for i in range(500)] + [(2, None, "en"), (2, "b@c.de", "en"), (3, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sample(docs.select("doc_id", "text"), docs.select("doc_id", "label"), 5, 9, 7).collect()
+    assert sorted((r.doc_id, r.text, r.label) for r in got) == [(1, "text 000 12345", "en"), (2, "b@c.de", "en"), (3, None, "en")]
+    assert personal.train(docs, texts=7) is not None
+
+
 def test_pieces_round_trip(documents, edge, empty):
     for docs in (documents, edge):
         found = pieces.encode(docs)
