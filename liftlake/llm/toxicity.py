@@ -59,6 +59,7 @@ class Words:
     chars: np.ndarray       # bytes of all words, padded by REACH + 1 zeros between
     start: np.ndarray       # first position of each word (its mark)
     size: np.ndarray        # with both marks
+    letters: np.ndarray     # without the characters that only make gaps, with both marks
     text: np.ndarray        # index of the text
     hashed: np.ndarray
 
@@ -110,7 +111,8 @@ def cut_words(raw: np.ndarray, off: np.ndarray) -> Words:
     power = mix64(np.arange(1, 258, dtype=np.uint64))[:256]
     value = power[letters] * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1))
     h = np.add.reduceat(value, np.cumsum(n) - n) if len(n) else np.zeros(0, np.uint64)
-    return Words(out, at, n + 2, np.searchsorted(off, s, side="right") - 1, mix64(h + n.astype(np.uint64)))
+    real = np.add.reduceat((letters > 1).astype(np.int64), np.cumsum(n) - n) if len(n) else n
+    return Words(out, at, n + 2, real + 2, np.searchsorted(off, s, side="right") - 1, mix64(h + n.astype(np.uint64)))
 
 
 def _code(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -134,19 +136,32 @@ def _subsequences(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
 SHORTEST = 1.0
 
 
+def _length(w: Words) -> np.ndarray:
+    """Every word's kernel length, as if no subsequence occurred twice: a closed
+    form of its size, but for words with gaps, whose subsequences are counted."""
+    square = sum(np.maximum(w.size - a - b, 0) * DECAY ** (2 * (a + b - 2)) for a, b in _GAPS).astype(float)
+    gaps = np.flatnonzero(w.letters != w.size)
+    if len(gaps):
+        step = w.size[gaps] + 2 * REACH
+        at = np.cumsum(step) - step
+        real = w.chars[np.repeat(w.start[gaps] - at, step) + np.arange(int(step.sum()))] > 1
+        counted = np.zeros(len(real))
+        for a, b in _GAPS:
+            n = len(real) - a - b
+            counted[:n] += (real[:n] & real[a:a + n] & real[a + b:a + b + n]) * DECAY ** (2 * (a + b - 2))
+        square[gaps] = np.add.reduceat(counted, at)
+    return np.sqrt(np.maximum(square, SHORTEST))
+
+
 def word_values(w: Words, weight: np.ndarray) -> np.ndarray:
     """The trained value of every word: its subsequences' weights over the
-    word's own kernel length (as if no subsequence occurred twice), so gaps
-    scale both alike."""
-    total, norm = np.zeros(len(w.chars) + 1), np.zeros(len(w.chars) + 1)
-    gathered, square = np.zeros(len(w.chars)), np.zeros(len(w.chars))
+    word's own kernel length, so gaps scale both alike."""
+    total = np.zeros(len(w.chars) + 1)
+    gathered = np.zeros(len(w.chars))
     for code, at, scale in _subsequences(w):
         gathered[at] += weight[code] * scale
-        square[at] += scale * scale
     np.cumsum(gathered, out=total[1:])
-    np.cumsum(square, out=norm[1:])
-    end = w.start + w.size
-    return (total[end] - total[w.start]) / np.sqrt(np.maximum(norm[end] - norm[w.start], SHORTEST))
+    return (total[w.start + w.size] - total[w.start]) / _length(w)
 
 
 def explicit(words: list[bytes]) -> np.ndarray:
@@ -154,12 +169,9 @@ def explicit(words: list[bytes]) -> np.ndarray:
     at = np.cumsum([0, *map(len, words)])
     w = cut_words(np.frombuffer(b"".join(words), np.uint8), at)
     out = np.zeros((len(w.start), 1 << _BITS), np.float32)
-    square = np.zeros(len(w.start))
     for code, at, scale in _subsequences(w):
-        row = np.searchsorted(w.start, at, side="right") - 1
-        np.add.at(out, (row, code), scale)
-        square += np.bincount(row, minlength=len(square)) * scale * scale
-    return out / np.sqrt(np.maximum(square, SHORTEST))[:, None]
+        np.add.at(out, (np.searchsorted(w.start, at, side="right") - 1, code), scale)
+    return out / _length(w)[:, None]
 
 
 def top_values(value: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
