@@ -87,3 +87,32 @@ def test_empty_batches(spark, scratch):
     write_upsert(spark, _log(spark, [("a", None, None, 1)]), path, ["log_id"], "training_date")
     assert write_upsert(spark, _log(spark, []), path, ["log_id"], "training_date")["folders"] == 0
     assert [r.v for r in spark.read.schema("v long").parquet(path).collect()] == [1]
+
+
+def test_keys_of_a_large_batch_are_not_broadcast(spark, scratch):
+    """Files that compress well say nothing of the rows that the driver would hold."""
+    from liftlake.operators.joins import BROADCAST_ROWS
+    from liftlake.operators.upsert import merge_upsert
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+    spark.range(1000).selectExpr("'a long key, always the same' AS k", "id AS v").write.parquet(f"{scratch}/d")
+    rows = spark.read.parquet(f"{scratch}/d")
+    assert "Broadcast" in plan(merge_upsert(rows, rows, ["k"], rows=1000))
+    assert "Broadcast" not in plan(merge_upsert(rows, rows, ["k"], rows=BROADCAST_ROWS + 1))
+    # nothing is there yet: no join at all
+    assert "Join" not in plan(merge_upsert(rows.limit(0), rows, ["k"], rows=1000))
+
+
+def test_upsert_of_a_large_batch(spark, scratch, monkeypatch):
+    from liftlake.operators import joins
+    monkeypatch.setattr(joins.broadcast_if_few, "__defaults__", (1,))
+    raw = spark.createDataFrame(log_rows(BATCH16), schemas.TRAINING_LOG)
+    full = M.stg_training_log(raw, tiebreak=())
+    write_upsert(spark, full, f"{scratch}/t", ["log_id"], "training_date")
+    first = _read(spark, f"{scratch}/t")
+    heavier = full.withColumn("weight_kg", F.col("weight_kg") + 1)
+    write_upsert(spark, heavier, f"{scratch}/t", ["log_id"], "training_date")
+    write_upsert(spark, heavier, f"{scratch}/t", ["log_id"], "training_date")
+    again = _read(spark, f"{scratch}/t")
+    assert len(again) == len(first) == full.count() and again != first
