@@ -3,27 +3,32 @@
 A document's strength is a linear function of surface features of its whole
 text.  The chance that one document is preferred to another is the logistic
 function of the difference of their strengths, so the weights are learned by
-logistic loss on feature differences of preference pairs (a text of label 1
-against one of label 0).  The cut between keep and reject is a quantile of the
-strengths: the share of label 0 among the labelled training rows.
+logistic loss on feature differences of preference pairs: every labelled text
+of label 1 against every one of label 0, outside the held-out fold.  A row's
+part in the sums over its pairs depends on its own strength and on how the
+other class's strengths are distributed, so a pass over the rows gives the sums
+over all pairs.  The cut between keep and reject is a quantile of the strengths:
+the share of label 0 among the training rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from liftlake.llm.labelled import fold, sample
-from liftlake.llm.runtime import column, lists, map_slices
+from liftlake.llm.labelled import fold, learnt
+from liftlake.llm.runtime import column, lists, map_slices, written
 from liftlake.llm.words import SPACE_SPLIT, byte_view, shingles, words
+from liftlake.operators.ordered import positions
 
-#: Labelled rows of each class that the ranking is fitted on, at most.
-SAMPLE_PER_CLASS = 4000
-PAIRS = 40_000
+#: Distance of the points that strengths of the other class are counted at (a
+#: row counts at both points beside it, by its distance to them), and the
+#: points for one cell of the sums that only steer the steps.
+CELL, CELLS = 1 / 64, 8
 FOLDS, HELD_OUT = 3, 1
 
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ",
@@ -76,56 +81,147 @@ class Ranking:
     weights: np.ndarray
     cut: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        s = np.clip((x - self.mean) / self.spread, -6, 6) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(s - self.cut, -500, 500)))
-
+    def strength(self, x: np.ndarray) -> np.ndarray:
+        return _scaled(x, self.mean, self.spread) @ self.weights
 
-def fit(x: np.ndarray, y: np.ndarray, share_of_0: float, ridge: float = 1e-2, seed: int = 7) -> Ranking | None:
-    """Weights from preference pairs (Newton steps); None without both classes."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.cut, -500, 500)))
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / spread, -6, 6)
+
+
+def _totals(rows: DataFrame, fn: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sums over all rows (label, x).  ``fn(x, label)`` gives parts (number,
+    places, values); the result has the places of each part and their sums.
+    Tasks add up their batches first, so the sums alone reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = column(batch, "x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for part, at, v in fn(x, column(batch, "label").to_numpy()):
+                low, size = int(at.min()), int(at.max() - at.min()) + 1
+                begin, held = total.get(part, (low, np.zeros(0)))
+                first, last = min(begin, low), max(begin + len(held), low + size)
+                grown = np.zeros(last - first)
+                grown[begin - first:begin - first + len(held)] = held
+                grown[low - first:low - first + size] += np.bincount(at - low, v, size)
+                total[part] = first, grown
+        for part, (first, held) in total.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), pa.array(at + first), pa.array(held[at])],
+                                             names=["part", "at", "v"])
+    found = rows.mapInArrow(run, "part int, at long, v double").groupBy("part", "at").agg(F.sum("v")).collect()
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for part in {r[0] for r in found}:
+        mine = sorted((r[1], r[2]) for r in found if r[0] == part)
+        out[part] = np.array([at for at, _ in mine], np.int64), np.array([v for _, v in mine])
+    return out
+
+
+def _dense(total: tuple[np.ndarray, np.ndarray] | None, first: int, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    if total is not None:
+        out[total[0] - first] = total[1]
+    return out
+
+
+def _chance(s: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+
+
+def _between(rows: DataFrame, scaled: Callable[[np.ndarray], np.ndarray], w: np.ndarray, pairs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature in ``w`` of the mean logistic loss of all pairs."""
+    d = len(w)
+
+    def spread_out(x: np.ndarray, label: np.ndarray):
+        s = scaled(x) @ w / CELL
+        low = np.floor(s).astype(np.int64)
+        for k in (0, 1):
+            mine = label == k
+            if mine.any():
+                yield k, np.concatenate([low[mine], low[mine] + 1]), np.concatenate([1 - (s - low)[mine], (s - low)[mine]])
+    counts = _totals(rows, spread_out)
+    first = min(int(at[0]) for at, _ in counts.values())
+    size = max(int(at[-1]) for at, _ in counts.values()) - first + 1
+    # of each point: the sums, over the rows of the other class, of the chance
+    # that the pair stands the wrong way round, and of that chance's slope
+    wrong = _chance(np.arange(1 - size, size) * CELL)
+    slope = wrong * (1 - wrong)
+    good, bad = _dense(counts.get(1), first, size), _dense(counts.get(0), first, size)
+    chance = [np.convolve(good, wrong)[size - 1:2 * size - 1], np.convolve(bad, wrong[::-1])[size - 1:2 * size - 1]]
+    curve = [np.convolve(good, slope)[size - 1:2 * size - 1], np.convolve(bad, slope)[size - 1:2 * size - 1]]
+    points = np.arange(first, first + size) * CELL
+
+    def sums(x: np.ndarray, label: np.ndarray):
+        z = scaled(x)
+        s = z @ w
+        for k in (0, 1):
+            mine, at = z[label == k], s[label == k]
+            if len(mine):
+                yield 2, np.arange(d), (2 * k - 1) * (np.interp(at, points, chance[k]) @ mine)
+                yield 3, np.arange(d * d), ((mine * np.interp(at, points, curve[k])[:, None]).T @ mine).ravel()
+                cell = np.floor(at / (CELL * CELLS)).astype(np.int64)
+                yield k, (cell[:, None] * d + np.arange(d)).ravel(), mine.ravel()
+    found = _totals(rows, sums)
+    gradient = -_dense(found.get(2), 0, d) / pairs
+    crossed = np.zeros((d, d))
+    if 0 in found and 1 in found:
+        low = min(int(found[k][0][0]) // d for k in (0, 1))
+        n = max(int(found[k][0][-1]) // d for k in (0, 1)) - low + 1
+        one, zero = (_dense(found[k], low * d, n * d).reshape(n, d) for k in (1, 0))
+        p = _chance((np.arange(n)[:, None] - np.arange(n)) * (CELL * CELLS))
+        crossed = one.T @ (p * (1 - p)) @ zero
+    return gradient, (_dense(found.get(3), 0, d * d).reshape(d, d) - crossed - crossed.T) / pairs
+
+
+def fit(rows: DataFrame, ridge: float = 1e-2) -> Ranking | None:
+    """Weights from all preference pairs of the rows (label, x) by Newton steps,
+    and the cut; None without both classes."""
+    shape = _totals(rows, lambda x, label: [(0, label.astype(np.int64), np.ones(len(label))),
+                                            (1, np.arange(x.shape[1]), x.sum(0)), (2, np.zeros(1, np.int64) + x.shape[1], np.ones(1))])
+    if not shape or len(shape[0][0]) < 2:
         return None
-    mean, spread = x.mean(0), x.std(0)
+    (bad, good), d = shape[0][1], int(shape[2][0][0])
+    mean = _dense(shape[1], 0, d) / (bad + good)
+    off = _totals(rows, lambda x, label: [(0, np.arange(d), ((x - mean) ** 2).sum(0))])
+    spread = np.sqrt(_dense(off.get(0), 0, d) / (bad + good))
     spread[spread < 1e-9] = 1
-    z = np.clip((x - mean) / spread, -6, 6)
-    rng = np.random.default_rng(seed)
-    diff = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-    w = np.zeros(x.shape[1])
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return _scaled(x, mean, spread)
+    w = np.zeros(d)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -50, 50)))
-        gradient = -diff.T @ (1 - p) / PAIRS + ridge * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / PAIRS + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
+        gradient, curve = _between(rows, scaled, w, good * bad)
+        step = np.linalg.solve(curve + ridge * np.eye(d), gradient + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    s = z @ w
-    order = np.argsort(s)
-    # the sample holds its classes in other shares than the labels do
-    weight = np.where(y == 0, share_of_0 / len(bad), (1 - share_of_0) / len(good))[order]
-    at = int(np.searchsorted(np.cumsum(weight), share_of_0 - 1e-12))
-    s = s[order]
-    cut = (s[min(at, len(s) - 1)] + s[min(at + 1, len(s) - 1)]) / 2
-    return Ranking(mean, spread, w, float(cut))
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Ranking | None:
-    """Fit on a bounded sample of the labelled rows outside the held-out fold."""
+    # sums may come in any order
+    model = Ranking(mean, spread, np.round(w, 9), 0.0)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = column(batch, "x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(model.strength(x))], names=["s"])
+    placed = positions(rows.mapInArrow(strengths, "s double"), [F.asc("s")], "place")
+    model.cut = float(np.mean([r.s for r in placed.where(F.col("place").isin(int(bad), int(bad) + 1)).collect()]))
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Ranking | None:
+    """Fit on all labelled rows outside the held-out fold."""
     label = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
-    shares = (label.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-              .agg(F.avg((F.col("label") == 0).cast("int"))).first()[0])
 
     def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = features(column(part, "text"))
-        yield pa.RecordBatch.from_arrays(
-            [column(part, "doc_id"), column(part, "label"), lists(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())],
-            names=["doc_id", "label", "x"])
-    rows = map_slices(sample(docs, label, FOLDS, HELD_OUT, per_class), run, "doc_id long, label int, x array<double>").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    return fit(np.array([r.x for r in rows]), np.array([r.label for r in rows]), shares)
+        yield pa.RecordBatch.from_arrays([column(part, "label"), lists(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())],
+                                         names=["label", "x"])
+    return fit(written(map_slices(learnt(docs, label, FOLDS, HELD_OUT), run, "label int, x array<double>"), "quality-features"))
 
 
 def _scores(model: Ranking | None, texts: pa.Array) -> np.ndarray:

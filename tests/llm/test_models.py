@@ -171,3 +171,27 @@ def test_pieces_long_segment():
     ids, counts = pieces.encode_arrays(voc, text, pieces.mix64(np.arange(2, dtype=np.uint64)))
     raw, off = pieces.decode_arrays(voc, ids, counts)
     assert [raw[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:])] == text.to_pylist()
+
+
+def test_quality_learns_from_all_pairs(spark):
+    """The loss of every pair of a good and a bad row is least at the weights,
+    and the cut lies between the strengths of as many rows as are bad."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(700) < 0.4).astype(int)
+    x = rng.normal(size=(700, 3)) + y[:, None] * [1.0, 0.5, 0.0]
+    rows = spark.createDataFrame([(int(k), [float(c) for c in r]) for k, r in zip(y, x)], "label int, x array<double>")
+    model = quality.fit(rows.repartition(5))
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3)
+    gradient = -(diff * (1 / (1 + np.exp(diff @ model.weights)))[:, None]).mean(0) + 1e-2 * model.weights
+    assert np.abs(gradient).max() < 1e-5
+    s = np.sort(z @ model.weights)
+    assert abs(model.cut - s[(y == 0).sum() - 1:(y == 0).sum() + 1].mean()) < 1e-9
+    assert quality.fit(rows.where("label = 1")) is None
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    ids = [i for i in range(14000) if crc(i) % 3 != 1][:9000]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], "a text")], "doc_id long, text string")
+    rows = quality.learnt(docs, spark.createDataFrame([(i, 0) for i in ids], "doc_id long, label int"), 3, 1)
+    assert rows.count() == 9000 and rows.where(F.col("doc_id") == ids[0]).first().text == "a text"
