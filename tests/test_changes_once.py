@@ -83,3 +83,14 @@ def test_a_long_digest_in_chunks(spark):
     plan = spark.createDataFrame([("a", "L", "t", "sent", 1, "d"), ("b", "L", "t", "suppressed", None, "d")],
                                  "user_id string, line_user_id string, notification_type string, status string, position bigint, digest string")
     assert {(r.user_id, r.chunk) for r in NT.digest_deliveries(plan, chunks).collect()} == {("a", i) for i in range(4)}
+
+
+def test_every_plan_row_has_the_whole_digest(spark):
+    n = 2 * NT.CHUNK_LINES + 3
+    lines = spark.range(n).select(F.lit(1).alias("section"), F.col("id").alias("rank"), F.lit("u").alias("user_id"),
+                                  F.concat(F.lit("line "), F.col("id").cast("string")).alias("text")).repartition(5)
+    who = spark.createDataFrame([("a", "A"), ("b", "B")], "user_id string, line_user_id string")
+    plan = NT.digest_plan("d", who, 199, "weekly_ranking")
+    got = {r.user_id: r for r in NT.digest_messages(plan, NT.digest_chunks(lines, "d")).collect()}
+    assert {u: r.status for u, r in got.items()} == {"a": "sent", "b": "suppressed"}
+    assert all(r.message == "\n".join(f"line {i}" for i in range(n)) for r in got.values())
