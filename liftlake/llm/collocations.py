@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from liftlake.llm import words as _words
-from liftlake.llm.runtime import column, slices, written
+from liftlake.llm.runtime import column, slices, small_batches, written
 
 #: Longest phrase, in words.
 LONGEST = 5
@@ -36,9 +36,11 @@ LEAST = 100
 SAMPLE = 8
 #: Bits of the phrase bitmap (8 MB); with more phrases it lets more be counted.
 BITS = 1 << 26
-#: Text bytes of one round of array operations, and the distinct phrases that a
-#: task holds before it hands them on.
-SLICE, HELD = 2 << 20, 1 << 20
+#: Text bytes of one round of array operations, the distinct phrases that a task
+#: holds before it hands them on, and the rows of a batch that it hands on.
+SLICE, HELD, BATCH = 1 << 20, 1 << 20, 1 << 15
+#: Rows of phrase texts that a task gathers at least before it merges them.
+GATHERED = 1 << 17
 #: The report's length for each language.
 FIRST = 2000
 
@@ -139,7 +141,9 @@ def count_hashes(docs: DataFrame, bits: np.ndarray, old: np.ndarray | None = Non
         keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "f"])
+            for i in range(0, len(keys), BATCH):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[i:i + BATCH].view(np.int64)), pa.array(counts[i:i + BATCH])], names=["h", "f"])
         for texts in _pieces(batches):
             for _, _, h, _, had in texts.walk(bits, old, ahead and old is not None):
                 own = np.sort(h[~had])
@@ -149,10 +153,10 @@ def count_hashes(docs: DataFrame, bits: np.ndarray, old: np.ndarray | None = Non
             if len(keys) > HELD:
                 keys, counts = _merge(keys, counts)
                 if len(keys) > HELD // 2:
-                    yield out()
+                    yield from out()
                     keys, counts = keys[:0], counts[:0]
         keys, counts = _merge(keys, counts)
-        yield out()
+        yield from out()
     return docs.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
@@ -204,22 +208,28 @@ def count_phrases(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_packed(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, n = _unpacked(shared.value), [], 0
+        bits, held, n, distinct = _unpacked(shared.value), [], 0, 0
 
-        def merged() -> pa.Table:
+        def merged() -> list[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("f", "sum")])
-            return rows.select(["lang", "phrase", "size", "f_sum"]).rename_columns(["lang", "phrase", "size", "f"])
+            held.clear()
+            rows = rows.select(["lang", "phrase", "size", "f_sum"]).rename_columns(["lang", "phrase", "size", "f"])
+            pa.default_memory_pool().release_unused()
+            return rows.to_batches(max_chunksize=BATCH)
         for texts in _pieces(batches):
-            held += _texts(texts, bits)
-            n = sum(map(len, held))
-            if n > HELD:
-                # phrases that recur in the task are handed on once
-                held = merged().to_batches()
-                if sum(map(len, held)) > HELD // 2:
+            for rows in _texts(texts, bits):
+                held.append(rows)
+                n += len(rows)
+            # phrases that recur in the task are handed on once; what is held
+            # grows with the distinct phrases, not with the rows gathered
+            if n > max(GATHERED, 2 * distinct):
+                held = merged()
+                n = distinct = sum(map(len, held))
+                if distinct > HELD // 2:
                     yield from held
-                    held = []
+                    held, n, distinct = [], 0, 0
         if held:
-            yield from merged().to_batches()
+            yield from merged()
     return (docs.mapInArrow(run, "lang string, phrase string, size int, f long")
             .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")))
 
@@ -299,8 +309,10 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, sample
     ident = F.struct(F.col("doc_id").cast("long"), F.length("text")) if "doc_id" in docs.columns else F.col("text")
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), ident.alias("ident"))
-    bits, _ = frequent(docs, least, sample, F.col("ident"))
-    counts = written(count_phrases(docs.select("lang", "text"), bits).where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
+    # texts come to the tasks in small batches: a task holds one on both sides
+    with small_batches(docs.sparkSession):
+        bits, _ = frequent(docs, least, sample, F.col("ident"))
+        counts = written(count_phrases(docs.select("lang", "text"), bits).where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
     found = scored(counts, least)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the first rows of each part of a language, then of the language

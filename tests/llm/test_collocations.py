@@ -1,6 +1,7 @@
 """Collocation mining against a plain version."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,26 @@ def test_slices_agree(documents, monkeypatch):
     monkeypatch.setattr(collocations, "HELD", 500)
     assert of(collocations.collocations(documents)) == plain(documents)
     assert np.uint64(1) == collocations._U(1)
+
+
+def test_small_batches_handed_on(spark):
+    """A task hands on small batches, whatever it has gathered, and each of its
+    phrases once."""
+    class Docs:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return spark.createDataFrame([], schema)
+
+    words = 2 * collocations.GATHERED
+    rows = pa.RecordBatch.from_pydict({"text": [f"w{i}" for i in range(words)] * 2, "lang": ["en"] * (2 * words)})
+    every = np.full(collocations.BITS // 8, 255, np.uint8)
+    for count, phrase in ((collocations.count_phrases, "phrase"), (collocations.count_hashes, "h")):
+        docs = Docs()
+        count(docs, every)
+        out = list(docs.run(iter([rows])))
+        assert max(map(len, out)) <= collocations.BATCH
+        got = [x for b in out for x in b[phrase].to_pylist() if x != ""]
+        assert len(got) == len(set(got)) == words
+        assert sum(sum(b["f"].to_pylist()) for b in out) == (4 if phrase == "phrase" else 2) * words
