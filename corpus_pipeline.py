@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from liftlake.llm import decontaminate, exact, jaccard, pieces, quality
-from liftlake.llm.runtime import written
+from liftlake.llm.runtime import small_batches, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents table; the rows of the last stage."""
+    """Apply the stages to the documents table; the rows of the last stage.
+    Tasks get texts in small batches: they hold one on both sides."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{number}")
+    with small_batches(spark):
+        for number, (_, stage) in enumerate(STAGES):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{number}")
     return docs

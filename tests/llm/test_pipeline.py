@@ -35,3 +35,16 @@ def test_registered(spark):
     import __spark_entry__ as entry
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
+
+
+def test_small_batches(spark, monkeypatch):
+    """Every stage runs with small batches of texts, later work as before."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(key)))
+        return docs.limit(1)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    assert corpus_pipeline.run(spark, SF).count() == 1
+    assert seen == [1000, 1000] and spark.conf.get(key) == before
