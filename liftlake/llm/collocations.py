@@ -41,6 +41,8 @@ BITS = 1 << 26
 SLICE, HELD, BATCH = 1 << 20, 1 << 20, 1 << 15
 #: Rows of phrase texts that a task gathers at least before it merges them.
 GATHERED = 1 << 17
+#: Tasks a core that count phrase texts.
+TASKS = 2
 #: The report's length for each language.
 FIRST = 2000
 
@@ -234,6 +236,13 @@ def count_phrases(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")))
 
 
+def few_tasks(docs: DataFrame) -> DataFrame:
+    """The same rows in a few tasks for each core of the cluster.  A task hands on
+    each phrase that it meets, so with a task for each part of the input the rows
+    grow as parts times phrases; with these, as the phrases."""
+    return docs.coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def _texts(texts: Phrases, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows of ``count_phrases`` for some texts."""
     def rows(lang: np.ndarray, phrase: pa.Array, size: int, f: np.ndarray) -> pa.RecordBatch:
@@ -312,7 +321,7 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, sample
     # texts come to the tasks in small batches: a task holds one on both sides
     with small_batches(docs.sparkSession):
         bits, _ = frequent(docs, least, sample, F.col("ident"))
-        counts = written(count_phrases(docs.select("lang", "text"), bits).where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
+        counts = written(count_phrases(few_tasks(docs.select("lang", "text")), bits).where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
     found = scored(counts, least)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the first rows of each part of a language, then of the language

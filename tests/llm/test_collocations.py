@@ -97,3 +97,25 @@ def test_small_batches_handed_on(spark):
         got = [x for b in out for x in b[phrase].to_pylist() if x != ""]
         assert len(got) == len(set(got)) == words
         assert sum(sum(b["f"].to_pylist()) for b in out) == (4 if phrase == "phrase" else 2) * words
+
+
+def test_rows_handed_on_grow_with_phrases(spark, monkeypatch):
+    """The rows of the last pass do not grow with the parts of the input: a task
+    hands on its phrases once, and there are a few tasks a core."""
+    made = []
+    known = type(spark.range(1)).mapInArrow
+
+    def kept(self, run, schema, *more):
+        df = known(self, run, schema, *more)
+        if "phrase" in schema:
+            made.append(df)
+        return df
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", kept)
+    texts = [(i, "en", "one two three four. five six") for i in range(600)]
+    few, many = (spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(n) for n in (4, 60))
+    assert of(collocations.collocations(few)) == of(collocations.collocations(many)) == plain(few)
+    phrases = 4 + 3 + 2 + 1 + 2 + 1 + 1                          # the last is the row of all words
+    cores = spark.sparkContext.defaultParallelism
+    assert [df.count() for df in made] == [4 * phrases, collocations.TASKS * cores * phrases]
+    (total,) = made[1].where("size = 0").agg(F.sum("f")).first()
+    assert total == 6 * len(texts)
