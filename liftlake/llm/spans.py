@@ -24,7 +24,9 @@ same place, so all occurrences of a repeated string meet at its anchor.
 Contexts that several documents of a task share are sent once, for the
 smallest of them so far; the others' windows are marked on the spot.  Anchors found in
 ``HOT_SLICES`` slices or more (passages that a large share of all documents
-holds) go by their windows' hashes instead, which spread over all tasks.
+holds) go by their windows' hashes instead, which spread over all tasks; a task
+sends these once, too.  What a task has sent lies in a few sorted parts, so a
+slice costs no pass over all of it.
 """
 
 from __future__ import annotations
@@ -176,19 +178,50 @@ def _smallest_only(key1: np.ndarray, key2: np.ndarray, doc_id: np.ndarray) -> np
     return out
 
 
+class _Sent:
+    """Keys that a task has sent, each with the smallest document it was sent for:
+    sorted parts, each less than half as long as the one before it."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def smaller(self, key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+        """Whether a key was sent for a document smaller than ``doc_id``."""
+        out = np.zeros(len(key), bool)
+        for keys, ids in self.parts:
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out |= (keys[at] == key) & (ids[at] < doc_id)
+        return out
+
+    def add(self, key: np.ndarray, doc_id: np.ndarray) -> None:
+        if not len(key):
+            return
+        part = self._sorted(key, doc_id)
+        while self.parts and 2 * len(part[0]) >= len(self.parts[-1][0]):
+            part = self._sorted(*(np.concatenate(x) for x in zip(self.parts.pop(), part)))
+        self.parts.append(part)
+
+    @staticmethod
+    def _sorted(key: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((doc_id, key))
+        key, doc_id = key[order], doc_id[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        return key[new], doc_id[new]
+
+
 def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int, k: int) -> DataFrame:
     """Contexts of repeated anchors, windows of hot ones, and marks (see _ROW)."""
     shared = docs.sparkSession.sparkContext.broadcast((repeated, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        known = _Sent(), _Sent()
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
-                known = yield from each(part, known)
+                yield from each(part, *known)
 
-    def each(part: pa.RecordBatch, known: tuple):
-        """One slice; ``known``: contexts that the task has sent (sorted keys) and
-        the smallest document that each was sent for."""
+    def each(part: pa.RecordBatch, known: _Sent, windows: _Sent) -> Iterator[pa.RecordBatch]:
+        """One slice; ``known``: the contexts that the task has sent, ``windows``:
+        those of hot anchors."""
         repeated, hot = shared.value
         raw, off = byte_view(column(part, "text"))
         ids = column(part, "doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -196,7 +229,7 @@ def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int
         some = _is_set(repeated, h)
         h, p, wa, wb, doc = h[some], p[some], wa[some], wb[some], doc[some]
         if not len(h):
-            return known
+            return
         value = _BYTE_HASH[raw]
         own, rel, stop = ids[doc], (p - wa).astype(np.int64), wb + length
         marks: list = []
@@ -204,18 +237,11 @@ def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int
         cold = np.flatnonzero(~is_hot)
         if len(cold):
             text_key = mix64(span_hashes(value, wa[cold], stop[cold]) + rel[cold].astype(np.uint64))
-            first = _smallest_only(h[cold], text_key, own[cold])
-            at = np.minimum(np.searchsorted(known[0], text_key), max(len(known[0]) - 1, 0))
-            if len(known[0]):
-                first &= ~((known[0][at] == text_key) & (known[1][at] < own[cold]))
+            first = _smallest_only(h[cold], text_key, own[cold]) & ~known.smaller(text_key, own[cold])
             send, other = cold[first], cold[~first]
             marks.append((own[other], (wa - off[doc])[other], (stop - off[doc])[other]))
             yield _rows(h[send], own[send], (wa - off[doc])[send], 2 + rel[send], _chunks(raw, wa[send], (stop - wa)[send]))
-            keys, ids_of = np.concatenate([known[0], text_key[first]]), np.concatenate([known[1], own[send]])
-            order = np.lexsort((ids_of, keys))
-            keys, ids_of = keys[order], ids_of[order]
-            new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-            known = keys[new], ids_of[new]
+            known.add(text_key[first], own[send])
         for a in range(0, int(is_hot.sum()), 20_000):
             mine = np.flatnonzero(is_hot)[a:a + 20_000]
             n = wb[mine] - wa[mine] + 1
@@ -223,14 +249,15 @@ def contexts(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, length: int
             whose, begin = np.repeat(own[mine], n), s - np.repeat(off[doc[mine]], n)
             one = span_hashes(value, s, s + length)
             two = mix64(span_hashes(mix64(value), s, s + length))
-            first = _smallest_only(mix64(one), two, whose)
+            text_key = mix64(mix64(one) + two)
+            first = _smallest_only(mix64(one), two, whose) & ~windows.smaller(text_key, whose)
+            windows.add(text_key[first], whose[first])
             marks.append((whose[~first], begin[~first], begin[~first] + length))
             yield _rows(mix64(one)[first], whose[first], begin[first], 1, _words8(two[first]))
         d, s, e = (np.concatenate(x) for x in zip(*marks)) if marks else (np.zeros(0, np.int64),) * 3
         d, s, e = merge(d, s, e)
         if len(d):
             yield _rows(mix64(d.view(np.uint64) + s.view(np.uint64)), d, s, 0, _words8(e - s))
-        return known
     return docs.mapInArrow(run, _ROW)
 
 
