@@ -56,3 +56,29 @@ def test_steps_free_their_shuffles(spark):
         assert sorted(r["count"] for r in df.collect()) == sorted(r["count"] for r in df.collect())
     finally:
         free_shuffles(spark, False)
+
+
+def test_documents_are_written_in_shares(spark, scratch):
+    from liftlake.operators import documents as DOC
+    docs = spark.range(300).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.concat(F.lit("u"), F.col("id") % 40).alias("user_id"),
+                                   F.when(F.col("id") % 9 != 0, F.lit("2001-01-01")).alias("training_date"), F.lit(False).alias("is_deleted"))
+    root = os.path.dirname(DOC.scratch_path(spark, "x").replace("file:", ""))
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    for _ in range(2):          # a table that is there is replaced
+        DOC.write_documents(docs, scratch + "/docs", buckets=16)
+    back = spark.read.parquet(scratch + "/docs")
+    assert sorted(map(tuple, back.drop("doc_bucket").collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    wrong = back.where(~F.col("doc_bucket").eqNullSafe(DOC.document_bucket("user_id", "training_date", 16)))
+    assert wrong.isEmpty() and set(os.listdir(root)) == before
+    files = [f for at, _, names in os.walk(scratch + "/docs") for f in names if f.endswith(".parquet")]
+    assert len(files) == back.select("doc_bucket").distinct().count()
+
+
+def test_kept_frames_are_compressed_columns(spark, scratch):
+    from liftlake.operators.upsert import stored
+    df = spark.range(20000).select((F.col("id") % 3).alias("k"), F.lit("the same text in every row").alias("t"), F.lit(None).cast("string").alias("n"))
+    kept = stored(df, "kept")
+    assert kept.schema == df.schema or kept.dtypes == df.dtypes
+    assert sorted(map(tuple, kept.groupBy("k", "t", "n").count().collect())) == sorted(map(tuple, df.groupBy("k", "t", "n").count().collect()))
+    [path] = {os.path.dirname(f.replace("file://", "").replace("file:", "")) for f in kept.inputFiles()}
+    assert _bytes(path) < 20000 * 8
